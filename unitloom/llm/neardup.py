@@ -32,7 +32,7 @@ TREES = 16
 TREE_HASHES = 6
 KEY_HASHES = 8
 LEAST_DEPTH = 3
-NEIGHBOURS = 8
+NEIGHBOURS = 16
 BEST = 4
 HUBS = 16
 SEED = 2014
