@@ -271,5 +271,5 @@ def keep_one(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
 
     Exact copies of the kept document that carry the kept document's own doc_id also stay.
     """
-    gone = near_duplicates(docs, shingle, percent).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"].cast("long") == F.col("_gone"), "left_anti")
+    gone = near_duplicates(docs, shingle, percent).where("not kept").select(F.col("doc_id").alias("__ul_gone")).distinct()
+    return docs.join(gone, docs["doc_id"].cast("long") == F.col("__ul_gone"), "left_anti")

@@ -4,8 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from pyspark.sql import functions as F
+
+from .linededup import line_dedup
 from .neardup import near_duplicates
+from .quality import quality
 from .runtime import documents
+from .tokens import token_counts
 
 #: Words of a text (fixed pattern of the contract), for DuckDB.
 SPACE_WORDS_SQL = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
@@ -34,5 +39,40 @@ SELECT n.doc_id, n.n_shingles, c.component_id, n.doc_id = c.component_id AS kept
 FROM n JOIN (SELECT id, min(r) AS component_id FROM reach GROUP BY id) c ON c.id = n.doc_id
 """
 
-QUERIES = {"op1_minhash_near_dedup": op1_minhash_near_dedup}
-ORACLES = {"op1_minhash_near_dedup": OP1_SQL}
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of whole texts by the byte-level vocabulary."""
+    return token_counts(documents(spark, sf_dir, "doc_id", "text"), limit=1024)
+
+
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of at least 40 code points in at least 5 documents stay in the largest doc_id alone."""
+    out = line_dedup(documents(spark, sf_dir, "doc_id", "text"), least_chars=40, least_docs=5)
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+OP5_SQL = rf"""
+WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+x AS (SELECT doc_id, unnest(range(len(ls))) AS i, unnest(ls) AS line FROM d),
+k AS (SELECT doc_id, i, line, {LOWER_SQL.format("regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g')")} AS key FROM x),
+hot AS (SELECT key, max(doc_id) AS holder FROM k WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT doc_id) >= 5)
+SELECT doc_id, count(*)::BIGINT AS n_lines, count(hot.key) FILTER (WHERE doc_id <> holder)::BIGINT AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE hot.key IS NULL OR doc_id = holder), '')) AS kept_sha256
+FROM k LEFT JOIN hot ON k.key = hot.key GROUP BY doc_id
+"""
+
+
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality features and the verdict by thresholds of the row's language and source."""
+    return quality(documents(spark, sf_dir, "doc_id", "text", "lang", "source"))
+
+
+QUERIES = {
+    "op1_minhash_near_dedup": op1_minhash_near_dedup,
+    "op2_token_counts": op2_token_counts,
+    "op5_line_dedup": op5_line_dedup,
+    "op9_quality_rules": op9_quality_rules,
+}
+ORACLES = {
+    "op1_minhash_near_dedup": OP1_SQL,
+    "op5_line_dedup": OP5_SQL,
+}
