@@ -8,9 +8,13 @@ neighbours with ``least_depth`` equal hashes are reached, and in a dense region
 positions are taken by keys that agree much further.  So a tree gives each document at most
 ``neighbours`` candidates on either side, whatever the size of its group.
 
-Candidates are confirmed on full shingle sets, in two rounds: first the best few of each
-document, which joins most groups; then every candidate pair whose ends are still apart, together
-with the pairs of such ends and the best-linked members ("hubs") of the other side's group.  A
+A sketch of two bits of each hash goes with every key.  It leaves out pairs that can't reach the
+threshold (short of it by DEVIATIONS standard deviations) and ranks the others.
+
+Candidates are confirmed on full shingle sets, in rounds: first the best few of each document,
+which joins most groups; then the best few of those whose ends are still apart; then every
+candidate pair whose ends are still apart, together with the pairs of such ends and the
+best-linked members ("hubs") of the other side's group.  A
 candidate pair is only left unconfirmed if its ends are already known to be in one group.
 """
 
@@ -33,8 +37,11 @@ TREE_HASHES = 6
 KEY_HASHES = 8
 LEAST_DEPTH = 3
 NEIGHBOURS = 16
-BEST = 4
+#: Candidates of a document that are confirmed in the first rounds; the last round takes all.
+BEST = (4, 8)
 HUBS = 16
+#: Of the sketch's estimate; a pair right at the threshold fails to be a candidate once in 300,000.
+DEVIATIONS = 4.5
 SEED = 2014
 
 
@@ -69,68 +76,90 @@ def shingle_sets(texts: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
     return h, np.searchsorted(own, np.arange(found.n_docs + 1))
 
 
-def _signed(texts: pa.Array, size: int, scale: np.ndarray) -> tuple[np.ndarray, list, list]:
-    """Set sizes, 128-bit set keys and signatures; None for both where the set is empty."""
+def _signed(texts: pa.Array, size: int, scale: np.ndarray) -> tuple[np.ndarray, list, list, list]:
+    """Set sizes, 128-bit set keys, signatures and sketches; None where the set is empty."""
     h, bound = shingle_sets(texts, size)
     sizes = np.diff(bound)
     full = np.flatnonzero(sizes)
     keys: list = [None] * len(sizes)
     signs: list = [None] * len(sizes)
+    bits: list = [None] * len(sizes)
     if len(full):
         starts = bound[:-1][full]
         pair = np.stack([np.add.reduceat(words.mix(h), starts), np.add.reduceat(words.mix(h ^ U64(words.GOLDEN)), starts)], 1)
         low = np.empty((len(full), len(scale)), ">u4")
         for k, m in enumerate(scale):
             low[:, k] = np.minimum.reduceat(((h * m) >> U64(32)).astype(np.uint32), starts)
+        short = sketch(low)
         for i, row in enumerate(full):
-            keys[row], signs[row] = pair[i].tobytes(), low[i].tobytes()
-    return sizes, keys, signs
+            keys[row], signs[row], bits[row] = pair[i].tobytes(), low[i].tobytes(), short[i].tobytes()
+    return sizes, keys, signs, bits
+
+
+def sketch(sign: np.ndarray) -> np.ndarray:
+    """The two lowest bits of each hash, four hashes to a byte."""
+    low = (sign & 3).astype(np.uint8).reshape(len(sign), -1, 4)
+    return low[:, :, 0] | low[:, :, 1] << 2 | low[:, :, 2] << 4 | low[:, :, 3] << 6
+
+
+_DIFFERING = np.array([sum((x >> k) & 3 > 0 for k in (0, 2, 4, 6)) for x in range(256)], np.uint8)
+
+
+def least_alike(percent: int, n: int = TREES * TREE_HASHES) -> int:
+    """Equal 2-bit hashes that a pair at the threshold has, less DEVIATIONS standard deviations."""
+    p = percent / 100 + (1 - percent / 100) / 4
+    return int(n * p - DEVIATIONS * (n * p * (1 - p)) ** 0.5)
 
 
 def signatures(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id, n_shingles, set_key (equal for equal sets), signature; a narrow Arrow pass."""
+    """doc_id, n_shingles, set_key (equal for equal sets), signature, sketch; a narrow Arrow pass."""
     scale = multipliers(TREES * TREE_HASHES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, j in words.slices(batch.column(1)):
-                n, keys, signs = _signed(batch.column(1).slice(i, j - i), size, scale)
-                yield pa.record_batch([batch.column(0).slice(i, j - i), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(signs, pa.binary())], ["doc_id", "n_shingles", "set_key", "signature"])
+                n, *rest = _signed(batch.column(1).slice(i, j - i), size, scale)
+                yield pa.record_batch([batch.column(0).slice(i, j - i), pa.array(n, pa.int64()), *(pa.array(x, pa.binary()) for x in rest)], ["doc_id", "n_shingles", "set_key", "signature", "sketch"])
+
+    return text_only(docs).mapInArrow(run, "doc_id long, n_shingles long, set_key binary, signature binary, sketch binary")
 
-    return text_only(docs).mapInArrow(run, "doc_id long, n_shingles long, set_key binary, signature binary")
 
+def _near(tree: np.ndarray, key: np.ndarray, bits: np.ndarray, rep: np.ndarray, n: np.ndarray, percent: int, reach: int, new) -> pa.RecordBatch | None:
+    """Pairs of rows at most reach apart that share a prefix; new(d) masks the pairs that count.
 
-def _near(tree: np.ndarray, key: np.ndarray, rep: np.ndarray, n: np.ndarray, percent: int, reach: int, new) -> pa.RecordBatch | None:
-    """Pairs of rows at most reach apart that share a prefix; new(d) masks the pairs that count."""
-    found = []
+    The score is the number of equal 2-bit hashes; pairs for which it is out of reach are left out.
+    """
+    found, least = [], least_alike(percent)
     for d in range(1, min(reach, len(rep) - 1) + 1):
         ok = (tree[d:] == tree[:-d]) & new(d)
         ok &= 100 * np.minimum(n[d:], n[:-d]) >= percent * np.maximum(n[d:], n[:-d])
         ok &= (key[d:, :LEAST_DEPTH] == key[:-d, :LEAST_DEPTH]).all(1)
         at = np.flatnonzero(ok)
         if len(at):
-            depth = np.logical_and.accumulate(key[at] == key[at + d], axis=1).sum(1)
+            score = TREES * TREE_HASHES - _DIFFERING[bits[at] ^ bits[at + d]].sum(1, dtype=np.int32)
+            at, score = at[score >= least], score[score >= least]
             x, y = rep[at], rep[at + d]
-            found.append((np.minimum(x, y), np.maximum(x, y), depth))
+            found.append((np.minimum(x, y), np.maximum(x, y), score))
     if not found:
         return None
-    a, b, depth = (np.concatenate(x) for x in zip(*found, strict=True))
+    a, b, score = (np.concatenate(x) for x in zip(*found, strict=True))
     apart = a != b
-    return _pairs(a[apart], b[apart], depth[apart])
+    return _pairs(a[apart], b[apart], score[apart])
 
 
-PAIRS = "a long, b long, depth int, tree int, key binary, rep long, n long, part int"
+PAIRS = "a long, b long, score int, tree int, key binary, sketch binary, rep long, n long, part int"
+NAMES = ["a", "b", "score", "tree", "key", "sketch", "rep", "n", "part"]
 
 
-def _pairs(a: np.ndarray, b: np.ndarray, depth: np.ndarray) -> pa.RecordBatch:
+def _pairs(a: np.ndarray, b: np.ndarray, score: np.ndarray) -> pa.RecordBatch:
     none = lambda kind: pa.nulls(len(a), kind)
-    return pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(depth, pa.int32()), none(pa.int32()), none(pa.binary()), none(pa.int64()), none(pa.int64()), none(pa.int32())], ["a", "b", "depth", "tree", "key", "rep", "n", "part"])
+    return pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(score, pa.int32()), none(pa.int32()), none(pa.binary()), none(pa.binary()), none(pa.int64()), none(pa.int64()), none(pa.int32())], NAMES)
 
 
 def _columns(batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
-    key = batch.column("key").cast(pa.large_binary())
-    data = np.frombuffer(b"".join(key.to_pylist()), ">u4").astype(np.uint32).reshape(-1, KEY_HASHES)
-    return batch.column("tree").to_numpy(), data, batch.column("rep").to_numpy(), batch.column("n").to_numpy()
+    key = np.frombuffer(b"".join(batch.column("key").to_pylist()), ">u4").astype(np.uint32).reshape(-1, KEY_HASHES)
+    bits = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint8).reshape(len(key), -1)
+    return batch.column("tree").to_numpy(), key, bits, batch.column("rep").to_numpy(), batch.column("n").to_numpy()
 
 
 def _within(percent: int, reach: int):
@@ -147,9 +176,9 @@ def _within(percent: int, reach: int):
                 ends.append(batch.slice(0, min(reach - seen, batch.num_rows)))
             old = 0
             if carry is not None:
-                old = len(carry[2])
+                old = len(carry[0])
                 cols = tuple(np.concatenate(x) for x in zip(carry, cols, strict=True))
-            rows = len(cols[2])
+            rows = len(cols[0])
             pairs = _near(*cols, percent, reach, lambda d, rows=rows, old=old: np.arange(d, rows) >= old)
             if pairs is not None:
                 yield pairs
@@ -157,15 +186,16 @@ def _within(percent: int, reach: int):
             seen += batch.num_rows
         if carry is None:
             return
-        tail = min(len(carry[2]), max(0, seen - reach))  # rows that are not among the first ones
+        tail = min(len(carry[0]), max(0, seen - reach))  # rows that are not among the first ones
         heads = pa.Table.from_batches(ends).to_pydict() if ends else {}
-        last = slice(len(carry[2]) - tail, None)
+        last = slice(len(carry[0]) - tail, None)
         trees = heads["tree"] + carry[0][last].tolist()
         keys = heads["key"] + [x.astype(">u4").tobytes() for x in carry[1][last]]
-        reps = heads["rep"] + carry[2][last].tolist()
-        sizes = heads["n"] + carry[3][last].tolist()
+        bits = heads["sketch"] + [x.tobytes() for x in carry[2][last]]
+        reps = heads["rep"] + carry[3][last].tolist()
+        sizes = heads["n"] + carry[4][last].tolist()
         n = len(reps)
-        yield pa.record_batch([pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), pa.array(trees, pa.int32()), pa.array(keys, pa.binary()), pa.array(reps, pa.int64()), pa.array(sizes, pa.int64()), pa.array([part] * n, pa.int32())], ["a", "b", "depth", "tree", "key", "rep", "n", "part"])
+        yield pa.record_batch([pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), pa.array(trees, pa.int32()), pa.array(keys, pa.binary()), pa.array(bits, pa.binary()), pa.array(reps, pa.int64()), pa.array(sizes, pa.int64()), pa.array([part] * n, pa.int32())], NAMES)
 
     return run
 
@@ -187,16 +217,16 @@ def _seams(percent: int, reach: int):
 
 
 def candidates(reps: DataFrame, percent: int, reach: int = NEIGHBOURS) -> DataFrame:
-    """(a, b, score) with a < b from all trees; reps: rep, n, signature."""
+    """(a, b, score) with a < b from all trees; reps: rep, n, signature, sketch."""
     width = 4 * TREE_HASHES
-    spread = reps.select("rep", "n", F.concat("signature", F.substring("signature", 1, 4 * (KEY_HASHES - TREE_HASHES))).alias("s"), F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"))
-    rows = spread.select("tree", F.expr(f"substring(s, tree * {width} + 1, {4 * KEY_HASHES})").alias("key"), "rep", "n")
+    spread = reps.select("rep", "n", "sketch", F.concat("signature", F.substring("signature", 1, 4 * (KEY_HASHES - TREE_HASHES))).alias("s"), F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"))
+    rows = spread.select("tree", F.expr(f"substring(s, tree * {width} + 1, {4 * KEY_HASHES})").alias("key"), "sketch", "rep", "n")
     parts = shuffle_partitions(reps.sparkSession)
     ordered = rows.repartitionByRange(parts, "tree", "key", "rep").sortWithinPartitions("tree", "key", "rep")
     found = cut(ordered.mapInArrow(_within(percent, reach), PAIRS))
     seams = found.where("part is not null").repartition(1).sortWithinPartitions("tree", "key", "rep").mapInArrow(_seams(percent, reach), PAIRS)
-    every = found.where("part is null").select("a", "b", "depth").unionAll(seams.select("a", "b", "depth"))
-    return every.groupBy("a", "b").agg(F.sum("depth").alias("score"))
+    every = found.where("part is null").select("a", "b", "score").unionAll(seams.select("a", "b", "score"))
+    return every.groupBy("a", "b").agg(F.max("score").alias("score"))
 
 
 def _sets(docs: DataFrame, size: int) -> DataFrame:
@@ -224,27 +254,41 @@ def groups(docs: DataFrame, shingle: int = 5, percent: int = 80, reach: int = NE
     A representative stands for all documents with the very same shingle set.
     """
     signed = cut(signatures(docs, shingle))
-    reps = signed.where("signature is not null and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("signature").alias("signature"))
+    reps = signed.where("signature is not null and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("signature").alias("signature"), F.first("sketch").alias("sketch"))
     pairs = cut(candidates(reps, percent, reach))
     ends = pairs.select(F.col("a").alias("doc_id")).unionAll(pairs.select(F.col("b").alias("doc_id"))).distinct()
     sets = cut(_sets(text_only(docs).join(ends, "doc_id", "left_semi"), shingle))
-    # Round 1: the best few of each document.
-    sided = pairs.unionAll(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "score"))
-    best = sided.withColumn("k", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("score"), "b"))).where(f"k <= {BEST}")
-    first = best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    linked = cut(confirm(first, sets, percent))
-    of = components(linked)
-    # Round 2: what is still apart, and the hubs of the groups that it leads to.
-    degree = linked.select(F.col("a").alias("id")).unionAll(linked.select(F.col("b").alias("id"))).groupBy("id").count()
+    apart, links, of, done = pairs, None, None, None
+    for best in BEST:
+        # The best few candidates of each document whose ends are still apart.
+        sided = apart.select("a", "b", "score").unionAll(apart.select(F.col("b").alias("a"), F.col("a").alias("b"), "score"))
+        ranked = sided.withColumn("k", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("score"), "b")))
+        chosen = cut(ranked.where(f"k <= {best}").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+        links, of = _linked(chosen, sets, percent, links, of)
+        done = chosen if done is None else done.unionAll(chosen)
+        apart = cut(_apart(apart.join(chosen, ["a", "b"], "left_anti"), of))
+    # What is still apart, and the hubs of the groups that it leads to.
+    degree = links.select(F.col("a").alias("id")).unionAll(links.select(F.col("b").alias("id"))).groupBy("id").count()
     hubs = of.join(degree, "id").groupBy("component", F.pmod(F.xxhash64("id"), F.lit(HUBS)).alias("k")).agg(F.max(F.struct("count", (-F.col("id")).alias("id"))).alias("h")).select("component", (-F.col("h.id")).alias("hub"))
+    leads = apart.select("a", F.col("cb").alias("component")).unionAll(apart.select(F.col("b").alias("a"), F.col("ca").alias("component"))).distinct()
+    to_hubs = leads.join(hubs, "component").where("a <> hub").select(F.least("a", "hub").alias("a"), F.greatest("a", "hub").alias("b")).distinct().join(done, ["a", "b"], "left_anti")
+    _, of = _linked(apart.select("a", "b").unionAll(to_hubs).distinct(), sets, percent, links, of)
+    return signed, of
+
+
+def _linked(pairs: DataFrame, sets: DataFrame, percent: int, links: DataFrame | None, of: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """All links so far and their components; of: the components before these pairs."""
+    fresh = cut(confirm(pairs, sets, percent))
+    edges = fresh if of is None else fresh.unionAll(of.where("id <> component").select(F.col("id").alias("a"), F.col("component").alias("b")))
+    return fresh if links is None else links.unionAll(fresh), components(edges)
+
+
+def _apart(pairs: DataFrame, of: DataFrame) -> DataFrame:
+    """Pairs (a, b, score) whose ends are in different components, with both components."""
     mine = of.select(F.col("id").alias("a"), F.col("component").alias("ca"))
     other = of.select(F.col("id").alias("b"), F.col("component").alias("cb"))
-    apart = cut(pairs.select("a", "b").join(mine, "a", "left").join(other, "b", "left").select("a", "b", F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("cb")).where("ca <> cb"))
-    leads = apart.select("a", F.col("cb").alias("component")).unionAll(apart.select(F.col("b").alias("a"), F.col("ca").alias("component"))).distinct()
-    to_hubs = leads.join(hubs, "component").where("a <> hub").select(F.least("a", "hub").alias("a"), F.greatest("a", "hub").alias("b"))
-    second = apart.select("a", "b").unionAll(to_hubs).distinct().join(first, ["a", "b"], "left_anti")
-    more = cut(confirm(second, sets, percent))
-    return signed, components(of.where("id <> component").select(F.col("id").alias("a"), F.col("component").alias("b")).unionAll(more))
+    known = pairs.select("a", "b", "score").join(mine, "a", "left").join(other, "b", "left").select("a", "b", "score", F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("cb"))
+    return known.where("ca <> cb")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
