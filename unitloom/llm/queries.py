@@ -10,6 +10,7 @@ from .linededup import line_dedup
 from .neardup import near_duplicates
 from .quality import quality
 from .runtime import documents
+from .spans import remove_spans
 from .tokens import token_counts
 
 #: Words of a text (fixed pattern of the contract), for DuckDB.
@@ -66,13 +67,35 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(documents(spark, sf_dir, "doc_id", "text", "lang", "source"))
 
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows of 50 words that also start in a smaller doc_id lose their words."""
+    return remove_spans(documents(spark, sf_dir, "doc_id", "text"), span=50, digest=True).withColumnRenamed("kept", "kept_sha256")
+
+
+OP10_SQL = f"""
+WITH d AS (SELECT doc_id, {SPACE_WORDS_SQL.format("coalesce(text, '')")} AS ws FROM documents),
+s AS (SELECT doc_id, ws, unnest(range(1, len(ws) - 48)) AS i FROM d WHERE len(ws) >= 50),
+h AS (SELECT doc_id, i, hash(array_to_string(ws[i:i + 49], ' ')) AS h FROM s),
+f AS (SELECT h, min(doc_id) AS least FROM h GROUP BY h),
+g AS (SELECT doc_id, unnest(range(i, i + 50)) AS p FROM h JOIN f USING (h) WHERE doc_id > least),
+r AS (SELECT doc_id, list_sort(list(DISTINCT p)) AS ps FROM g GROUP BY doc_id),
+w AS (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS p FROM d),
+gone AS (SELECT DISTINCT doc_id, p FROM g),
+k AS (SELECT w.doc_id, string_agg(word, ' ' ORDER BY w.p) AS kept FROM w LEFT JOIN gone ON w.doc_id = gone.doc_id AND w.p = gone.p WHERE gone.p IS NULL GROUP BY w.doc_id)
+SELECT d.doc_id, len(ws)::BIGINT AS n_words, coalesce(len(ps), 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN r USING (doc_id) LEFT JOIN k USING (doc_id)
+"""
+
+
 QUERIES = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_token_counts": op2_token_counts,
     "op5_line_dedup": op5_line_dedup,
     "op9_quality_rules": op9_quality_rules,
+    "op10_substring_dedup": op10_substring_dedup,
 }
 ORACLES = {
     "op1_minhash_near_dedup": OP1_SQL,
     "op5_line_dedup": OP5_SQL,
+    "op10_substring_dedup": OP10_SQL,
 }
