@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
+from .decontaminate import contamination
 from .linededup import line_dedup
 from .neardup import near_duplicates
 from .quality import quality
@@ -87,15 +88,38 @@ FROM d LEFT JOIN r USING (doc_id) LEFT JOIN k USING (doc_id)
 """
 
 
+def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of documents that lie in windows of 10 benchmark words."""
+    return contamination(documents(spark, sf_dir, "doc_id", "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), window=10)
+
+
+OP3_SQL = f"""
+WITH d AS (SELECT doc_id, {ALNUM_WORDS_SQL.format(LOWER_SQL.format("coalesce(text, '')"))} AS ws FROM documents),
+b AS (SELECT item_id, {ALNUM_WORDS_SQL.format(LOWER_SQL.format("coalesce(text, '')"))} AS ws FROM benchmark),
+win AS (SELECT DISTINCT item_id, n, w FROM (
+  SELECT item_id, least(10, len(ws)) AS n, unnest(list_transform(range(1, greatest(len(ws) - 9, 1) + 1), lambda i: array_to_string(ws[i:i + 9], ' '))) AS w FROM b WHERE len(ws) > 0)),
+sizes AS (SELECT DISTINCT n FROM win),
+s AS (SELECT doc_id, n, unnest(range(1, len(ws) - n + 2)) AS i, ws FROM d, sizes WHERE len(ws) >= n),
+h AS (SELECT doc_id, i, s.n, item_id FROM (SELECT doc_id, i, n, array_to_string(ws[i:i + n - 1], ' ') AS w FROM s) s JOIN win ON win.n = s.n AND win.w = s.w),
+p AS (SELECT doc_id, count(DISTINCT p)::BIGINT AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM h) GROUP BY doc_id),
+t AS (SELECT doc_id, count(*)::BIGINT AS n_items, string_agg(item, ',' ORDER BY item) AS names FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM h) GROUP BY doc_id)
+SELECT d.doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+  sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN p USING (doc_id) LEFT JOIN t USING (doc_id)
+"""
+
+
 QUERIES = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_token_counts": op2_token_counts,
+    "op3_benchmark_decontamination": op3_benchmark_decontamination,
     "op5_line_dedup": op5_line_dedup,
     "op9_quality_rules": op9_quality_rules,
     "op10_substring_dedup": op10_substring_dedup,
 }
 ORACLES = {
     "op1_minhash_near_dedup": OP1_SQL,
+    "op3_benchmark_decontamination": OP3_SQL,
     "op5_line_dedup": OP5_SQL,
     "op10_substring_dedup": OP10_SQL,
 }
