@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .decontaminate import contamination
+from .licenses import license_scan
 from .linededup import line_dedup
 from .neardup import near_duplicates
 from .quality import quality
@@ -63,6 +64,11 @@ FROM k LEFT JOIN hot ON k.key = hot.key GROUP BY doc_id
 """
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License phrases and notices of every document."""
+    return license_scan(documents(spark, sf_dir, "doc_id", "text"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality features and the verdict by thresholds of the row's language and source."""
     return quality(documents(spark, sf_dir, "doc_id", "text", "lang", "source"))
@@ -114,6 +120,7 @@ QUERIES = {
     "op2_token_counts": op2_token_counts,
     "op3_benchmark_decontamination": op3_benchmark_decontamination,
     "op5_line_dedup": op5_line_dedup,
+    "op6_license_scan": op6_license_scan,
     "op9_quality_rules": op9_quality_rules,
     "op10_substring_dedup": op10_substring_dedup,
 }
