@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .decontaminate import contamination
+from .langid import identify
 from .licenses import license_scan
 from .linededup import line_dedup
 from .neardup import near_duplicates
@@ -69,6 +70,11 @@ def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(documents(spark, sf_dir, "doc_id", "text"))
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted language of every document, learned from three of four folds."""
+    return identify(documents(spark, sf_dir, "doc_id", "text", "lang"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality features and the verdict by thresholds of the row's language and source."""
     return quality(documents(spark, sf_dir, "doc_id", "text", "lang", "source"))
@@ -121,6 +127,7 @@ QUERIES = {
     "op3_benchmark_decontamination": op3_benchmark_decontamination,
     "op5_line_dedup": op5_line_dedup,
     "op6_license_scan": op6_license_scan,
+    "op8_language_id": op8_language_id,
     "op9_quality_rules": op9_quality_rules,
     "op10_substring_dedup": op10_substring_dedup,
 }
