@@ -39,26 +39,25 @@ def words_of(text: Column) -> Column:
     return F.when(F.length(bare) == 0, F.array().cast("array<string>")).otherwise(F.split(bare, SPACES))
 
 
-def _repeated(hashes: Column, size: int) -> Column:
-    """Words in windows that occur twice or more, from the hashes of a text's windows."""
-    at = F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-    # Equal windows are neighbours once sorted.
-    same = F.filter(
-        F.transform(
-            at,
-            lambda x, k: F.when((F.get(at, k - 1)["h"] == x["h"]) | (F.get(at, k + 1)["h"] == x["h"]), x["i"]),
-        ),
-        lambda i: i.isNotNull(),
-    )
-    places = F.sort_array(same)
-    step = F.struct(F.lit(-size).alias("last"), F.lit(0).alias("n"))
-    covered = F.aggregate(
-        places,
-        step,
-        lambda acc, i: F.struct(i.alias("last"), (acc["n"] + F.least(F.lit(size), i - acc["last"])).alias("n")),
-        lambda acc: acc["n"],
-    )
-    return F.when(F.size(F.array_distinct(hashes)) == F.size(hashes), F.lit(0)).otherwise(covered).cast("long")
+def _sorted_windows(hashes: Column) -> Column:
+    """(hash, place) of a text's windows in order of hashes; empty if no two hashes are equal."""
+    pairs = F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    return F.when(F.size(F.array_distinct(hashes)) == F.size(hashes), F.array().cast("array<struct<h:bigint,i:int>>")).otherwise(pairs)
+
+
+def _repeated_places(windows: str) -> Column:
+    """Places of windows that occur twice or more: equal ones are neighbours once sorted."""
+    # The array is a column of its own, as an expression would run again for each element.
+    own = F.col(windows)
+    same = F.transform(own, lambda x, k: F.when((F.get(own, k - 1)["h"] == x["h"]) | (F.get(own, k + 1)["h"] == x["h"]), x["i"]))
+    return F.sort_array(F.filter(same, lambda i: i.isNotNull()))
+
+
+def _covered(places: Column, size: int) -> Column:
+    """How many words windows of so many words cover that start at the (ascending) places."""
+    begin = F.struct(F.lit(-size).alias("last"), F.lit(0).alias("n"))
+    step = lambda acc, i: F.struct(i.alias("last"), (acc["n"] + F.least(F.lit(size), i - acc["last"])).alias("n"))
+    return F.aggregate(places, begin, step, lambda acc: acc["n"]).cast("long")
 
 
 def features(docs: DataFrame) -> DataFrame:
@@ -75,7 +74,9 @@ def features(docs: DataFrame) -> DataFrame:
     hashes = F.when(n < 3, F.array().cast("array<bigint>")).otherwise(F.transform(F.sequence(F.lit(0), F.greatest(n - 3, F.lit(0))), window))
     lines = F.filter(F.split("t", "\n"), lambda x: F.length(F.btrim(x, F.lit(BLANKS))) > 0)
     own = own.select("doc_id", "lang", "source", n.cast("long").alias("n_words"), (F.length("t") - _occurrences(F.col("t"), BLANKS)).cast("long").alias("word_chars"), _occurrences(F.col("t"), SYMBOLS).alias("n_symbols"), lines.alias("l"), hashes.alias("h"))
-    own = own.select("doc_id", "lang", "source", "n_words", "word_chars", "n_symbols", (F.size("l") - F.size(F.array_distinct("l"))).cast("long").alias("n_dup_lines"), F.size("l").cast("long").alias("n_lines"), _repeated(F.col("h"), 3).alias("n_repeat_words"))
+    counted = [(F.size("l") - F.size(F.array_distinct("l"))).cast("long").alias("n_dup_lines"), F.size("l").cast("long").alias("n_lines")]
+    own = own.select("doc_id", "lang", "source", "n_words", "word_chars", "n_symbols", *counted, _sorted_windows(F.col("h")).alias("at"))
+    own = own.withColumn("n_repeat_words", _covered(_repeated_places("at"), 3)).drop("at")
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
     return own.withColumn("base_failed", failed)
 
