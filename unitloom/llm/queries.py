@@ -11,6 +11,7 @@ from .langid import identify
 from .licenses import license_scan
 from .linededup import line_dedup
 from .neardup import near_duplicates
+from .packing import pack_along_curve, pack_best_fit
 from .quality import quality
 from .runtime import documents
 from .spans import remove_spans
@@ -48,6 +49,12 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(documents(spark, sf_dir, "doc_id", "text"), limit=1024)
 
 
+def op4_packed_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sequences of 2048 ids by best-fit-decreasing; a checksum stands for the id matrix's row."""
+    packed = pack_best_fit(documents(spark, sf_dir, "doc_id", "text"), length=2048)
+    return packed.select("sequence_id", "n_tokens", F.crc32("ids").alias("ids_crc32"), "cu_seqlens", "position_resets", "doc_ids", "starts")
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of at least 40 code points in at least 5 documents stay in the largest doc_id alone."""
     out = line_dedup(documents(spark, sf_dir, "doc_id", "text"), least_chars=40, least_docs=5)
@@ -70,6 +77,11 @@ def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(documents(spark, sf_dir, "doc_id", "text"))
 
 
+def op7_curve_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of documents in sequences of 2048 ids along a Hilbert curve."""
+    return pack_along_curve(documents(spark, sf_dir, "doc_id", "text"), length=2048, ids=False).drop("ids")
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Predicted language of every document, learned from three of four folds."""
     return identify(documents(spark, sf_dir, "doc_id", "text", "lang"))
@@ -125,8 +137,10 @@ QUERIES = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_token_counts": op2_token_counts,
     "op3_benchmark_decontamination": op3_benchmark_decontamination,
+    "op4_packed_binary": op4_packed_binary,
     "op5_line_dedup": op5_line_dedup,
     "op6_license_scan": op6_license_scan,
+    "op7_curve_packing": op7_curve_packing,
     "op8_language_id": op8_language_id,
     "op9_quality_rules": op9_quality_rules,
     "op10_substring_dedup": op10_substring_dedup,
