@@ -38,7 +38,7 @@ KEY_HASHES = 8
 LEAST_DEPTH = 3
 NEIGHBOURS = 16
 #: Candidates of a document that are confirmed in the first rounds; the last round takes all.
-BEST = (4, 8)
+BEST = (32,)
 HUBS = 16
 #: Of the sketch's estimate; a pair right at the threshold fails to be a candidate once in 300,000.
 DEVIATIONS = 4.5
