@@ -114,19 +114,29 @@ def _of_document(rows: DataFrame, places: str, name: str) -> DataFrame:
     return rows.groupBy("doc_id").agg(F.collect_list(places).alias(name))
 
 
-def marks(docs: DataFrame, span: int = SPAN, k: int = K) -> DataFrame:
+def repeats(plain: DataFrame, span: int, k: int) -> DataFrame:
+    """(doc_id, place, straight) of edges that more than one document holds.
+
+    Of edges on nonbranching paths only the occurrences to remove are left.  The edges of all
+    documents are found twice, once to be counted and once to be joined, as that takes less disk
+    than keeping them.
+    """
+    every = edges(plain, span, k)
+    known = every.groupBy("edge").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), (F.min("around") == F.max("around")).alias("straight")).where("first < last").drop("last")
+    met = every.select("edge", "doc_id", "place").join(known, "edge").where("not straight or doc_id > first")
+    return cut(met.select("doc_id", "place", "straight"))
+
+
+def marks(plain: DataFrame, span: int, k: int) -> DataFrame:
     """(id, paths, starts): for each document the edges and the single windows to remove.
 
     ``paths``: places of edges of nonbranching paths that start in a smaller doc_id, all of whose
     windows go.  ``starts``: starts of single windows that go.
     """
-    plain = text_only(docs).where("doc_id is not null")
-    every = cut(edges(plain, span, k))
-    known = every.groupBy("edge").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), (F.min("around") == F.max("around")).alias("straight")).where("first < last").drop("last")
-    repeated = cut(every.join(known, "edge").select("doc_id", "place", "first", "straight").where("not straight or doc_id > first"))
+    repeated = repeats(plain, span, k)
     paths = _of_document(repeated.where("straight"), "place", "paths")
     branching = _of_document(repeated.where("not straight"), "place", "places")
-    single = cut(_windows(plain.join(branching, "doc_id"), span, k))
+    single = _windows(plain.join(branching, "doc_id"), span, k)
     smallest = single.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").drop("last")
     starts = _of_document(single.join(smallest, ["h1", "h2"]).where("doc_id > first"), "start", "starts")
     return paths.join(starts, "doc_id", "full").withColumnRenamed("doc_id", "id")
@@ -184,8 +194,11 @@ def remove_spans(docs: DataFrame, span: int = SPAN, k: int = K, digest: bool = F
     doc_id neither lose words nor make others lose any.  Rows that repeat a doc_id are one
     document: they don't make each other lose words.  Extra columns are not read.
     """
-    found = marks(docs, span, k)
-    both = text_only(docs).join(found, F.col("doc_id") == F.col("id"), "left").select("doc_id", "text", "paths", "starts")
+    # Both joins with texts are by doc_id over the same rows, so texts are dealt out once.
+    plain = text_only(docs).where("doc_id is not null")
+    both = plain.join(marks(plain, span, k), F.col("doc_id") == F.col("id"), "left").select("doc_id", "text", "paths", "starts")
+    none = F.lit(None).cast("array<int>")
+    both = both.unionAll(text_only(docs).where("doc_id is null").select("doc_id", "text", none.alias("paths"), none.alias("starts")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
