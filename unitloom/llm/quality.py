@@ -26,12 +26,10 @@ SKETCH_K = 400
 SALTS = 32
 
 
-def _occurrences(text: Column, chars: str) -> Column:
-    """How often any of the characters is in a text; UTF8String.replace works on bytes."""
-    total = F.lit(0)
-    for c in chars:
-        total = total + (F.octet_length(text) - F.octet_length(F.replace(text, F.lit(c))))
-    return total.cast("long")
+def _occurrences(text: Column) -> Column:
+    """How many symbols a text has; one expression, as long chains make methods that are costly
+    to compile."""
+    return (F.length(text) - F.length(F.regexp_replace(text, f"[{SYMBOLS}]", ""))).cast("long")
 
 
 def words_of(text: Column) -> Column:
@@ -73,7 +71,7 @@ def features(docs: DataFrame) -> DataFrame:
     window = lambda i: F.xxhash64(F.get("w", i), F.get("w", i + 1), F.get("w", i + 2))
     hashes = F.when(n < 3, F.array().cast("array<bigint>")).otherwise(F.transform(F.sequence(F.lit(0), F.greatest(n - 3, F.lit(0))), window))
     lines = F.filter(F.split("t", "\n"), lambda x: F.length(F.btrim(x, F.lit(BLANKS))) > 0)
-    own = own.select("doc_id", "lang", "source", n.cast("long").alias("n_words"), (F.length("t") - _occurrences(F.col("t"), BLANKS)).cast("long").alias("word_chars"), _occurrences(F.col("t"), SYMBOLS).alias("n_symbols"), lines.alias("l"), hashes.alias("h"))
+    own = own.select("doc_id", "lang", "source", n.cast("long").alias("n_words"), F.length(F.array_join("w", "")).cast("long").alias("word_chars"), _occurrences(F.col("t")).alias("n_symbols"), lines.alias("l"), hashes.alias("h"))
     counted = [(F.size("l") - F.size(F.array_distinct("l"))).cast("long").alias("n_dup_lines"), F.size("l").cast("long").alias("n_lines")]
     own = own.select("doc_id", "lang", "source", "n_words", "word_chars", "n_symbols", *counted, _sorted_windows(F.col("h")).alias("at"))
     own = own.withColumn("n_repeat_words", _covered(_repeated_places("at"), 3)).drop("at")
