@@ -11,6 +11,7 @@ short ones cost the same memory.
 
 from __future__ import annotations
 
+import json
 import os
 from array import array
 from collections.abc import Iterator
@@ -20,12 +21,9 @@ import pyarrow as pa
 
 from .words import buffers, ranges, slices
 
-#: Bytes of text that are tokenized at once, bytes of a call of the library, distinct parts kept.
-CHUNK_BYTES = 12 << 20
+#: Bytes of text that are tokenized at once, and bytes of a call of the library.
+CHUNK_BYTES = 4 << 20
 CALL_BYTES = 256 << 10
-CACHE_PARTS = 1_000_000
-#: Longer parts are encoded but not kept.
-CACHE_PART_BYTES = 64
 
 #: Visible ASCII: neither white space nor a control character.  Bytes from 0x80 are left out, as
 #: some multi-byte characters are white space.
@@ -72,8 +70,66 @@ def safe_cuts(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.flatnonzero(mark)
 
 
+# Fixed value: the public splitting pattern of the byte-level vocabulary.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
+def byte_of_sign() -> dict[str, int]:
+    """The byte that each sign of a byte-level vocabulary stands for.
+
+    Visible Latin-1 characters stand for themselves; the other bytes have the signs from U+0100 on.
+    """
+    shown = [b for b in range(256) if 0x21 <= b <= 0x7E or 0xA1 <= b <= 0xAC or 0xAE <= b]
+    hidden = [b for b in range(256) if b not in shown]
+    return {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(hidden)}
+
+
+def fast_core(path: str):
+    """An encoding of plain text with the same merges, or None if it can't be the same.
+
+    It merges by rank, so it gives the file's ids only if the file's merges come in the order of
+    their ids; that is looked up merge by merge.
+    """
+    try:
+        import tiktoken
+    except ImportError:
+        return None
+    with open(path, encoding="utf-8") as f:
+        model = json.load(f)["model"]
+    vocab = model["vocab"]
+    pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+    if any(vocab.get(a + b) != 256 + k for k, (a, b) in enumerate(pairs)):
+        return None
+    byte = byte_of_sign()
+    ranks = {bytes(byte[c] for c in word): k for word, k in vocab.items() if k < 256 + len(pairs)}
+    return tiktoken.Encoding("parts", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+def plain_parts(raw: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+    """Which parts are visible ASCII and Latin letters alone, after one space at most.
+
+    Every version of Unicode splits these alike, and none holds a special token's "<|".
+    """
+    ok = _VISIBLE[raw]
+    lead = (raw >= 0xC3) & (raw <= 0xC8)
+    ok |= lead
+    ok[1:] |= lead[:-1]
+    ok[:-1] &= ~((raw[:-1] == 0x3C) & (raw[1:] == 0x7C))
+    first = cuts[:-1]
+    ok[first] |= raw[first] == 0x20
+    wrong = np.zeros(len(raw) + 1, np.int64)
+    np.cumsum(~ok, out=wrong[1:])
+    size = np.diff(cuts)
+    return (wrong[cuts[1:]] == wrong[first]) & ((size > 1) | (raw[first] != 0x20))
+
+
 class Encoder:
-    """Whole texts to ids, or to their number alone."""
+    """Whole texts to ids, or to their number alone.
+
+    Plain parts of a batch are encoded in one call of a core with the same merges, with line feeds
+    between them, which are tokens of their own there.  All other parts, and all that may hold a
+    special token, go through the tokenizer's own library one by one.
+    """
 
     def __init__(self, path: str) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -90,14 +146,17 @@ class Encoder:
             self.model = sentencepiece.SentencePieceProcessor(model_file=path)
         else:
             raise ValueError(f"no tokenizer library is known for {path!r}")
-        self.cache: dict[bytes, bytes] = {}
+        self.fast = fast_core(path) if self.split else None
+        if self.fast:
+            self.line = self.fast.encode_ordinary("\n")[0]
 
     def _call(self, parts: list[str]) -> list[bytes]:
         if hasattr(self.model, "encode_batch_fast"):
             return [array("I", x.ids).tobytes() for x in self.model.encode_batch_fast(parts, add_special_tokens=False)]
         return [array("I", x).tobytes() for x in self.model.encode(parts, num_threads=1)]
 
-    def _library(self, parts: list[bytes]) -> list[bytes]:
+    def _library(self, parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the parts, one after the other, and how many each has."""
         out: list[bytes] = []
         i = 0
         while i < len(parts):
@@ -107,42 +166,51 @@ class Encoder:
                 j += 1
             out += self._call([str(p, "utf-8") for p in parts[i:j]])
             i = j
-        return out
-
-    def _distinct(self, parts: list[bytes]) -> list[bytes]:
-        """Ids of each part, as the bytes of an array of 32-bit numbers."""
-        cache = self.cache
-        found = list(map(cache.get, parts))
-        missing = [k for k, x in enumerate(found) if x is None]
-        if missing:
-            if len(cache) + len(missing) > CACHE_PARTS:
-                cache.clear()
-            for k, ids in zip(missing, self._library([parts[k] for k in missing]), strict=True):
-                found[k] = ids
-                if len(parts[k]) <= CACHE_PART_BYTES:
-                    cache[parts[k]] = ids
-        return found
-
-    def _parts(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, list[bytes], np.ndarray, np.ndarray]:
-        """Cuts, ids of the distinct parts, their sizes, and which of them each part is."""
+        return np.frombuffer(b"".join(out), np.uint32), np.fromiter(map(len, out), np.int64, len(out)) // 4
+
+    def _core(self, raw: np.ndarray, first: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same for plain parts, given by their places in the bytes."""
+        line = np.full(int(size.sum()) + len(size), 0x0A, np.uint8)
+        at = np.cumsum(size + 1) - size - 1
+        inner = ranges(size)
+        line[np.repeat(at, size) + inner] = raw[np.repeat(first, size) + inner]
+        ids = self.fast.encode_to_numpy(line.tobytes().decode(), disallowed_special=())
+        end = np.flatnonzero(ids == self.line)
+        return ids[ids != self.line], np.diff(np.concatenate([[-1], end])) - 1
+
+    def _distinct(self, parts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of distinct parts, one after the other, and the bounds of each."""
+        raw, cuts = buffers(parts.cast(pa.large_binary()).view(pa.large_string()))
+        plain = plain_parts(raw, cuts) if self.fast else np.zeros(len(parts), bool)
+        size = np.zeros(len(parts), np.int64)
+        some, rest = np.flatnonzero(plain), np.flatnonzero(~plain)
+        ids, counts = self._core(raw, cuts[some], np.diff(cuts)[some]) if len(some) else (np.zeros(0, np.uint32), np.zeros(0, np.int64))
+        more, others = self._library(parts.take(pa.array(rest)).to_pylist())
+        size[some], size[rest] = counts, others
+        start = np.zeros(len(parts), np.int64)
+        start[some] = np.cumsum(counts) - counts
+        start[rest] = len(ids) + np.cumsum(others) - others
+        return np.concatenate([ids, more]), np.stack([start, size])
+
+    def _parts(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Cuts, ids of the distinct parts, and each part's start among them and size."""
         cuts = safe_cuts(raw, offsets) if self.split else np.unique(offsets)
         kind, width = (pa.binary(), np.int32) if len(raw) < 1 << 31 else (pa.large_binary(), np.int64)
         parts = pa.Array.from_buffers(kind, len(cuts) - 1, [None, pa.py_buffer(cuts.astype(width)), pa.py_buffer(np.ascontiguousarray(raw))])
         coded = parts.dictionary_encode()
-        ids = self._distinct(coded.dictionary.to_pylist())
-        return cuts, ids, np.fromiter(map(len, ids), np.int64, len(ids)) // 4, coded.indices.to_numpy()
+        ids, places = self._distinct(coded.dictionary)
+        start, size = places[:, coded.indices.to_numpy()]
+        return cuts, ids, start, size
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts of an array, one after the other, and bounds (n + 1 entries)."""
         raw, offsets = buffers(texts)
         if not len(raw):
             return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
-        cuts, ids, sizes, which = self._parts(raw, offsets)
-        flat = np.frombuffer(b"".join(ids), np.uint32)
-        n = sizes[which]
-        out = flat[np.repeat((np.cumsum(sizes) - sizes)[which], n) + ranges(n)]
-        total = np.zeros(len(n) + 1, np.int64)
-        np.cumsum(n, out=total[1:])
+        cuts, ids, start, size = self._parts(raw, offsets)
+        out = ids[np.repeat(start, size) + ranges(size)]
+        total = np.zeros(len(size) + 1, np.int64)
+        np.cumsum(size, out=total[1:])
         return out, total[np.searchsorted(cuts, offsets)]
 
     def lengths(self, texts: pa.Array) -> np.ndarray:
@@ -150,9 +218,9 @@ class Encoder:
         raw, offsets = buffers(texts)
         if not len(raw):
             return np.zeros(len(offsets) - 1, np.int64)
-        cuts, _, sizes, which = self._parts(raw, offsets)
+        cuts, _, _, size = self._parts(raw, offsets)
         total = np.zeros(len(cuts), np.int64)
-        np.cumsum(sizes[which], out=total[1:])
+        np.cumsum(size, out=total[1:])
         return np.diff(total[np.searchsorted(cuts, offsets)])
 
 
