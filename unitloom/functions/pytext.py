@@ -20,8 +20,8 @@ PYWS_H = r"\x09\x0B-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x
 #: What the id validators strip: Python's class without U+001C-001F.
 IDWS = r"\x09-\x0D\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 
-REPLACEMENT = "�"
-NBSP = " "
+REPLACEMENT = "\ufffd"
+NBSP = "\xa0"
 
 
 def strip(c: Column, body: str = PYWS) -> Column:

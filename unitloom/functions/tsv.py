@@ -6,7 +6,7 @@ from pyspark.sql import Column, functions as F
 
 FORMAT = "tsv_escaped_v1"
 #: Stands for an escaped backslash while other escapes are undone; a noncharacter.
-MARK = "￾"
+MARK = "\ufffe"
 
 
 def escape(c: Column) -> Column:

@@ -27,8 +27,8 @@ def diagnostic(url: str) -> str:
     """The URL without query, fragment and user."""
     try:
         parts = urlsplit(url)
-        host = parts.netloc.rpartition("@")[2]
-        return urlunsplit((parts.scheme, host, parts.path, "", ""))
+        host = parts.hostname or ""
+        return urlunsplit((parts.scheme, f"[{host}]" if ":" in host else host, parts.path, "", ""))
     except ValueError:
         return ""
 
@@ -41,30 +41,37 @@ def normalize_one(url: str | None, base: str | None = None) -> dict:
         return {"error_code": "invalid_url", "diagnostic_url": ""}
     try:
         parts = urlsplit(urljoin(base, url) if base else url)
-        host, port = parts.hostname, parts.port
+        host = parts.hostname
     except ValueError:
-        return {"error_code": "invalid_url", "diagnostic_url": diagnostic(url)}
+        return {"error_code": "invalid_url", "diagnostic_url": ""}
     shown = {"diagnostic_url": diagnostic(urlunsplit(parts))}
     scheme = parts.scheme.lower()
+    if not scheme:
+        return shown | {"error_code": "invalid_url"}
     if scheme not in PORTS:
-        return shown | {"error_code": "unsupported_url_scheme"}
+        return shown | {"error_code": "unsupported_scheme"}
     if not host:
         return shown | {"error_code": "invalid_url"}
     if parts.username is not None or parts.password is not None:
-        return shown | {"error_code": "url_credentials_not_allowed"}
+        return shown | {"error_code": "userinfo_not_allowed"}
     host = host.lower().removesuffix(".")
     literal = is_literal(host)
-    if not literal:
-        try:
-            host = host.encode("idna").decode("ascii")
-        except UnicodeError:
-            return shown | {"error_code": "invalid_url"}
-    if not host or host == "localhost" or host.endswith(".localhost"):
-        return shown | {"error_code": "blocked_destination" if host else "invalid_url"}
-    if port is not None and port != PORTS[scheme]:
-        return shown | {"error_code": "unsupported_url_port"}
+    try:
+        host = str(ipaddress.ip_address(host)) if literal else host.encode("idna").decode("ascii").lower()
+    except UnicodeError:
+        host = ""
+    if not host:
+        return shown | {"error_code": "invalid_url"}
+    if host == "localhost" or host.endswith(".localhost"):
+        return shown | {"error_code": "blocked_destination"}
+    try:
+        allowed = parts.port in (None, PORTS[scheme])
+    except ValueError:
+        allowed = False
+    if not allowed:
+        return shown | {"error_code": "disallowed_port"}
     netloc = f"[{host}]" if ":" in host else host
-    request = urlunsplit((scheme, netloc, parts.path or "/", parts.query, ""))
+    request = urlunsplit((scheme, netloc, parts.path, parts.query, ""))
     return {"request_url": request, "diagnostic_url": diagnostic(request), "scheme": scheme, "hostname": host, "port": PORTS[scheme], "is_ip_literal": literal}
 
 

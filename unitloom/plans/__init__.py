@@ -1 +1,3 @@
-"""Plans of the engine."""
+"""Registered queries; importing this package fills the registry."""
+
+from . import cleaning  # noqa: F401

@@ -154,7 +154,7 @@ def text_of(node: Node, without: frozenset[str] | set[str] = frozenset(), commen
 
 
 def _unified(text: str) -> str:
-    return text.replace("\r\n", "\n").replace("\r", "\n").replace(" ", " ")
+    return text.replace("\r\n", "\n").replace("\r", "\n").replace("\xa0", " ")
 
 
 def structural(text: str) -> str:

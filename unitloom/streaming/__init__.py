@@ -1 +1,38 @@
-"""Streaming of the engine."""
+"""Continuous runs: sources come in as a stream, each micro-batch is cleaned like a batch."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame
+from pyspark.sql.streaming import StreamingQuery
+
+from ..operators.cleaner import clean
+from ..sources.service import extract
+
+
+def process(sources: DataFrame, sink: Callable[[str, DataFrame, int], None], config: dict[str, object] | None = None) -> None:
+    """Extracts and cleans one batch of sources and hands each table to the sink."""
+    found = extract(sources)
+    done = clean(found.units, config)
+    for name, table in (("clean_units", done.units), ("dropped_units", done.dropped), ("cleaning_warnings", done.warnings), ("cleaning_stats", done.stats), ("extraction_errors", found.errors), ("cleaning_errors", done.errors)):
+        sink(name, table, -1)
+
+
+def parquet_sink(folder: str) -> Callable[[str, DataFrame, int], None]:
+    """Writes each table of a batch to its own folder; a batch that runs again overwrites itself."""
+
+    def write(name: str, table: DataFrame, batch: int) -> None:
+        table.write.mode("overwrite").parquet(f"{folder}/{name}/batch={batch}")
+
+    return write
+
+
+def start(sources: DataFrame, sink: Callable[[str, DataFrame, int], None], checkpoint: str, config: dict[str, object] | None = None, available_now: bool = True) -> StreamingQuery:
+    """Starts the stream.  One row is one document, so a micro-batch never splits one."""
+
+    def batch(rows: DataFrame, number: int) -> None:
+        process(rows, lambda name, table, _: sink(name, table, number), config)
+
+    writer = sources.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if available_now else writer).start()
