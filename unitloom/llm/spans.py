@@ -28,7 +28,7 @@ from .runtime import cut, text_only
 
 U64 = np.uint64
 SPAN = 50
-K = 16
+K = 8
 #: Bits of a sliding key that hold the position; equal hashes go to the first position.
 PLACE_BITS = 28
 
