@@ -1,3 +1,3 @@
 """Registered queries; importing this package fills the registry."""
 
-from . import cleaning  # noqa: F401
+from . import cleaning, extraction  # noqa: F401
