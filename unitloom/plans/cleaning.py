@@ -37,7 +37,11 @@ def units_of(df: DataFrame, source_type: str, **meta) -> DataFrame:
 
 def dirty_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of documents as raw units, with dirt by document and line."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").where("text is not null")
+    return dirty_rows(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def dirty_rows(docs: DataFrame) -> DataFrame:
+    docs = docs.select("doc_id", "text").where("text is not null")
     rows = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "line"))
     line, lit = F.col("line"), F.lit
     dirt = [

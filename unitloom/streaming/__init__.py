@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.cleaner import clean
@@ -36,3 +38,26 @@ def start(sources: DataFrame, sink: Callable[[str, DataFrame, int], None], check
 
     writer = sources.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder where all executors can read and write; a temporary one only if none is set."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="unitloom-")
+    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+
+
+def stream_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs all documents through a stream of micro-batches and reads the statistics back."""
+    from ..plans.cleaning import dirty_rows
+
+    folder = shared_folder(spark)
+    schema = spark.read.parquet(f"{sf_dir}/documents.parquet").schema
+    rows = spark.readStream.schema(schema).option("pathGlobFilter", "documents*.parquet").parquet(sf_dir)
+
+    def batch(docs: DataFrame, number: int) -> None:
+        clean(dirty_rows(docs)).stats.write.mode("overwrite").parquet(f"{folder}/stats/batch={number}")
+
+    query = rows.writeStream.foreachBatch(batch).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
+    query.awaitTermination()
+    names = ["input_units", "output_units", "dropped_units", "modified_units", "unchanged_units", "characters_before", "characters_after", "warning_count"]
+    return spark.read.parquet(f"{folder}/stats").select("document_id", *[F.col(n).cast("long").alias(n) for n in names])
