@@ -47,80 +47,90 @@ def content_type(headers: Column) -> Column:
     return F.struct(media.alias("media_type"), F.when(F.length(charset) > 0, charset).alias("charset"), error.alias("error"))
 
 
-def _checked(requests: DataFrame, dns: DataFrame) -> DataFrame:
-    """Open requests with their normalized URL and, where the address policy refuses, an error."""
-    df = requests.withColumn("n", normalize_url(F.col("next_url"), F.col("base_url")))
-    df = df.join(dns.select(F.col("hostname").alias("h"), "addresses"), F.col("n.hostname") == F.col("h"), "left").drop("h")
+def _followed(state: DataFrame, exchanges: DataFrame, dns: DataFrame, last: bool) -> DataFrame:
+    """All open requests one exchange further; ended ones pass through as they are.
+
+    The state is one table, so the plan has one join with each side for a hop and nothing twice.
+    """
+    df = state.withColumn("n", normalize_url(F.col("next_url"), F.col("base_url")))
+    df = df.join(dns.select(F.col("hostname").alias("h"), "addresses"), F.when(F.col("open"), F.col("n.hostname")) == F.col("h"), "left").drop("h")
     found = F.when(F.col("n.is_ip_literal"), F.array("n.hostname")).otherwise(F.coalesce("addresses", F.array().cast("array<string>")))
+    df = df.withColumn("public", all_public(found))
     code = (
-        F.when(F.col("n.error_code").isNotNull(), F.col("n.error_code"))
+        F.when(~F.col("open"), F.col("error_code"))
+        .when(F.col("n.error_code").isNotNull(), F.col("n.error_code"))
         .when(F.col("base_url").startswith("https:") & (F.col("n.scheme") == "http"), "https_downgrade_redirect")
         .when(F.size(found) == 0, "dns_resolution_failed")
-        .when(~all_public(found), "blocked_destination")
+        .when(~F.col("public"), "blocked_destination")
         .when(F.array_contains("visited", F.col("n.request_url")), "redirect_loop")
     )
-    return df.withColumn("error_code", code).withColumn("url", F.col("n.request_url")).drop("n", "addresses")
+    df = df.withColumn("error_code", code).withColumn("probe", F.when(F.col("open") & F.col("error_code").isNull(), F.col("n.request_url"))).drop("n", "addresses", "public")
+    seen = exchanges.select(F.col("url").alias("x"), F.col("status").alias("s"), F.col("headers").alias("hs"), F.col("body").alias("b"))
+    df = df.join(seen, F.col("probe") == F.col("x"), "left")
+    asked = F.col("probe").isNotNull()
+    moved = asked & F.coalesce(F.col("s").isin(REDIRECTS), F.lit(False))
+    target = F.trim(F.get(F.transform(F.filter("hs", lambda h: F.lower(h["name"]) == "location"), lambda h: h["value"]), F.lit(0)))
+    broken = F.lit("redirect_limit_exceeded") if last else F.when(F.coalesce(F.length("target"), F.lit(0)) == 0, "invalid_redirect")
+    df = df.withColumns({"moved": moved, "target": F.when(moved, target)}).withColumn("error_code", F.when(F.col("moved"), broken).otherwise(F.col("error_code")))
+    goes_on = F.col("moved") & F.col("error_code").isNull()
+    return df.select(
+        "request_id",
+        "original_url",
+        F.coalesce("probe", "url").alias("url"),
+        F.when(goes_on, F.col("target")).alias("next_url"),
+        F.when(goes_on, F.col("probe")).alias("base_url"),
+        F.when(goes_on, F.array_append("visited", F.col("probe"))).otherwise(F.col("visited")).alias("visited"),
+        (F.col("redirect_count") + goes_on.cast("int")).alias("redirect_count"),
+        "error_code",
+        goes_on.alias("open"),
+        F.when(asked, F.col("s")).otherwise(F.col("status")).alias("status"),
+        F.when(asked, F.col("hs")).otherwise(F.col("headers")).alias("headers"),
+        F.when(asked & ~F.col("moved"), F.col("b")).otherwise(F.col("body")).alias("body"),
+    )
 
 
 def replay(requests: DataFrame, exchanges: DataFrame, dns: DataFrame, limits: dict[str, int] | None = None) -> DataFrame:
     """One row for each request (request_id, url): what fetching it gives, or an error code."""
     limits = FETCH_LIMITS | (limits or {})
-    open_ = requests.select("request_id", F.col("url").alias("original_url"), F.col("url").alias("next_url"), F.lit(None).cast("string").alias("base_url"), F.array().cast("array<string>").alias("visited"), F.lit(0).alias("redirect_count"))
-    ended = []
-    seen = exchanges.select(F.col("url").alias("x"), "status", "headers", "body")
+    kinds = {f.name: f.dataType for f in exchanges.schema}
+    none = lambda name: F.lit(None).cast(kinds[name]).alias(name)
+    state = requests.select(
+        "request_id", F.col("url").alias("original_url"), F.lit(None).cast("string").alias("url"), F.col("url").alias("next_url"), F.lit(None).cast("string").alias("base_url"),
+        F.array().cast("array<string>").alias("visited"), F.lit(0).alias("redirect_count"), F.lit(None).cast("string").alias("error_code"), F.lit(True).alias("open"), none("status"), none("headers"), none("body"),
+    )
     for hop in range(limits["max_redirects"] + 1):
-        now = _checked(open_, dns)
-        ended.append(_result(now.where("error_code is not null"), limits, answered=False))
-        got = now.where("error_code is null").join(seen, F.col("url") == F.col("x"), "left").drop("x", "error_code")
-        redirect = F.coalesce(F.col("status").isin(REDIRECTS), F.lit(False))
-        ended.append(_result(got.where(~redirect), limits, answered=True))
-        target = F.trim(F.get(F.transform(F.filter("headers", lambda h: F.lower(h["name"]) == "location"), lambda h: h["value"]), F.lit(0)))
-        moved = got.where(redirect).withColumn("target", target)
-        over = hop == limits["max_redirects"]
-        broken = F.lit("redirect_limit_exceeded") if over else F.when(F.coalesce(F.length("target"), F.lit(0)) == 0, "invalid_redirect")
-        moved = moved.withColumn("error_code", broken)
-        ended.append(_result(moved.where("error_code is not null"), limits, answered=False))
-        if over:
-            break
-        open_ = moved.where("error_code is null").select("request_id", "original_url", F.col("target").alias("next_url"), F.col("url").alias("base_url"), F.array_append("visited", F.col("url")).alias("visited"), (F.col("redirect_count") + 1).alias("redirect_count"))
-    out = ended[0]
-    for part in ended[1:]:
-        out = out.unionByName(part)
-    return out
-
-
-def _result(rows: DataFrame, limits: dict[str, int], answered: bool) -> DataFrame:
+        state = _followed(state, exchanges, dns, hop == limits["max_redirects"])
+    return _result(state, limits)
+
+
+def _result(rows: DataFrame, limits: dict[str, int]) -> DataFrame:
     most = limits["max_body_bytes"]
-    if answered:
-        size = content_length(F.col("headers"))
-        kind = content_type(F.col("headers"))
-        rows = rows.withColumns({"size": size, "kind": kind})
-        # In the order in which a response is looked at.
-        code = (
-            F.when(F.col("status").isNull(), "network_error")
-            .when(status_error(F.col("status")).isNotNull(), status_error(F.col("status")))
-            .when(F.col("size.bad"), "invalid_content_length")
-            .when(F.col("size.value") > most, "response_too_large")
-            .when(F.col("kind.error").isNotNull(), F.col("kind.error"))
-            .when(F.length("body") > most, "response_too_large")
-            .when(F.coalesce(F.length("body"), F.lit(0)) == 0, "empty_response")
-        )
-        rows = rows.withColumn("error_code", code)
+    rows = rows.withColumns({"size": content_length(F.col("headers")), "kind": content_type(F.col("headers"))})
+    # In the order in which a response is looked at.
+    code = (
+        F.when(F.col("error_code").isNotNull(), F.col("error_code"))
+        .when(F.col("status").isNull(), "network_error")
+        .when(status_error(F.col("status")).isNotNull(), status_error(F.col("status")))
+        .when(F.col("size.bad"), "invalid_content_length")
+        .when(F.col("size.value") > most, "response_too_large")
+        .when(F.col("kind.error").isNotNull(), F.col("kind.error"))
+        .when(F.length("body") > most, "response_too_large")
+        .when(F.coalesce(F.length("body"), F.lit(0)) == 0, "empty_response")
+    )
+    rows = rows.withColumn("error_code", code)
     fine = F.col("error_code").isNull()
-    none = lambda kind: F.lit(None).cast(kind)
-    pick = lambda c, kind: F.when(fine, F.col(c)).otherwise(none(kind)) if answered else none(kind)
     return rows.select(
         "request_id",
         "original_url",
         F.when(fine, F.col("url")).alias("final_url"),
-        pick("status", "int").cast("int").alias("status_code"),
-        pick("kind.media_type", "string").alias("media_type"),
-        pick("kind.charset", "string").alias("charset"),
-        pick("size.value", "long").alias("content_length_header"),
-        (F.when(fine, F.length("body")).cast("long") if answered else none("long")).alias("downloaded_bytes"),
-        pick("body", "binary").alias("content_bytes"),
+        F.when(fine, F.col("status")).cast("int").alias("status_code"),
+        F.when(fine, F.col("kind.media_type")).alias("media_type"),
+        F.when(fine, F.col("kind.charset")).alias("charset"),
+        F.when(fine, F.col("size.value")).alias("content_length_header"),
+        F.when(fine, F.length("body")).cast("long").alias("downloaded_bytes"),
+        F.when(fine, F.col("body")).alias("content_bytes"),
         F.col("redirect_count").cast("int").alias("redirect_count"),
-        F.col("error_code").cast("string").alias("error_code"),
+        "error_code",
         F.when(~fine, "downloading").alias("failed_stage"),
         F.coalesce(F.col("error_code").isin(RETRYABLE), F.lit(False)).alias("retryable"),
     )
