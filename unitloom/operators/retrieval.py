@@ -68,6 +68,7 @@ def _dot(a: Column, b: Column) -> Column:
 def search(store: DataFrame, query: list[float], top_k: int, key: str = "vec_id") -> DataFrame:
     """The top_k rows by cosine, exact: one narrow pass and a top-k, no exchange of vectors."""
     vector = F.array(*[F.lit(float(x)) for x in query])
-    score = _dot(F.col("embedding"), vector) / F.sqrt(_dot(F.col("embedding"), F.col("embedding")) * _dot(vector, vector))
+    # A vector of no length has no angle, so it is in no result.
+    score = F.try_divide(_dot(F.col("embedding"), vector), F.sqrt(_dot(F.col("embedding"), F.col("embedding")) * _dot(vector, vector)))
     best = store.select(key, score.alias("vector_score")).where(F.col("vector_score").isNotNull()).orderBy(F.desc("vector_score"), key).limit(top_k)
     return best.withColumn("retrieval_rank", F.row_number().over(Window.orderBy(F.desc("vector_score"), key)))
