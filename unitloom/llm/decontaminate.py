@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import words
-from .runtime import text_only
+from .runtime import narrow, text_only
 
 U64 = np.uint64
 WINDOW = 10
@@ -232,7 +232,7 @@ def _scanned(docs: DataFrame, automaton: Automaton, text: bool) -> DataFrame:
                     ["doc_id", "text", "n_words", "hits", "items"],
                 )
 
-    return docs.mapInArrow(run, FOUND)
+    return docs.mapInArrow(narrow(run), FOUND)
 
 
 def _merged(ranges: pa.Array) -> list[list[tuple[int, int]]]:
@@ -263,7 +263,7 @@ def scanned(docs: DataFrame, items: DataFrame, window: int = WINDOW, text: bool
     every = reduce(DataFrame.unionAll, [f.where("size(items) > 0").select("doc_id", "h", "hits", "items") for f in found])
     # Equal rows have equal findings, so findings of one key are the same however often it occurs.
     joined = every.groupBy("doc_id", "h").agg(F.array_distinct(F.flatten(F.collect_set("hits"))).alias("hits"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"))
-    base = keyed(plain.mapInArrow(_counted, "doc_id long, text string, n_words long"))
+    base = keyed(plain.mapInArrow(narrow(_counted), "doc_id long, text string, n_words long"))
     both = base.join(joined, base["doc_id"].eqNullSafe(joined["doc_id"]) & base["h"].eqNullSafe(joined["h"]), "left")
     return both.select(base["doc_id"], base["text"], "n_words", F.coalesce("hits", F.array()).alias("hits"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
 
@@ -295,7 +295,7 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, limit
             yield pa.record_batch([batch.column("doc_id"), batch.column("n_words"), pa.array(n_hit, pa.int64()), pa.array([len(x) for x in items], pa.int64()), pa.array(digest, pa.string()), pa.array([x > 0 for x in n_hit], pa.bool_())], ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
 
     found = scanned(docs, items, window, limit=limit).select("doc_id", "n_words", "hits", "items")
-    return found.mapInArrow(run, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
+    return found.mapInArrow(narrow(run), "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, most_coverage: float = 0.5) -> DataFrame:
@@ -330,7 +330,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, most_
                     columns = [pa.array(texts, part.schema.field(at).type) if k == at else c for k, c in enumerate(part.columns)]
                     yield pa.record_batch(columns, part.schema.names).filter(pa.array(stay))
 
-        docs = docs.mapInArrow(run, schema)
+        docs = docs.mapInArrow(narrow(run), schema)
     return docs
 
 

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from . import words
-from .runtime import text_only
+from .runtime import narrow, text_only
 
 U64 = np.uint64
 
@@ -227,7 +227,7 @@ def train(docs: DataFrame, sample: int = SAMPLE, penalty: float = PENALTY) -> Mo
             use = np.flatnonzero(scripts[lang])
             yield pa.record_batch([pa.array([lang] * (len(some) + len(use))), pa.array(np.concatenate([some, BUCKETS + use]), pa.int64()), pa.array(np.concatenate([table[some], scripts[lang][use]]), pa.int64())], ["lang", "bucket", "n"])
 
-    counted = _sample(docs, sample).select("text", "lang").mapInArrow(run, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    counted = _sample(docs, sample).select("text", "lang").mapInArrow(narrow(run), "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     got = counted.toArrow().to_pandas()
     langs = sorted(got["lang"].unique().tolist())
     table = np.zeros((len(langs), BUCKETS))
@@ -296,7 +296,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
                     kept, size = [], 0
         yield from flush(kept, own)
 
-    return text_only(docs).mapInArrow(run, "doc_id long, lang_pred string, score double, n_spans long")
+    return text_only(docs).mapInArrow(narrow(run), "doc_id long, lang_pred string, score double, n_spans long")
 
 
 def identify(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import words
-from .runtime import text_only
+from .runtime import narrow, text_only
 
 # Phrases whose places are counted, and their labels.
 PHRASES = [("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl")]
@@ -112,7 +112,7 @@ def template_counts(docs: DataFrame, templates: list[tuple[str, str]]) -> dict[i
         some = np.flatnonzero(total)
         yield pa.record_batch([pa.array(some, pa.int64()), pa.array(total[some], pa.int64())], ["word", "n"])
 
-    counted = docs.select("text").mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    counted = docs.select("text").mapInArrow(narrow(run), "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
     return {row.word: row.n for row in counted.collect()}
 
 
@@ -185,7 +185,7 @@ def license_scan(docs: DataFrame, phrases: list[tuple[str, str]] | None = None,
                     ["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"],
                 )
 
-    return plain.mapInArrow(run, COLUMNS)
+    return plain.mapInArrow(narrow(run), COLUMNS)
 
 
 def _blocks_met(found: words.Words, owner: np.ndarray, own: Templates, block: int, step: int) -> Iterator[tuple[int, int, float]]:

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from . import words
 from .components import components
-from .runtime import cut, shuffle_partitions, text_only
+from .runtime import cut, narrow, shuffle_partitions, text_only
 
 U64 = np.uint64
 TREES = 16
@@ -121,7 +121,7 @@ def signatures(docs: DataFrame, size: int) -> DataFrame:
                 n, *rest = _signed(batch.column(1).slice(i, j - i), size, scale)
                 yield pa.record_batch([batch.column(0).slice(i, j - i), pa.array(n, pa.int64()), *(pa.array(x, pa.binary()) for x in rest)], ["doc_id", "n_shingles", "set_key", "signature", "sketch"])
 
-    return text_only(docs).mapInArrow(run, "doc_id long, n_shingles long, set_key binary, signature binary, sketch binary")
+    return text_only(docs).mapInArrow(narrow(run), "doc_id long, n_shingles long, set_key binary, signature binary, sketch binary")
 
 
 def _near(tree: np.ndarray, key: np.ndarray, bits: np.ndarray, rep: np.ndarray, n: np.ndarray, percent: int, reach: int, new) -> pa.RecordBatch | None:
@@ -223,8 +223,8 @@ def candidates(reps: DataFrame, percent: int, reach: int = NEIGHBOURS) -> DataFr
     rows = spread.select("tree", F.expr(f"substring(s, tree * {width} + 1, {4 * KEY_HASHES})").alias("key"), "sketch", "rep", "n")
     parts = shuffle_partitions(reps.sparkSession)
     ordered = rows.repartitionByRange(parts, "tree", "key", "rep").sortWithinPartitions("tree", "key", "rep")
-    found = cut(ordered.mapInArrow(_within(percent, reach), PAIRS))
-    seams = found.where("part is not null").repartition(1).sortWithinPartitions("tree", "key", "rep").mapInArrow(_seams(percent, reach), PAIRS)
+    found = cut(ordered.mapInArrow(narrow(_within(percent, reach)), PAIRS))
+    seams = found.where("part is not null").repartition(1).sortWithinPartitions("tree", "key", "rep").mapInArrow(narrow(_seams(percent, reach)), PAIRS)
     every = found.where("part is null").select("a", "b", "score").unionAll(seams.select("a", "b", "score"))
     return every.groupBy("a", "b").agg(F.max("score").alias("score"))
 
@@ -236,7 +236,7 @@ def _sets(docs: DataFrame, size: int) -> DataFrame:
                 h, bound = shingle_sets(batch.column(1).slice(i, j - i), size)
                 yield pa.record_batch([batch.column(0).slice(i, j - i), pa.ListArray.from_arrays(pa.array(bound, pa.int32()), pa.array(h.view(np.int64)))], ["id", "s"])
 
-    return docs.mapInArrow(run, "id long, s array<long>")
+    return docs.mapInArrow(narrow(run), "id long, s array<long>")
 
 
 def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -300,8 +300,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
 
     Null and empty texts, and texts without words, have n_shingles 0 and are linked with nothing.
     Rows with a null doc_id link with nothing and come back with a null component_id and kept
-    true, as there is no id by which to choose another.  Rows that repeat a doc_id are one
-    document: each comes back, with the same component.  Extra columns are not read.
+    true, as there is no id by which to choose another.  Rows that repeat a doc_id come
+    back each with the component of its own text; links of any of them tie the id.  Extra columns
+    are not read.
     """
     signed, of = groups(docs, shingle, percent)
     least = signed.where("set_key is not null and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("rep"))
@@ -313,7 +314,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
 def keep_one(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     """The rows of docs, all columns, without those whose group is kept by another document.
 
-    Exact copies of the kept document that carry the kept document's own doc_id also stay.
+    Rows with a null doc_id stay.  Of rows that repeat a doc_id all stay if one of them is kept.
     """
-    gone = near_duplicates(docs, shingle, percent).where("not kept").select(F.col("doc_id").alias("__ul_gone")).distinct()
+    kept = near_duplicates(docs, shingle, percent).where("doc_id is not null").groupBy(F.col("doc_id").alias("__ul_gone")).agg(F.max("kept").alias("__ul_kept"))
+    gone = kept.where("not __ul_kept").select("__ul_gone")
     return docs.join(gone, docs["doc_id"].cast("long") == F.col("__ul_gone"), "left_anti")

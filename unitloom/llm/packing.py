@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from . import words
 from .bpe import default_path, encoded, encoder
-from .runtime import shuffle_partitions, text_only
+from .runtime import narrow, shuffle_partitions, text_only
 
 LENGTH = 2048
 END_ID = 1
@@ -125,7 +125,7 @@ def pack_best_fit(docs: DataFrame, tokenizer: str | None = None, length: int = L
         if block.pieces:
             yield block.packed()
 
-    return text_only(docs).mapInArrow(run, PACKED)
+    return text_only(docs).mapInArrow(narrow(run), PACKED)
 
 
 class Block:
@@ -270,7 +270,7 @@ def deal(docs: DataFrame, target: int = TARGET_BYTES) -> Deal:
         yield pa.record_batch([pa.array(some, pa.int64()), pa.array(total[some], pa.int64())], ["cell", "n"])
 
     size = np.zeros(1 << CELL_BITS, np.int64)
-    for row in docs.mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():
+    for row in docs.mapInArrow(narrow(run), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():
         size[row.cell] = row.n
     parts = max(shuffle_partitions(docs.sparkSession), -(-int(size.sum()) // target), 1)
     each = max(1, -(-int(size.sum()) // parts))
@@ -350,8 +350,8 @@ def pack_along_curve(docs: DataFrame, tokenizer: str | None = None, length: int
         held = pa.array([r[2].tobytes() for r in rows], pa.binary()) if ids else pa.nulls(len(rows), pa.binary())
         return pa.record_batch([column(0), column(1), pa.array([len(r[2]) for r in rows], pa.int64()), pa.array(crc, pa.int64()), column(3), column(4), column(5), held], [x.split()[0] for x in PIECES.split(", ")])
 
-    rows = plain.mapInArrow(encode, "part int, key long, doc_id long, ids binary")
-    return rows.repartitionById(plan.parts, F.col("part")).sortWithinPartitions("key", "doc_id", "ids").mapInArrow(pack, PIECES)
+    rows = plain.mapInArrow(narrow(encode), "part int, key long, doc_id long, ids binary")
+    return rows.repartitionById(plan.parts, F.col("part")).sortWithinPartitions("key", "doc_id", "ids").mapInArrow(narrow(pack), PIECES)
 
 
 def recut(tail: list[tuple], left: int, sequence: int) -> Iterator[tuple]:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import words
-from .runtime import cut, text_only
+from .runtime import cut, narrow, text_only
 
 U64 = np.uint64
 SPAN = 50
@@ -90,7 +90,7 @@ def edges(docs: DataFrame, span: int, k: int) -> DataFrame:
                     ["edge", "around", "doc_id", "place"],
                 )
 
-    return docs.mapInArrow(run, "edge long, around long, doc_id long, place int")
+    return docs.mapInArrow(narrow(run), "edge long, around long, doc_id long, place int")
 
 
 def _range_hash(h: np.ndarray, low: np.ndarray, high: np.ndarray, lead: np.ndarray) -> np.ndarray:
@@ -159,7 +159,7 @@ def _windows(docs: DataFrame, span: int, k: int) -> DataFrame:
                 h2 = words.window_hashes(words.mix(found.hash ^ U64(words.ROOT3)), span)[starts]
                 yield pa.record_batch([pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array(ids[i:j][own]), pa.array((starts - found.doc[own]).astype(np.int32))], ["h1", "h2", "doc_id", "start"])
 
-    return docs.select("doc_id", "text", "places").mapInArrow(run, "h1 long, h2 long, doc_id long, start int")
+    return docs.select("doc_id", "text", "places").mapInArrow(narrow(run), "h1 long, h2 long, doc_id long, start int")
 
 
 def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -192,7 +192,8 @@ def remove_spans(docs: DataFrame, span: int = SPAN, k: int = K, digest: bool = F
 
     Null and empty texts and texts of fewer words than a window lose nothing.  Rows with a null
     doc_id neither lose words nor make others lose any.  Rows that repeat a doc_id are one
-    document: they don't make each other lose words.  Extra columns are not read.
+    document and should repeat its text: they don't make each other lose words, and what one of
+    them loses goes at the same places of the others.  Extra columns are not read.
     """
     # Both joins with texts are by doc_id over the same rows, so texts are dealt out once.
     plain = text_only(docs).where("doc_id is not null")
@@ -218,4 +219,4 @@ def remove_spans(docs: DataFrame, span: int = SPAN, k: int = K, digest: bool = F
                     kept.append(hashlib.sha256(text).hexdigest() if digest else text.decode())
                 yield pa.record_batch([part.column("doc_id"), pa.array(found.counts(), pa.int64()), pa.array(np.diff(total), pa.int64()), pa.array(kept, pa.string())], ["doc_id", "n_words", "n_removed", "kept"])
 
-    return both.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept string")
+    return both.mapInArrow(narrow(run), "doc_id long, n_words long, n_removed long, kept string")

@@ -9,7 +9,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from .bpe import CHUNK_BYTES, default_path, encoder
-from .runtime import text_only
+from .runtime import narrow, text_only
 from .words import slices
 
 
@@ -34,4 +34,4 @@ def token_counts(docs: DataFrame, tokenizer: str | None = None, limit: int = 102
                 size = pc.fill_null(pc.binary_length(part), 0).cast(pa.int64())
                 yield pa.record_batch([ids.slice(i, j - i), size, pa.array(n, pa.int64()), pa.array(n > limit)], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
-    return text_only(docs).mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    return text_only(docs).mapInArrow(narrow(run), "doc_id long, n_bytes long, n_tokens long, over_limit boolean")

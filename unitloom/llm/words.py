@@ -28,6 +28,8 @@ MIX2 = 0x94D049BB133111EB
 
 #: Most bytes of text that are scanned at once; a longer single text is scanned alone.
 SCAN_BYTES = 2 << 20
+#: Bytes that are hashed at once; the tables of powers are of this size.
+HASH_BYTES = 256 << 10
 
 
 def separators(pattern: str) -> np.ndarray:
@@ -124,8 +126,8 @@ class Words:
 def scan(texts: pa.Array, table: np.ndarray, lower: bool) -> Words:
     """Finds and hashes the words of every text of an array.
 
-    Hashing goes through the bytes in blocks that end between words, so that a very long text
-    needs a few bytes of memory a byte of text and not dozens.
+    Hashing goes through the bytes in blocks that end between words, so that a long text needs a
+    few bytes of memory a byte of text and not dozens.
     """
     raw, offsets = buffers(texts)
     if lower:
@@ -139,7 +141,7 @@ def scan(texts: pa.Array, table: np.ndarray, lower: bool) -> Words:
     begins, ends, hashes = [], [], []
     at = 0
     while at < n:
-        stop = min(at + 2 * SCAN_BYTES, n)
+        stop = min(at + HASH_BYTES, n)
         while stop < n and inside[stop + 1]:
             gap = np.flatnonzero(~inside[stop + 1 : stop + 1 + 65536])
             stop = min(stop + (int(gap[0]) if len(gap) else 65536), n)
