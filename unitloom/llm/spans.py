@@ -10,7 +10,7 @@ neighbourhood: the words that all windows which chose it may cover.  Where all o
 edge agree on that, the path through the edge does not branch: any window on it occurs exactly
 where the edge does, and one row stands for up to ``span - k + 1`` windows.  Consecutive edges of
 a document on nonbranching paths make one compacted span.  Only at edges where occurrences
-disagree, which is at the ends of shared passages, windows are compared one by one, with 128-bit
+disagree, which is at the ends of shared passages, windows are compared one by one, with 96-bit
 hashes.
 """
 
@@ -28,7 +28,7 @@ from .runtime import cut, narrow, text_only
 
 U64 = np.uint64
 SPAN = 50
-K = 8
+K = 24
 #: Bits of a sliding key that hold the position; equal hashes go to the first position.
 PLACE_BITS = 28
 
@@ -157,9 +157,9 @@ def _windows(docs: DataFrame, span: int, k: int) -> DataFrame:
                 own = np.searchsorted(found.doc, starts, side="right") - 1
                 h1 = words.window_hashes(found.hash, span)[starts]
                 h2 = words.window_hashes(words.mix(found.hash ^ U64(words.ROOT3)), span)[starts]
-                yield pa.record_batch([pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array(ids[i:j][own]), pa.array((starts - found.doc[own]).astype(np.int32))], ["h1", "h2", "doc_id", "start"])
+                yield pa.record_batch([pa.array(h1.view(np.int64)), pa.array((h2 >> U64(32)).astype(np.uint32).view(np.int32)), pa.array(ids[i:j][own]), pa.array((starts - found.doc[own]).astype(np.int32))], ["h1", "h2", "doc_id", "start"])
 
-    return docs.select("doc_id", "text", "places").mapInArrow(narrow(run), "h1 long, h2 long, doc_id long, start int")
+    return docs.select("doc_id", "text", "places").mapInArrow(narrow(run), "h1 long, h2 int, doc_id long, start int")
 
 
 def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
