@@ -5,8 +5,8 @@ several keys ("trees"), and each tree is one sorted order of the corpus, made by
 exchange.  Candidates of a document are its neighbours in an order, on condition that their keys
 share a prefix.  How deep a prefix is needed follows from the region: where few keys are alike,
 neighbours with ``least_depth`` equal hashes are reached, and in a dense region the nearest
-positions are taken by keys that agree much further.  So a tree gives each document at most
-``neighbours`` candidates on either side, whatever the size of its group.
+positions are taken by keys that agree much further.  So a tree gives each document a few
+candidates, the most alike of its ``NEIGHBOURS`` on either side, whatever the size of its group.
 
 A sketch of two bits of each hash goes with every key.  It leaves out pairs that can't reach the
 threshold (short of it by DEVIATIONS standard deviations) and ranks the others.
@@ -29,14 +29,16 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from . import words
 from .components import components
-from .runtime import cut, narrow, shuffle_partitions, text_only
+from .runtime import cut, dealt_anew, narrow, shuffle_partitions, text_only
 
 U64 = np.uint64
 TREES = 16
 TREE_HASHES = 6
 KEY_HASHES = 8
 LEAST_DEPTH = 3
-NEIGHBOURS = 16
+NEIGHBOURS = 32
+#: Of a document's neighbours in one order so many are candidates, the most alike by sketch.
+BEST_OF_TREE = 6
 #: Candidates of a document that are confirmed in the first rounds; the last round takes all.
 BEST = (32,)
 HUBS = 16
@@ -127,24 +129,36 @@ def signatures(docs: DataFrame, size: int) -> DataFrame:
 def _near(tree: np.ndarray, key: np.ndarray, bits: np.ndarray, rep: np.ndarray, n: np.ndarray, percent: int, reach: int, new) -> pa.RecordBatch | None:
     """Pairs of rows at most reach apart that share a prefix; new(d) masks the pairs that count.
 
-    The score is the number of equal 2-bit hashes; pairs for which it is out of reach are left out.
+    The score is the number of equal 2-bit hashes; pairs for which it is out of reach are left
+    out, and so are those that are among the best few of neither of their rows.
     """
-    found, least = [], least_alike(percent)
-    for d in range(1, min(reach, len(rep) - 1) + 1):
-        ok = (tree[d:] == tree[:-d]) & new(d)
+    rows, reach = len(rep), min(reach, len(rep) - 1)
+    if reach < 1:
+        return None
+    least = least_alike(percent)
+    score = np.zeros((reach, rows), np.int16)  # of row i with row i + d, at (d - 1, i)
+    for d in range(1, reach + 1):
+        ok = tree[d:] == tree[:-d]
         ok &= 100 * np.minimum(n[d:], n[:-d]) >= percent * np.maximum(n[d:], n[:-d])
-        ok &= (key[d:, :LEAST_DEPTH] == key[:-d, :LEAST_DEPTH]).all(1)
+        ok &= (rep[d:] != rep[:-d]) & (key[d:, :LEAST_DEPTH] == key[:-d, :LEAST_DEPTH]).all(1)
         at = np.flatnonzero(ok)
         if len(at):
-            score = TREES * TREE_HASHES - _DIFFERING[bits[at] ^ bits[at + d]].sum(1, dtype=np.int32)
-            at, score = at[score >= least], score[score >= least]
-            x, y = rep[at], rep[at + d]
-            found.append((np.minimum(x, y), np.maximum(x, y), score))
-    if not found:
+            got = TREES * TREE_HASHES - _DIFFERING[bits[at] ^ bits[at + d]].sum(1, dtype=np.int16)
+            score[d - 1, at] = np.where(got >= least, got, 0)
+    if not score.any():
         return None
-    a, b, score = (np.concatenate(x) for x in zip(*found, strict=True))
-    apart = a != b
-    return _pairs(a[apart], b[apart], score[apart])
+    both = np.zeros((2 * reach, rows), np.int16)
+    both[:reach] = score
+    for d in range(1, reach + 1):
+        both[reach + d - 1, d:] = score[d - 1, :-d]
+    enough = np.sort(both, axis=0)[-min(BEST_OF_TREE, 2 * reach)]
+    found = []
+    for d in range(1, reach + 1):
+        own = score[d - 1, :-d]
+        at = np.flatnonzero((own > 0) & ((own >= enough[:-d]) | (own >= enough[d:])) & new(d))
+        x, y = rep[at], rep[at + d]
+        found.append((np.minimum(x, y), np.maximum(x, y), own[at]))
+    return _pairs(*(np.concatenate(x) for x in zip(*found, strict=True)))
 
 
 PAIRS = "a long, b long, score int, tree int, key binary, sketch binary, rep long, n long, part int"
@@ -306,7 +320,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     """
     signed, of = groups(docs, shingle, percent)
     least = signed.where("set_key is not null and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("rep"))
-    found = signed.select("doc_id", "n_shingles", "set_key").join(least, "set_key", "left").join(of.withColumnRenamed("id", "rep"), "rep", "left")
+    found = signed.select("doc_id", "n_shingles", "set_key").join(dealt_anew(least), "set_key", "left").join(of.withColumnRenamed("id", "rep"), "rep", "left")
     out = found.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id")).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
