@@ -27,6 +27,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def dealt_anew(df: DataFrame) -> DataFrame:
+    """An aggregate that is about to be joined with the rows it was made of.
+
+    Without this the join takes over the aggregate's dealing, and Spark can only split a hot
+    key's partition if both sides of a join are dealt out for the join itself.
+    """
+    return df.hint("rebalance")
+
+
 Pass = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
 
 

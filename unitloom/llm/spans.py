@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import words
-from .runtime import cut, narrow, text_only
+from .runtime import cut, dealt_anew, narrow, text_only
 
 U64 = np.uint64
 SPAN = 50
@@ -123,7 +123,7 @@ def repeats(plain: DataFrame, span: int, k: int) -> DataFrame:
     """
     every = edges(plain, span, k)
     known = every.groupBy("edge").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), (F.min("around") == F.max("around")).alias("straight")).where("first < last").drop("last")
-    met = every.select("edge", "doc_id", "place").join(known, "edge").where("not straight or doc_id > first")
+    met = every.select("edge", "doc_id", "place").join(dealt_anew(known), "edge").where("not straight or doc_id > first")
     return cut(met.select("doc_id", "place", "straight"))
 
 
@@ -138,7 +138,7 @@ def marks(plain: DataFrame, span: int, k: int) -> DataFrame:
     branching = _of_document(repeated.where("not straight"), "place", "places")
     single = _windows(plain.join(branching, "doc_id"), span, k)
     smallest = single.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").drop("last")
-    starts = _of_document(single.join(smallest, ["h1", "h2"]).where("doc_id > first"), "start", "starts")
+    starts = _of_document(single.join(dealt_anew(smallest), ["h1", "h2"]).where("doc_id > first"), "start", "starts")
     return paths.join(starts, "doc_id", "full").withColumnRenamed("doc_id", "id")
 
 
