@@ -113,6 +113,7 @@ def assembled(blocks: DataFrame, limits: dict[str, int] | None = None, levels: i
         F.count_if(F.col("warning_code").isNotNull()).alias("warning_count"),
         F.max("characters").alias("characters"),
         *[F.count_if(F.col("stays") & (F.col("block_type") == b)).alias(f"emitted_{b}") for b in BLOCK_TYPES],
+        *[F.count_if(F.col("block_type") == b).alias(f"observed_{b}") for b in OBSERVED],
         F.first("facts", ignorenulls=True).alias("facts"),
     )
     return Extracted(raw_units(every), warnings, stats, errors)
@@ -121,6 +122,9 @@ def assembled(blocks: DataFrame, limits: dict[str, int] | None = None, levels: i
 # Block types in the order in which statistics list them.
 BLOCK_TYPES = ["document_title", "heading", "paragraph", "code_block", "list_item", "table_caption", "table", "blockquote", "blockquote_text", "container_text", "text"]
 
+#: Of these, blank ones are worth a count too.
+OBSERVED = ["heading", "paragraph", "table", "unsupported"]
+
 
 def failed_stage(code: Column) -> Column:
     """Where a failure code belongs."""

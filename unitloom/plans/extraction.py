@@ -14,7 +14,7 @@ from ..operators import assemble, cleaner, filters, validate
 from ..operators.normalize import normalize
 from ..registry import register
 from ..schemas import SOURCES
-from ..sources import docx, html, pdf, service
+from ..sources import catalogue, docx, html, pdf, service
 from . import sql
 from .cleaning import _long, dirty_units, units_of
 
@@ -290,3 +290,40 @@ def unit_lineage(spark: SparkSession, sf_dir: str) -> DataFrame:
     units = cleaner.clean(dirty_units(spark, sf_dir)).units.groupBy("document_id").agg(F.count("*").alias("units"))
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.concat(lit("doc-"), F.col("doc_id").cast("string")).alias("document_id"), "lang", "source")
     return docs.join(units, "document_id").select("document_id", "lang", "source", "units")
+
+
+@register(
+    "source_catalogue",
+    """SELECT 'src-' || page_id AS source_id, CASE WHEN page_id % 6 = 1 THEN 'failed' ELSE 'completed' END AS status, CASE WHEN page_id % 6 = 1 THEN 'parsing' ELSE 'completed' END AS current_stage,
+    CASE WHEN page_id % 6 = 1 THEN 'extraction_parsing_failed' END AS error_code, lower(regexp_extract(url, '^https?://([^/?#]*)', 1)) AS domain, sha256(encode(html)) AS checksum FROM pages""",
+)
+def source_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """State of all web pages after extraction; every sixth has a media type that is refused."""
+    k = F.substring_index("document_id", "-", -1).cast("long") % 6
+    src = page_sources(spark, sf_dir).withColumn("media_type", F.when(k == 1, "image/png").otherwise("text/html"))
+    table = catalogue.catalogue(src, html.extract_html(src))
+    return table.select("source_id", "status", "current_stage", "error.error_code", "metadata.domain", F.col("metadata.checksum_sha256").alias("checksum"))
+
+
+@register("broken_catalogue", "SELECT NULL::VARCHAR AS rule, NULL::VARCHAR AS key WHERE false")
+def broken_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows that break the catalogue's rules: none."""
+    src = page_sources(spark, sf_dir)
+    return catalogue.broken(catalogue.catalogue(src, html.extract_html(src)))
+
+
+@register("broken_extraction", "SELECT NULL::VARCHAR AS rule, NULL::VARCHAR AS key WHERE false")
+def broken_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules that an extraction's units and statistics break: none."""
+    src = page_sources(spark, sf_dir)
+    out = html.extract_html(src)
+    pdfs = pdf.extract_pdf(*pdf_tables(spark, sf_dir))
+    parts = [validate.raw_units(out.units), validate.lineage(out.units, src), validate.extraction_stats(out.stats, out.units), validate.extraction_stats(pdfs.stats, pdfs.units), validate.pdf_pages(pdfs.stats)]
+    return parts[0].unionAll(parts[1]).unionAll(parts[2]).unionAll(parts[3]).unionAll(parts[4])
+
+
+@register("service_units")
+def service_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Units by source type when web pages and Word files come in together."""
+    both = page_sources(spark, sf_dir).unionByName(docx_sources(spark, sf_dir))
+    return service.extract(both).units.groupBy("source_type", "content_type").agg(F.count("*").alias("units"), F.countDistinct("document_id").alias("documents"))

@@ -59,7 +59,7 @@ def page_rows(row: dict, most: int) -> list[dict]:
     if row["failure"]:
         return [base | {"failure": row["failure"]}]
     try:
-        html, known = html_tree.decode(row["content_bytes"], row["charset"])
+        html, known, encoding = html_tree.decode(row["content_bytes"], row["charset"])
         page = html_tree.Page(html)
         found = []
         for index, block in enumerate(page.blocks()):
@@ -68,7 +68,7 @@ def page_rows(row: dict, most: int) -> list[dict]:
             found.append(_row(base, index, block))
     except (RecursionError, ValueError, AssertionError) as error:
         return [base | {"failure": f"extraction_parsing_failed:{type(error).__name__}"}]
-    facts = {"selected_root_tag": page.root.name, "selected_root_strategy": page.strategy, "removed_non_content_tag_count": page.removed, "ignored_semantic_container_count": page.ignored, "nested_table_ignored_count": page.nested_tables, "declared_charset_valid": known}
+    facts = {"selected_root_tag": page.root.name, "selected_root_strategy": page.strategy, "removed_non_content_tag_count": page.removed, "ignored_semantic_container_count": page.ignored, "nested_table_ignored_count": page.nested_tables, "declared_charset": row["charset"], "declared_charset_valid": known, "charset_fallback_used": known is False, "detected_encoding": encoding}
     found.append(base | {"facts": [(k, str(v)) for k, v in facts.items() if v is not None]})
     if known is False:
         found.append(base | {"warning_code": "invalid_declared_charset", "warning_detail": row["charset"]})

@@ -103,8 +103,8 @@ class _Builder(HTMLParser):
     handle_pi = unknown_decl = handle_decl
 
 
-def decode(raw: bytes, charset: str | None) -> tuple[str, bool | None]:
-    """Text of a page, and whether the declared charset is a known one."""
+def decode(raw: bytes, charset: str | None) -> tuple[str, bool | None, str]:
+    """Text of a page, whether the declared charset is a known one, and the encoding used."""
     known = None
     order = []
     if charset is not None:
@@ -120,10 +120,10 @@ def decode(raw: bytes, charset: str | None) -> tuple[str, bool | None]:
         order.append(found[1].decode("ascii"))
     for name in [*order, "utf-8", "windows-1252"]:
         try:
-            return raw.decode(name), known
+            return raw.decode(name), known, name
         except (LookupError, UnicodeDecodeError):
             continue
-    return raw.decode("utf-8", "replace"), known
+    return raw.decode("utf-8", "replace"), known, "utf-8"
 
 
 def parse(html: str) -> Node:
