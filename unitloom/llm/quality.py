@@ -21,7 +21,7 @@ LEAST_WORDS = 50
 MOST_REPEATED = 50
 #: A ratio fails beyond third quartile + FENCE * (spread of the quartiles + FLOOR).
 FENCE = 6.0
-FLOORS = {"symbol_ratio": 0.05, "dup_line_ratio": 0.1, "repeat_ratio": 0.08}
+FLOORS = {"symbol_ratio": 0.008, "dup_line_ratio": 0.1, "repeat_ratio": 0.08}
 SKETCH_K = 400
 SALTS = 32
 
