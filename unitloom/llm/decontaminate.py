@@ -29,7 +29,7 @@ from .runtime import narrow, text_only
 U64 = np.uint64
 WINDOW = 10
 #: Bytes of item text in one automaton.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 512 << 10
 
 
 class Automaton:
@@ -59,9 +59,11 @@ class Automaton:
                 for w in sequence:
                     state = self.next[state][w]
                 self.short.setdefault(state, set()).add(item)
-        # Items of a state are those of the states whose runs end in its run.
+        # Items of a state are those of the states whose runs end in its run; states of runs
+        # shorter than a window are not asked for theirs.
         for state in sorted(range(1, len(self.link)), key=lambda s: -self.length[s]):
-            self.items[self.link[state]] |= self.items[state]
+            if self.length[self.link[state]] >= window:
+                self.items[self.link[state]] |= self.items[state]
         self.pairs = np.unique(np.concatenate([words.window_hashes(h, 2) for h in pairs])) if pairs else np.zeros(0, U64)
         self.ending: dict[int, tuple[int, frozenset[int]]] = {}
 
