@@ -8,6 +8,7 @@ from ..functions import pytext as P, tsv
 from ..operators import cleaner, normalize
 from ..registry import register
 from ..schemas import METADATA
+from ..session import table
 from . import sql
 
 
@@ -37,7 +38,7 @@ def units_of(df: DataFrame, source_type: str, **meta) -> DataFrame:
 
 def dirty_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of documents as raw units, with dirt by document and line."""
-    return dirty_rows(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return dirty_rows(table(spark, sf_dir, "documents"))
 
 
 def dirty_rows(docs: DataFrame) -> DataFrame:
@@ -146,7 +147,7 @@ SELECT k::BIGINT AS k, sha256(content) AS raw_hash, sha256({_joined("ns")}) AS c
 @register("table_units", TABLE_SQL)
 def table_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tables of dirty cells through the cell codec and the normalizer."""
-    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    part = table(spark, sf_dir, "part")
     lit = F.lit
     rows = F.array(
         F.array(F.col("p_name"), F.concat(lit("e\u0301"), F.col("p_brand"), lit("\xa0"))),
@@ -165,7 +166,7 @@ def table_units(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def table_codec_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cells through serialization and back."""
-    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    part = table(spark, sf_dir, "part")
     lit = F.lit
     rows = F.array(
         F.array(F.col("p_name"), F.concat(lit("e\u0301"), F.col("p_brand"), lit("\xa0"))),

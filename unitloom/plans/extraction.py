@@ -14,6 +14,7 @@ from ..operators import assemble, cleaner, filters, validate
 from ..operators.normalize import normalize
 from ..registry import register
 from ..schemas import SOURCES
+from ..session import table
 from ..sources import catalogue, docx, html, pdf, service
 from . import sql
 from .cleaning import _long, dirty_units, units_of
@@ -35,7 +36,7 @@ u AS (SELECT event_id, event_id % 8 AS w, CASE event_id % 8 WHEN 0 THEN '7 min r
 )
 def html_noise_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reading times and interface phrases of web pages; one unit for each event."""
-    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    e = table(spark, sf_dir, "events")
     texts = ["7 min read", "Share", "12\u3000MINUTES  read", "share", "Link Copied!", "3 minute read\n", None, "5 min reading"]
     content = F.col("event_type")
     for k, text in enumerate(texts):
@@ -60,7 +61,7 @@ d AS (SELECT *, CASE WHEN content <> page::VARCHAR THEN NULL WHEN valid THEN CAS
 @register("pdf_page_numbers", f"WITH {_PDF} SELECT o::BIGINT AS o, n::BIGINT AS n, decision FROM d")
 def pdf_page_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What lone page numbers get, by where they stand on their page; one unit a line item."""
-    item = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    item = table(spark, sf_dir, "lineitem")
     page = (F.col("l_partkey") % 40 + 1).cast("int")
     y = (F.col("l_orderkey") % 900).cast("double")
     box = F.when(F.col("l_suppkey") % 10 != 9, F.array(lit(290.0), y, F.when(F.col("l_suppkey") % 10 == 8, 290.0).otherwise(302.0), y + 12))
@@ -89,7 +90,7 @@ def _heading_sql() -> str:
 @register("heading_paths", _heading_sql())
 def heading_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Open headings at every line of every document, with levels that skip and return."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").where("text is not null")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").where("text is not null")
     rows = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "line")).drop("line")
     rows = rows.withColumn("lvl", F.expr(_LEVEL))
     order = Window.partitionBy("doc_id").orderBy("i")
@@ -102,7 +103,7 @@ def heading_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def page_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return html.pages_as_sources(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    return html.pages_as_sources(table(spark, sf_dir, "pages"))
 
 
 @register("page_units")
@@ -174,7 +175,7 @@ def docx_bytes(lines: list[str]) -> bytes:
 
 
 def docx_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").where("text is not null")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").where("text is not null")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -210,7 +211,7 @@ q AS (SELECT *, row_number() OVER (PARTITION BY d ORDER BY page, k) - 1 AS dbi,
 
 def pdf_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Blocks and pages of one PDF file for each customer, one block for each order."""
-    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    orders = table(spark, sf_dir, "orders")
     k = F.col("o_orderkey")
     page = (k % 4).cast("int")
     own = Window.partitionBy("o_custkey", page).orderBy("o_orderkey")
@@ -288,7 +289,7 @@ def broken_cleaning(spark: SparkSession, sf_dir: str) -> DataFrame:
 def unit_lineage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clean units counted by document and joined with what is known of their source."""
     units = cleaner.clean(dirty_units(spark, sf_dir)).units.groupBy("document_id").agg(F.count("*").alias("units"))
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.concat(lit("doc-"), F.col("doc_id").cast("string")).alias("document_id"), "lang", "source")
+    docs = table(spark, sf_dir, "documents").select(F.concat(lit("doc-"), F.col("doc_id").cast("string")).alias("document_id"), "lang", "source")
     return docs.join(units, "document_id").select("document_id", "lang", "source", "units")
 
 
@@ -301,8 +302,8 @@ def source_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
     """State of all web pages after extraction; every sixth has a media type that is refused."""
     k = F.substring_index("document_id", "-", -1).cast("long") % 6
     src = page_sources(spark, sf_dir).withColumn("media_type", F.when(k == 1, "image/png").otherwise("text/html"))
-    table = catalogue.catalogue(src, html.extract_html(src))
-    return table.select("source_id", "status", "current_stage", "error.error_code", "metadata.domain", F.col("metadata.checksum_sha256").alias("checksum"))
+    rows = catalogue.catalogue(src, html.extract_html(src))
+    return rows.select("source_id", "status", "current_stage", "error.error_code", "metadata.domain", F.col("metadata.checksum_sha256").alias("checksum"))
 
 
 @register("broken_catalogue", "SELECT NULL::VARCHAR AS rule, NULL::VARCHAR AS key WHERE false")

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..functions import pytext as P, urls
 from ..operators import assemble, citations, cleaner, retrieval, validate
 from ..registry import register
+from ..session import table
 from ..sources import fetch_replay
 from . import sql
 from .cleaning import STATS_SQL, _long, dirty_units
@@ -66,7 +67,7 @@ def address_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def page_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Normalized URLs of all web pages."""
-    df = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", urls.normalize_url(F.col("url")).alias("n"))
+    df = table(spark, sf_dir, "pages").select("page_id", urls.normalize_url(F.col("url")).alias("n"))
     return df.select("page_id", "n.request_url", "n.hostname", "n.scheme", "n.diagnostic_url")
 
 
@@ -75,7 +76,7 @@ def page_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def exchanges(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Requests, exchanges and DNS made from the pages: each page is behind 0 to 6 redirects."""
-    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "html")
+    pages = table(spark, sf_dir, "pages").select("page_id", "html")
     k = F.col("page_id").cast("string")
     hops = (F.col("page_id") % 7).cast("int")
     at = lambda h: F.concat(lit("https://h.example/"), k, lit("/"), h.cast("string"))
@@ -89,9 +90,9 @@ def exchanges(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, D
     length = F.when(kind == 6, "12, 13").when(kind == 7, "9999999").otherwise(F.octet_length("html").cast("string"))
     status = F.when(~last, 302).when(kind == 8, 204).when(kind == 9, 404).otherwise(200)
     headers = F.when(last, F.array(header("Content-Type", media), header("content-length", length))).otherwise(F.array(header("Location", target)))
-    table = steps.select(at(F.col("h")).alias("url"), status.alias("status"), headers.alias("headers"), F.encode("html", "utf-8").alias("body"))
+    answers = steps.select(at(F.col("h")).alias("url"), status.alias("status"), headers.alias("headers"), F.encode("html", "utf-8").alias("body"))
     dns = spark.createDataFrame([("h.example", ["8.8.8.8"])], "hostname string, addresses array<string>")
-    return requests, table, dns
+    return requests, answers, dns
 
 
 @register(
@@ -130,7 +131,7 @@ chk AS (SELECT cit.r, cit.pos, cit.chunk_id, CASE WHEN last.selected IS NULL THE
 
 def cited(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Responses, citations and contexts made from conversations."""
-    c = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    c = table(spark, sf_dir, "conversations")
     turn, r = F.col("turn"), F.col("conv_id").alias("response_id")
     chunk = lambda n: F.concat(lit("c"), (turn % n).cast("string")).alias("chunk_id")
     responses = c.select(r).distinct().withColumn("answer", lit("see [0] [1] [2] [3]"))
@@ -178,7 +179,7 @@ _QUERY = [((k * 37) % 19 - 9) / 10 for k in range(1024)]
 )
 def vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 nearest vectors by cosine, exact; a limit that the search itself has."""
-    store = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    store = table(spark, sf_dir, "embeddings")
     size = store.select(F.size("embedding")).first()
     out = retrieval.search(store, _QUERY[: size[0] if size else 0], 20)
     return out.select("vec_id", F.round("vector_score", 6).alias("vector_score"), *_long("retrieval_rank"))
@@ -190,7 +191,7 @@ def vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def vector_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A store after a third of its vectors were replaced."""
-    store = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    store = table(spark, sf_dir, "embeddings")
     rows = store.where("vec_id % 3 = 0").withColumn("label", lit(-1))
     out = retrieval.upsert(store, rows, "vec_id")
     return out.agg(F.count("*").alias("vectors"), F.count_if(F.col("vec_id") % 3 == 0).alias("replaced"), F.sum("label").cast("long").alias("labels"))
@@ -203,7 +204,7 @@ def vector_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def text_strips(spark: SparkSession, sf_dir: str) -> DataFrame:
     """White space that only Python strips, and a zero-width space that it doesn't."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("text is not null")
+    docs = table(spark, sf_dir, "documents").where("text is not null")
     s = F.concat(lit("\t\x1c\x85"), F.substring("text", 1, 5), lit("​ 　"))
     return docs.select("doc_id", F.length(P.strip(s)).cast("long").alias("stripped"), P.word_count(s).cast("long").alias("words"))
 

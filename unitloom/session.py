@@ -8,7 +8,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
 
@@ -44,3 +44,15 @@ def ship(spark: SparkSession) -> SparkSession:
     context.addPyFile(name)
     _shipped.add(context.applicationId)
     return spark
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A scan of fewer partitions than there are cores, as a small file of one row group gives,
+    dealt out to all of them; any other scan is left as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """One of the driver's tables."""
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
