@@ -13,6 +13,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from unitloom.llm import decontaminate, linededup, neardup, packing, quality
+from unitloom.session import spread
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -80,12 +81,12 @@ def _delete(spark: SparkSession, path: str) -> None:
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents table; what only earlier stages need is deleted."""
     folder = _shared_folder(spark)
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     written = None
     for name, stage in STAGES[:-1]:
         out = f"{folder}/{name}"
         stage(spark, docs, sf_dir).write.parquet(out)
-        docs = spark.read.parquet(out)
+        docs = spread(spark.read.parquet(out))
         if written:
             _delete(spark, written)
         written = out

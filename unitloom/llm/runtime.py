@@ -10,6 +10,8 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..session import spread
+
 #: A side is broadcast only if it was counted to be at most this many rows of a few dozen bytes.
 BROADCAST_ROWS = 50_000
 
@@ -57,7 +59,7 @@ def narrow(run: Pass) -> Pass:
 def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     """The documents table, with the asked columns only."""
     df = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return df.select(*columns) if columns else df
+    return spread(df.select(*columns) if columns else df)
 
 
 def text_only(df: DataFrame) -> DataFrame:
