@@ -70,7 +70,9 @@ def test_empty(none):
     assert neardup.near_duplicates(none).count() == 0
 
 
-def test_components(spark):
+@pytest.mark.parametrize("split", [0, 2_000_000])
+def test_components(spark, monkeypatch, split):
+    monkeypatch.setattr(components, "SPLIT_EDGES", split)
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (103, 102), (102, 101), (7, 7), (200, 200)] + [(300, 300 + k) for k in range(1, 50)]
     got = {r.id: r.component for r in components.components(spark.createDataFrame([*edges, (None, 3)], "a long, b long")).collect()}
     assert got == {i: 0 for i in range(41)} | {i: 100 for i in range(100, 104)} | {i: 300 for i in range(300, 350)}

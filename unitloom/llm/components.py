@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, functions as F
 from .runtime import cut, dealt_anew
 
 MAX_ROUNDS = 60
+#: Edges from which on a vertex with a third of them is worth the exchanges that split it.
+SPLIT_EDGES = 2_000_000
 
 
 def _smallest(pairs: DataFrame) -> DataFrame:
@@ -28,13 +30,14 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     now = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u > v").distinct()
     now = cut(now)
     state = None
+    split = dealt_anew if now.count() > SPLIT_EDGES else lambda side: side
     for _ in range(MAX_ROUNDS):
         both = now.unionAll(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         # Large star: every larger neighbour of u is tied to u's smallest neighbour.
-        large = both.join(dealt_anew(_smallest(both)), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
+        large = both.join(split(_smallest(both)), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v")
         # Small star: u and all its smaller neighbours are tied to the smallest of them.
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(dealt_anew(low), "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e"))
+        small = large.join(split(low), "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e"))
         now = cut(small.select("e.u", "e.v").where("u > v").distinct())
         seen = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if seen == state:
