@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import gc
 import tempfile
+import time
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -26,7 +28,27 @@ def cut(df: DataFrame) -> DataFrame:
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="unitloom-"))
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    _release(spark)
+    return out
+
+
+#: Seconds between two requests to the driver's JVM to collect its garbage.
+RELEASE_S = 8.0
+_released = 0.0
+
+
+def _release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files and checkpoints that nothing refers to any more.
+
+    It does so when the driver's JVM collects garbage, which a long chain of small jobs rarely
+    makes it do; the files of rounds that are over would stay on the executors' disks till then.
+    """
+    global _released
+    if time.monotonic() - _released >= RELEASE_S:
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        _released = time.monotonic()
 
 
 def dealt_anew(df: DataFrame) -> DataFrame:
