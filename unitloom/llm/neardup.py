@@ -4,7 +4,7 @@ Each document has a set of word shingles and a MinHash signature.  The signature
 several keys ("trees"), and each tree is one sorted order of the corpus, made by one range
 exchange.  Candidates of a document are its neighbours in an order, on condition that their keys
 share a prefix.  How deep a prefix is needed follows from the region: where few keys are alike,
-neighbours with ``least_depth`` equal hashes are reached, and in a dense region the nearest
+neighbours with LEAST_DEPTH equal hashes are reached, and in a dense region the nearest
 positions are taken by keys that agree much further.  So a tree gives each document a few
 candidates, the most alike of its ``NEIGHBOURS`` on either side, whatever the size of its group.
 
@@ -12,10 +12,9 @@ A sketch of two bits of each hash goes with every key.  It leaves out pairs that
 threshold (short of it by DEVIATIONS standard deviations) and ranks the others.
 
 Candidates are confirmed on full shingle sets, in rounds: first the best few of each document,
-which joins most groups; then the best few of those whose ends are still apart; then every
-candidate pair whose ends are still apart, together with the pairs of such ends and the
-best-linked members ("hubs") of the other side's group.  A
-candidate pair is only left unconfirmed if its ends are already known to be in one group.
+which joins most groups; then every candidate pair whose ends are still apart, together with the
+pairs of such ends and the best-linked members ("hubs") of the other side's group.  A candidate
+pair is only left unconfirmed if its ends are already known to be in one group.
 """
 
 from __future__ import annotations
