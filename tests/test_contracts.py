@@ -37,6 +37,9 @@ def test_chunks_cover_the_words(spark):
 def test_search_and_upsert(spark):
     store = spark.createDataFrame([(1, [1.0, 0.0], 0), (2, [0.0, 1.0], 0), (3, [1.0, 1.0], 0), (4, [0.0, 0.0], 0)], "vec_id long, embedding array<float>, label int")
     assert [(r.vec_id, r.retrieval_rank) for r in retrieval.search(store, [1.0, 0.1], 2).collect()] == [(1, 1), (3, 2)]
+    many = retrieval.search_all(store, store.where("vec_id in (1, 4)"), 2)
+    assert [tuple(r) for r in many.orderBy("retrieval_rank").collect()] == [(1, 1, 1.0, 1), (1, 3, 0.707107, 2)]
+    assert retrieval.search_all(store, store.where("false"), 2).count() == 0 and retrieval.search_all(store.where("false"), store, 2).count() == 0
     after = retrieval.upsert(store, store.where("vec_id = 2").withColumn("label", F.lit(9)), "vec_id")
     assert {r.vec_id: r.label for r in after.collect()} == {1: 0, 2: 9, 3: 0, 4: 0}
 

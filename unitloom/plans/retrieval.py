@@ -167,22 +167,17 @@ def broken_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return validate.chunks(retrieval.chunks(cleaner.clean(dirty_units(spark, sf_dir)).units, 200))
 
 
-_QUERY = [((k * 37) % 19 - 9) / 10 for k in range(1024)]
-
-
 @register(
     "vector_search",
-    """WITH d AS (SELECT len(embedding) AS n FROM embeddings LIMIT 1), q AS (SELECT list_transform(range(n), lambda k: ((k * 37) % 19 - 9) / 10.0::DOUBLE) AS v FROM d),
-    s AS (SELECT vec_id, list_sum(list_transform(range(1, len(embedding) + 1), lambda i: embedding[i]::DOUBLE * v[i])) / sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE)) * list_sum(list_transform(v, lambda x: x * x))) AS c FROM embeddings, q),
-    r AS (SELECT vec_id, c, row_number() OVER (ORDER BY c DESC, vec_id) AS k FROM s)
-    SELECT vec_id::BIGINT AS vec_id, round(c, 6) AS vector_score, k::BIGINT AS retrieval_rank FROM r WHERE k <= 20""",
+    """WITH n AS (SELECT vec_id, embedding::DOUBLE[] AS e, sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))) AS l FROM embeddings),
+    s AS (SELECT q.vec_id AS query_id, n.vec_id, round(list_dot_product(q.e, n.e) / (q.l * n.l), 6) + 0.0 AS vector_score FROM n q, n WHERE q.vec_id % 50 = 0 AND q.l > 0 AND n.l > 0),
+    r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY vector_score DESC, vec_id) AS k FROM s)
+    SELECT query_id::BIGINT AS query_id, vec_id::BIGINT AS vec_id, vector_score, k::BIGINT AS retrieval_rank FROM r WHERE k <= 20""",
 )
 def vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The 20 nearest vectors by cosine, exact; a limit that the search itself has."""
+    """The 20 nearest vectors of every fiftieth one, exact; top_k is the search's own limit."""
     store = table(spark, sf_dir, "embeddings")
-    size = store.select(F.size("embedding")).first()
-    out = retrieval.search(store, _QUERY[: size[0] if size else 0], 20)
-    return out.select("vec_id", F.round("vector_score", 6).alias("vector_score"), *_long("retrieval_rank"))
+    return retrieval.search_all(store, store.where("vec_id % 50 = 0"), 20).select("query_id", "vec_id", "vector_score", *_long("retrieval_rank"))
 
 
 @register(
