@@ -188,6 +188,8 @@ FEATURES = 4096
 #: Cells of the curve by which text bytes are counted to deal out documents.
 CELL_BITS = 12
 TARGET_BYTES = 64 << 20
+#: What a document counts for besides its bytes, so that many tiny ones are dealt out too.
+DOCUMENT_BYTES = 256
 
 
 def projection() -> np.ndarray:
@@ -265,7 +267,7 @@ def deal(docs: DataFrame, target: int = TARGET_BYTES) -> Deal:
             for i, j in words.slices(batch.column(1)):
                 texts = batch.column(1).slice(i, j - i)
                 cell = curve_keys(texts, table) >> (DIMS * BITS - CELL_BITS)
-                total += np.bincount(cell, np.diff(words.buffers(texts)[1]) + 16, minlength=len(total)).astype(np.int64)
+                total += np.bincount(cell, np.diff(words.buffers(texts)[1]) + DOCUMENT_BYTES, minlength=len(total)).astype(np.int64)
         some = np.flatnonzero(total)
         yield pa.record_batch([pa.array(some, pa.int64()), pa.array(total[some], pa.int64())], ["cell", "n"])
 
