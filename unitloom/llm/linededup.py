@@ -59,9 +59,13 @@ class LineRuns:
 
     def add(self, docs: DataFrame) -> DataFrame:
         """Adds a batch and returns its new keys (key, holder); docs: doc_id, text."""
+        return self.add_lines(keyed_lines(docs, self.least_chars))
+
+    def add_lines(self, lines: DataFrame) -> DataFrame:
+        """The same for a batch's keyed lines."""
         # Each document gives a key once, so the count is of documents; both aggregates are
         # combined before the exchange, so a line of a third of all documents is one row a task.
-        batch = keyed_lines(docs, self.least_chars).groupBy("key").agg(F.max("doc_id").alias("holder"), F.count("*").alias("n_docs"))
+        batch = lines.groupBy("key").agg(F.max("doc_id").alias("holder"), F.count("*").alias("n_docs"))
         known = [r.where("holder is not null").select("key") for r in self.runs()]
         if known:
             batch = cut(batch)
@@ -103,12 +107,16 @@ def batches_of(docs: DataFrame, n: int) -> list[DataFrame]:
 
 
 def dropped_keys(docs: DataFrame, least_chars: int, least_docs: int, batches: int) -> DataFrame:
-    """(doc_id, keys): the line keys that each document loses."""
-    store = LineRuns(least_chars)
+    """(doc_id, keys): the line keys that each document loses.
+
+    Lines are keyed once: the keys of each batch are kept until it is known which are common.
+    """
+    store, lines = LineRuns(least_chars), []
     for batch in batches_of(docs, batches):
-        store.add(batch)
+        lines.append(cut(keyed_lines(batch, least_chars)))
+        store.add_lines(lines[-1])
     common = cut(store.common(least_docs))
-    lost = keyed_lines(docs, least_chars).join(common, "key").where("doc_id <> holder")
+    lost = reduce(DataFrame.unionAll, lines).join(common, "key").where("doc_id <> holder")
     return lost.groupBy("doc_id").agg(F.collect_set("key").alias("keys"))
 
 
