@@ -27,8 +27,7 @@ SALTS = 32
 
 
 def _occurrences(text: Column) -> Column:
-    """How many symbols a text has; one expression, as long chains make methods that are costly
-    to compile."""
+    """How many symbols a text has."""
     return (F.length(text) - F.length(F.regexp_replace(text, f"[{SYMBOLS}]", ""))).cast("long")
 
 
