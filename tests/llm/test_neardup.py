@@ -1,3 +1,4 @@
+import random
 from itertools import combinations
 
 import pytest
@@ -44,6 +45,35 @@ def test_large_group_of_near_copies(spark):
     assert {r[2] for r in got} == {0} and [r[0] for r in got if r[3]] == [0]
 
 
+def variants(own, base, n, changes=6):
+    """Copies of base with so many words changed, each in places and to words of its own."""
+    for i in range(n):
+        words = list(base)
+        for k in own.sample(range(len(base)), changes):
+            words[k] = f"v{i}x{k}"
+        yield " ".join(words)
+
+
+def test_star_of_many_variants(spark):
+    # Each variant is linked with the base and with hardly any other; the base meets a few alone.
+    base = [f"w{i}" for i in range(300)]
+    texts = [" ".join(base), *variants(random.Random(3), base, 1000)]
+    _, of = neardup.groups(table(spark, texts), 3, 85, reach=2)
+    assert {r.id: r.component for r in of.collect()} == dict.fromkeys(range(1001), 0)
+
+
+def test_links_beyond_a_full_window(spark):
+    # No base, so the variants are apart, but for pairs that a narrow window passes by.
+    base, own = [f"w{i}" for i in range(200)], random.Random(4)
+    texts = list(variants(own, base, 60, 7))
+    for k in range(10):
+        texts.append(texts[k].replace("w100 ", f"y{k} ").replace("w150 ", f"z{k} "))
+    signed, of = neardup.groups(table(spark, texts), 3, 85, reach=1)
+    got = {r.id: r.component for r in of.collect()}
+    want = {i: c for i, _, c, _ in brute(texts, 3, 85)}
+    assert {i: got.get(i, i) for i in want} == want and len(set(want.values())) < len(texts)
+
+
 def test_seams_between_partitions(spark):
     texts = [f"common start of a text {i // 2} with words {i // 2} that pair up" for i in range(60)]
     spark.conf.set("spark.sql.shuffle.partitions", "40")

@@ -12,9 +12,11 @@ A sketch of two bits of each hash goes with every key.  It leaves out pairs that
 threshold (short of it by DEVIATIONS standard deviations) and ranks the others.
 
 Candidates are confirmed on full shingle sets, in rounds: first the best few of each document,
-which joins most groups; then every candidate pair whose ends are still apart, together with the
-pairs of such ends and the best-linked members ("hubs") of the other side's group.  A candidate
-pair is only left unconfirmed if its ends are already known to be in one group.
+which joins most groups; then, for every candidate pair whose ends are still apart, the pairs of
+an end and the best-linked members ("hubs") of the other side's group, and the pair itself, again
+and again until that gives no new link.  At last come all pairs of different groups that share a
+prefix so common that a window on it was full.  So a pair that shares a prefix, and that size and
+sketch allow, is only left unconfirmed if its ends are already known to be in one group.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from . import words
 from .components import components
-from .runtime import cut, dealt_anew, narrow, shuffle_partitions, text_only
+from .runtime import cut, dealt_anew, narrow, shuffle_partitions, small, text_only
 
 U64 = np.uint64
 TREES = 16
@@ -41,6 +43,7 @@ BEST_OF_TREE = 6
 #: Candidates of a document that are confirmed in the first rounds; the last round takes all.
 BEST = (32,)
 HUBS = 16
+SALTS = 32
 #: Of the sketch's estimate.  By the binomial law a pair right at the threshold is left out once in
 #: 66,000 at 85 percent and once in 171,000 at 80.
 DEVIATIONS = 4.5
@@ -281,18 +284,76 @@ def groups(docs: DataFrame, shingle: int = 5, percent: int = 80, reach: int = NE
         links, of = _linked(chosen, sets, percent, links, of)
         done = chosen if done is None else done.unionAll(chosen)
         apart = cut(_apart(apart.join(chosen, ["a", "b"], "left_anti"), of))
-    # What is still apart, and the hubs of the groups that it leads to.
+    # Hubs of the groups that pairs which are still apart lead to, until that gives no link; then
+    # those pairs themselves, and again, until neither gives one.
+    while True:
+        before = links
+        for to_hubs in (True, False):
+            asked = _to_hubs(apart, links, of) if to_hubs else apart.select("a", "b")
+            todo = cut(asked.join(done, ["a", "b"], "left_anti"))
+            links, of = _linked(todo, sets, percent, links, of)
+            done = done.unionAll(todo)
+            if links is not before:
+                apart = cut(_apart(apart, of))
+                break
+        if links is before:
+            break
+    # Pairs that share a prefix and were not candidates, as a window was full.
+    missed = cut(beyond(reps, of, percent, reach + 1).join(pairs, ["a", "b"], "left_anti"))
+    if not missed.isEmpty():
+        others = missed.select(F.col("a").alias("doc_id")).unionAll(missed.select(F.col("b").alias("doc_id"))).distinct().join(ends, "doc_id", "left_anti")
+        sets = sets.unionAll(cut(_sets(text_only(docs).join(others, "doc_id", "left_semi"), shingle)))
+        _, of = _linked(missed, sets, percent, links, of)
+    return signed, of
+
+
+def _to_hubs(apart: DataFrame, links: DataFrame, of: DataFrame) -> DataFrame:
+    """Pairs (a, b) of the ends of pairs that are apart and the hubs of the other end's group."""
     degree = links.select(F.col("a").alias("id")).unionAll(links.select(F.col("b").alias("id"))).groupBy("id").count()
     hubs = of.join(degree, "id").groupBy("component", F.pmod(F.xxhash64("id"), F.lit(HUBS)).alias("k")).agg(F.max(F.struct("count", (-F.col("id")).alias("id"))).alias("h")).select("component", (-F.col("h.id")).alias("hub"))
     leads = apart.select("a", F.col("cb").alias("component")).unionAll(apart.select(F.col("b").alias("a"), F.col("ca").alias("component"))).distinct()
-    to_hubs = leads.join(hubs, "component").where("a <> hub").select(F.least("a", "hub").alias("a"), F.greatest("a", "hub").alias("b")).distinct().join(done, ["a", "b"], "left_anti")
-    _, of = _linked(apart.select("a", "b").unionAll(to_hubs).distinct(), sets, percent, links, of)
-    return signed, of
+    return leads.join(hubs, "component").where("a <> hub").select(F.least("a", "hub").alias("a"), F.greatest("a", "hub").alias("b")).distinct()
+
+
+def beyond(reps: DataFrame, of: DataFrame, percent: int, full: int) -> DataFrame:
+    """(a, b) with a < b: all pairs of different components that share a prefix of LEAST_DEPTH
+    hashes with more than ``full`` rows, and can reach the threshold by size and sketch.
+
+    Every such pair has an end outside of the prefix's largest component.  Those ends go to all
+    salts of the prefix and the other rows to one, so a hot prefix is no single task's.
+    """
+    width = 4 * TREE_HASHES
+    # Three longs of a sketch, as SQL has no bit operations on binaries.
+    bits = [F.conv(F.hex(F.substring("sketch", k, 8)), 16, -10).cast("long").alias(f"s{k}") for k in (1, 9, 17)]
+    prefixes = F.expr(f"transform(sequence(0, {TREES - 1}), t -> xxhash64(t, substring(signature, t * {width} + 1, {4 * LEAST_DEPTH})))")
+    rows = cut(reps.select("rep", "n", *bits, prefixes.alias("prefixes")))
+    counts = rows.select(F.explode("prefixes").alias("prefix")).groupBy("prefix").count()
+    dense = cut(counts.where(f"count > {int(full)}").select("prefix"))
+    dense = F.broadcast(dense) if small(dense) else dense
+    known = of.select(F.col("id").alias("rep"), "component")
+    inside = rows.select("rep", "n", "s1", "s9", "s17", F.explode("prefixes").alias("prefix")).join(dense, "prefix", "left_semi")
+    members = cut(inside.join(known, "rep", "left").withColumn("component", F.coalesce("component", "rep")))
+    shares = members.groupBy("prefix", "component").count()
+    largest = cut(shares.groupBy("prefix").agg(F.max(F.struct("count", "component"))["component"].alias("most"), F.count("*").alias("c")).where("c > 1").select("prefix", "most"))
+    most = F.broadcast(largest) if small(largest) else largest
+    mixed = cut(members.join(most, "prefix"))
+    minor = mixed.where("component <> most").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    x, y = (side.select("prefix", "salt", *[F.col(c).alias(f"{c}_{k}") for c in ("rep", "n", "component", "most", "s1", "s9", "s17")]) for k, side in (("x", minor), ("y", mixed.withColumn("salt", F.pmod(F.xxhash64("rep"), F.lit(SALTS)).cast("int")))))
+    differing = lambda k: f"bit_count(((s{k}_x ^ s{k}_y) | shiftrightunsigned(s{k}_x ^ s{k}_y, 1)) & 6148914691236517205L)"
+    ok = f"component_x <> component_y and 100 * least(n_x, n_y) >= {int(percent)} * greatest(n_x, n_y) and {' + '.join(map(differing, (1, 9, 17)))} <= {TREES * TREE_HASHES - least_alike(percent)}"
+    # A pair of two such ends comes from both of them.
+    once = "(component_y = most_y or rep_x < rep_y)"
+    return x.join(y, ["prefix", "salt"]).where(f"{ok} and {once}").select(F.least("rep_x", "rep_y").alias("a"), F.greatest("rep_x", "rep_y").alias("b")).distinct()
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int, links: DataFrame | None, of: DataFrame | None) -> tuple[DataFrame, DataFrame]:
-    """All links so far and their components; of: the components before these pairs."""
+    """All links so far and their components; of: the components before these pairs.
+
+    Without a new link both come back as they are.
+    """
     fresh = cut(confirm(pairs, sets, percent))
+    if of is not None and fresh.isEmpty():
+        return links, of
     edges = fresh if of is None else fresh.unionAll(of.where("id <> component").select(F.col("id").alias("a"), F.col("component").alias("b")))
     return fresh if links is None else links.unionAll(fresh), components(edges)
 
