@@ -15,7 +15,7 @@ Candidates are confirmed on full shingle sets, in rounds: first the best few of
 which joins most groups; then, for every candidate pair whose ends are still apart, the pairs of
 an end and the best-linked members ("hubs") of the other side's group, and the pair itself, again
 and again until that gives no new link.  At last come all pairs of different groups that share a
-prefix so common that a window on it was full.  So a pair that shares a prefix, and that size and
+prefix so common that a window or the best few left pairs out.  So a pair that shares a prefix, and that size and
 sketch allow, is only left unconfirmed if its ends are already known to be in one group.
 """
 
@@ -38,7 +38,8 @@ TREE_HASHES = 6
 KEY_HASHES = 8
 LEAST_DEPTH = 3
 NEIGHBOURS = 32
-#: Of a document's neighbours in one order so many are candidates, the most alike by sketch.
+#: Of a document's neighbours in one order so many are confirmed first, the most alike by sketch; the
+#: others follow, as far as they are still apart by then.
 BEST_OF_TREE = 6
 #: Candidates of a document that are confirmed in the first rounds; the last round takes all.
 BEST = (32,)
@@ -298,8 +299,8 @@ def groups(docs: DataFrame, shingle: int = 5, percent: int = 80, reach: int = NE
                 break
         if links is before:
             break
-    # Pairs that share a prefix and were not candidates, as a window was full.
-    missed = cut(beyond(reps, of, percent, reach + 1).join(pairs, ["a", "b"], "left_anti"))
+    # Pairs that share a prefix and were not candidates, as a window was full or others more alike.
+    missed = cut(beyond(reps, of, percent, min(BEST_OF_TREE, reach) + 1).join(pairs, ["a", "b"], "left_anti"))
     if not missed.isEmpty():
         others = missed.select(F.col("a").alias("doc_id")).unionAll(missed.select(F.col("b").alias("doc_id"))).distinct().join(ends, "doc_id", "left_anti")
         sets = sets.unionAll(cut(_sets(text_only(docs).join(others, "doc_id", "left_semi"), shingle)))
