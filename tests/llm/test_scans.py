@@ -121,6 +121,16 @@ def features(text):
     return len(ws), sum(map(len, ws)), sum((text or "").count(c) for c in "#*$%&|<>"), len(lines) - len(set(lines)), len(covered), failed
 
 
+def test_decontaminate_is_the_same_over_blocks(spark):
+    text = " ".join(f"w{i}" for i in range(100))
+    item = lambda a, b: " ".join(f"w{i}" for i in range(a, b))
+    for spans, want in (([(10, 30), (21, 39)], 71), ([(0, 30), (30, 60)], None)):
+        items = spark.createDataFrame([(str(k), item(*s)) for k, s in enumerate(spans)], "item_id string, text string")
+        for limit in (1, 1 << 19):
+            got = [len(r.text.split()) for r in D.decontaminate(table(spark, [text]), items, limit=limit).collect()]
+            assert got == ([] if want is None else [want])
+
+
 def test_quality_features_equal_brute_force(spark):
     texts = corpus(19) + ["a b c " * 40, "#x&y|z <>$%* " * 30, "l\nl\n l\nl\n\n\n"]
     got = {r.doc_id: tuple(r)[1:7] for r in quality.quality(table(spark, texts)).collect()}

@@ -22,6 +22,7 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 from . import words
 from .runtime import narrow, text_only
@@ -300,26 +301,41 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, limit
     return found.mapInArrow(narrow(run), "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, most_coverage: float = 0.5) -> DataFrame:
+HITS = "__ul_hits"
+HITS_TYPE = ArrayType(StructType([StructField("a", IntegerType()), StructField("b", IntegerType())]))
+
+
+def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, most_coverage: float = 0.5, limit: int = BLOCK_BYTES) -> DataFrame:
     """The rows of docs, all columns, without the spans of text that benchmark windows cover.
 
     A span reaches from the start of its first hit word to the end of its last.  Rows of which
     more than ``most_coverage`` of the words are hit go altogether; rows without a hit are
-    returned as they are, null texts included.
+    returned as they are, null texts included.  All blocks of items are held against the text as
+    it came in, and only the last pass judges and cuts.
     """
-    blocks_ = [Automaton(block, window) for block in blocks(items)]
+    blocks_ = [Automaton(block, window) for block in blocks(items, limit)]
     at = docs.columns.index("text")
     schema = docs.schema
-    for automaton in blocks_:
+    names = docs.columns
+    kind = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
+    for k, automaton in enumerate(blocks_):
         shared = docs.sparkSession.sparkContext.broadcast(automaton)
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], shared=shared, first=k == 0, last=k == len(blocks_) - 1) -> Iterator[pa.RecordBatch]:
             own = shared.value
             for batch in batches:
                 for i, j in words.slices(batch.column(at)):
                     part = batch.slice(i, j - i)
                     found = words.scan(part.column(at), words.ALNUM_WORDS, True)
                     hit, _ = own.hits(found)
+                    if not first:
+                        for d, row in enumerate(part.column(len(names)).to_pylist()):
+                            for x in row:
+                                hit[found.doc[d] + x["a"] : found.doc[d] + x["b"]] = True
+                        part = part.select(names)
+                    if not last:
+                        yield pa.record_batch([*part.columns, pa.array(_ranges(hit, found), kind)], [*names, HITS])
+                        continue
                     if not hit.any():
                         yield part
                         continue
@@ -329,13 +345,22 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, most_
                         if own_hit.any():
                             stay[d] = own_hit.mean() <= most_coverage
                             texts[d] = _without(texts[d], own_hit, found, d)
-                    columns = [pa.array(texts, part.schema.field(at).type) if k == at else c for k, c in enumerate(part.columns)]
+                    columns = [pa.array(texts, part.schema.field(at).type) if c == at else x for c, x in enumerate(part.columns)]
                     yield pa.record_batch(columns, part.schema.names).filter(pa.array(stay))
 
-        docs = docs.mapInArrow(narrow(run), schema)
+        docs = docs.mapInArrow(narrow(run), schema if k == len(blocks_) - 1 else StructType([*schema.fields, StructField(HITS, HITS_TYPE)]))
     return docs
 
 
+def _ranges(hit: np.ndarray, found: words.Words) -> list[list[dict]]:
+    """Ranges (a, b) of hit words of each text, by places in the text."""
+    out = []
+    for d in range(found.n_docs):
+        edge = np.flatnonzero(np.diff(np.concatenate([[False], hit[found.doc[d] : found.doc[d + 1]], [False]])))
+        out.append([{"a": a, "b": b} for a, b in zip(edge[0::2].tolist(), edge[1::2].tolist(), strict=True)])
+    return out
+
+
 def _without(text: str, hit: np.ndarray, found: words.Words, d: int) -> str:
     raw = text.encode()
     first, base = int(found.doc[d]), int(found.offsets[d])
