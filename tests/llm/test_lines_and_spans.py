@@ -87,3 +87,10 @@ def test_odd_spans(odd, none):
     assert len(got) == 9 and all(r[2] == 0 for r in got if r[0] in (None, 1, 2, 3, 4))
     assert sorted(r[1:3] for r in got if r[0] == 5) == [(3, 3), (4, 4)]
     assert spans.remove_spans(none).count() == 0
+
+
+def test_rows_of_one_document_count_once(spark):
+    texts = ["shared line", "shared line", "shared line", "shared line", "shared line"]
+    rows = table(spark, texts, [4, 4, 4, 5, 5])
+    assert linededup.line_dedup(rows, 5, 3).where("n_dropped > 0").count() == 0
+    assert linededup.line_dedup(rows, 5, 2).where("n_dropped > 0").count() == 3

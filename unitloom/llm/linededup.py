@@ -50,8 +50,8 @@ def keyed_lines(docs: DataFrame, least_chars: int) -> DataFrame:
 class LineRuns:
     """The levels of runs, and what is done with them."""
 
-    def __init__(self, least_chars: int = LEAST_CHARS, fanout: int = FANOUT) -> None:
-        self.least_chars, self.fanout = least_chars, fanout
+    def __init__(self, least_chars: int = LEAST_CHARS, fanout: int = FANOUT, repeats: bool = True) -> None:
+        self.least_chars, self.fanout, self.repeats = least_chars, fanout, repeats
         self.levels: list[list[DataFrame]] = []
 
     def runs(self) -> list[DataFrame]:
@@ -61,7 +61,11 @@ class LineRuns:
         """Adds a batch and returns its new keys (key, holder); docs: doc_id, text."""
         # Each document gives a key once, so the count is of documents; both aggregates are
         # combined before the exchange, so a line of a third of all documents is one row a task.
-        batch = keyed_lines(docs, self.least_chars).groupBy("key").agg(F.max("doc_id").alias("holder"), F.count("*").alias("n_docs"))
+        lines = keyed_lines(docs, self.least_chars)
+        if self.repeats:
+            # Rows of one doc_id are in the same batch, and their lines count once.
+            lines = lines.distinct()
+        batch = lines.groupBy("key").agg(F.max("doc_id").alias("holder"), F.count("*").alias("n_docs"))
         known = [r.where("holder is not null").select("key") for r in self.runs()]
         if known:
             batch = cut(batch)
@@ -104,7 +108,9 @@ def batches_of(docs: DataFrame, n: int) -> list[DataFrame]:
 
 def dropped_keys(docs: DataFrame, least_chars: int, least_docs: int, batches: int) -> DataFrame:
     """(doc_id, keys): the line keys that each document loses."""
-    store = LineRuns(least_chars)
+    # Only a table that repeats a doc_id pays for telling its rows apart.
+    repeats = not docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty()
+    store = LineRuns(least_chars, repeats=repeats)
     for batch in batches_of(docs, batches):
         store.add(batch)
     common = cut(store.common(least_docs))
