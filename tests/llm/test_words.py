@@ -40,3 +40,22 @@ def test_window_hashes_tell_windows_apart(n):
 def test_slices_cover_all_rows():
     texts = pa.array(["x" * k for k in (5, 50, 0, 200, 1)])
     assert list(w.slices(texts, 60)) == [(0, 3), (3, 4), (4, 5)]
+
+
+def thue_morse(n):
+    return "".join("ab"[bin(i).count("1") % 2] for i in range(n))
+
+
+def test_no_word_collides_by_construction():
+    # These collide under every polynomial modulo a power of two with an odd base.
+    one = thue_morse(2048)
+    other = one.translate(str.maketrans("ab", "ba"))
+    for n in (64, 1024, 2048):
+        a, b = w.scan(pa.array([one[:n], other[:n]]), w.SPACE_WORDS, False).hash
+        assert a != b
+
+
+def test_very_long_words_are_hashed_alike():
+    long = "xyz" * (w.PLAIN_SUMS // 2)
+    a, b, c = w.scan(pa.array([long, "q " + long + "z"]), w.SPACE_WORDS, False).hash[[0, 2, 1]]
+    assert a != b and a == w.scan(pa.array([long]), w.SPACE_WORDS, True).hash[0] and c not in (a, b)

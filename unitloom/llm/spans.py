@@ -1,17 +1,23 @@
-"""Repeated long spans by compaction of a sparse de Bruijn graph of word k-mers.
-
-Edges of the graph are k-mers of words.  Of these only the minimizers are kept: in every window
-of ``span`` consecutive words the k-mer with the least hash.  Equal windows choose equal edges, so
-a window that occurs in two documents has its edge in both, and an edge that only one document
-holds rules out all windows that chose it.
-
-Each occurrence of an edge carries its source coordinates (document, position) and a hash of its
-neighbourhood: the words that all windows which chose it may cover.  Where all occurrences of an
-edge agree on that, the path through the edge does not branch: any window on it occurs exactly
-where the edge does, and one row stands for up to ``span - k + 1`` windows.  Consecutive edges of
-a document on nonbranching paths make one compacted span.  Only at edges where occurrences
-disagree, which is at the ends of shared passages, windows are compared one by one, with 96-bit
-hashes.
+"""Repeated long spans by compaction of a de Bruijn graph of word windows.
+
+The graph's edges are the windows of ``span`` consecutive words, its nodes the ``span - 1`` words
+that neighbouring windows share.  Edges are never written one by one.  Each window chooses its
+minimizer, the k-mer with the least hash in it, and the consecutive windows that choose the same
+one make a *run*: a short path of the graph, known by the minimizer's hash, a hash of its words,
+and source coordinates (document, place).  Equal windows choose equal minimizers, so a minimizer
+that only one document holds rules out all of its runs.
+
+1. An aggregate by minimizer finds those that more than one document holds, whether all their
+   runs are equal, and whether the runs before and after are the same in all documents: then the
+   nodes at both ends have one edge in and one edge out.  A join takes that back to the runs.
+2. Compaction: such runs that follow each other in a document are one nonbranching path.  As a
+   document ends, and its end counts as a branch, a nonbranching path lies whole in every document
+   that holds any part of it, so each document finds the same paths by itself.
+3. Where runs of one minimizer differ, which is at the ends of shared passages, runs are compared
+   among each other, and of each different run the windows of its first document one by one.
+4. Every path and every such window is looked up at its source coordinates, and the 128-bit digest
+   of the very words there decides.  Paths that looked equal and are not (a collision of the
+   64-bit hashes) go window by window.
 """
 
 from __future__ import annotations
@@ -31,16 +37,19 @@ SPAN = 50
 K = 24
 #: Bits of a sliding key that hold the position; equal hashes go to the first position.
 PLACE_BITS = 28
+#: What is asked of a run: to be a span by itself, a part of a nonbranching path, or to give its
+#: windows; a request is the run's place and one of these in the two lowest bits.
+ALONE, INNER, WINDOWS = 0, 1, 2
 
 
 def chosen(found: words.Words, span: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Window starts of a batch, and the position of the edge that each window chose."""
+    """Window starts of a batch, and the position of the minimizer that each window chose."""
     starts = words.window_starts(found.doc, span)
     if not len(starts):
         return starts, starts
-    edge = words.window_hashes(found.hash, k)
-    place = words.ranges(found.counts())[: len(edge)].astype(U64) & U64((1 << PLACE_BITS) - 1)
-    low = (edge & ~U64((1 << PLACE_BITS) - 1)) | place
+    kmer = words.window_hashes(found.hash, k)
+    place = words.ranges(found.counts())[: len(kmer)].astype(U64) & U64((1 << PLACE_BITS) - 1)
+    low = (kmer & ~U64((1 << PLACE_BITS) - 1)) | place
     width = span - k + 1
     size = 1
     while 2 * size <= width:
@@ -51,50 +60,49 @@ def chosen(found: words.Words, span: int, k: int) -> tuple[np.ndarray, np.ndarra
     least = low[starts] & U64((1 << PLACE_BITS) - 1)
     first = found.doc[:-1][np.searchsorted(found.doc, starts, side="right") - 1]
     at = first + least.astype(np.int64)
-    # A text of more words than the places count wraps round; the edge is the next such place.
+    # A text of more words than the places count wraps round; the k-mer is the next such place.
     at += -(-(np.maximum(starts - at, 0)) // (1 << PLACE_BITS)) * (1 << PLACE_BITS)
     return starts, at
 
 
-def _runs(at: np.ndarray) -> np.ndarray:
-    """Index of the first window of each run of windows that chose the same edge."""
-    fresh = np.ones(len(at), bool)
-    fresh[1:] = at[1:] != at[:-1]
-    return np.flatnonzero(fresh)
-
-
-def edges(docs: DataFrame, span: int, k: int) -> DataFrame:
-    """(edge, around, doc_id, place): the chosen k-mers of all documents."""
-    before, after = span - k, span
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = batch.column(0).to_numpy()
-            for i, j in words.slices(batch.column(1)):
-                found = words.scan(batch.column(1).slice(i, j - i), words.SPACE_WORDS, False)
-                starts, at = chosen(found, span, k)
-                at = at[_runs(at)]
-                if not len(at):
-                    continue
-                own = np.searchsorted(found.doc, at, side="right") - 1
-                # The neighbourhood, cut at the ends of the document, from hashes of 2**n words.
-                low = np.maximum(at - before, found.doc[own])
-                high = np.minimum(at + after, found.doc[own + 1])
-                yield pa.record_batch(
-                    [
-                        pa.array(words.window_hashes(found.hash, k)[at].view(np.int64)),
-                        pa.array(_range_hash(found.hash, low, high, at - low).view(np.int64)),
-                        pa.array(ids[i:j][own]),
-                        pa.array((at - found.doc[own]).astype(np.int32)),
-                    ],
-                    ["edge", "around", "doc_id", "place"],
-                )
-
-    return docs.mapInArrow(narrow(run), "edge long, around long, doc_id long, place int")
+class Runs:
+    """Runs of a batch: first and last window, minimizer's position, document and word hash."""
+
+    def __init__(self, found: words.Words, span: int, k: int) -> None:
+        starts, at = chosen(found, span, k)
+        fresh = np.ones(len(at), bool)
+        fresh[1:] = at[1:] != at[:-1]
+        first = np.flatnonzero(fresh)
+        self.at = at[first]
+        self.low = starts[first]
+        self.high = starts[np.append(first[1:], len(starts)) - 1] if len(first) else starts
+        self.own = np.searchsorted(found.doc, self.low, side="right") - 1
+        self.place = self.at - found.doc[self.own]
+        self.hash = _range_hash(found.hash, self.low, self.high + span, self.at - self.low)
+
+    def around(self) -> np.ndarray:
+        """A hash of the runs before and after each one; 0 stands for an end of the document."""
+        before, after = np.zeros(len(self.at), U64), np.zeros(len(self.at), U64)
+        same = self.own[1:] == self.own[:-1]
+        before[1:][same] = self.hash[:-1][same]
+        after[:-1][same] = self.hash[1:][same]
+        return words.mix(words.joined_hash(before, after))
+
+    def asked(self, codes: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of the runs that requests are for, and what is asked of each.
+
+        Other texts under a repeated doc_id may have no such run; their requests are left out.
+        """
+        order = np.lexsort((self.place, self.own))
+        key = self.own[order] * (1 << 32) + self.place[order]
+        want = doc * (1 << 32) + (codes >> 2)
+        at = np.searchsorted(key, want)
+        known = np.flatnonzero(np.append(key, -1)[at] == want)
+        return order[at[known]], codes[known] & 3
 
 
 def _range_hash(h: np.ndarray, low: np.ndarray, high: np.ndarray, lead: np.ndarray) -> np.ndarray:
-    """Hashes of the word ranges [low, high), with the place of the edge in them."""
+    """Hashes of the word ranges [low, high), with the place of the minimizer in them."""
     n = high - low
     out = words.mix(n.astype(U64) * U64(words.GOLDEN) + lead.astype(U64))
     level, size = h, 1
@@ -109,77 +117,150 @@ def _range_hash(h: np.ndarray, low: np.ndarray, high: np.ndarray, lead: np.ndarr
     return words.mix(out)
 
 
-def _of_document(rows: DataFrame, places: str, name: str) -> DataFrame:
-    """One row for each document; what it gathers is bounded by the document's own words."""
-    return rows.groupBy("doc_id").agg(F.collect_list(places).alias(name))
+def runs_of(docs: DataFrame, span: int, k: int, around: bool) -> DataFrame:
+    """(mini, run, around, doc_id, place) of all runs; around, if asked for, in place of place."""
+    kind = "mini long, run long, doc_id long, " + ("around long" if around else "place int")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column(0).to_numpy()
+            for i, j in words.slices(batch.column(1)):
+                found = words.scan(batch.column(1).slice(i, j - i), words.SPACE_WORDS, False)
+                own = Runs(found, span, k)
+                if not len(own.at):
+                    continue
+                mini = words.window_hashes(found.hash, k)[own.at]
+                last = own.around().view(np.int64) if around else own.place.astype(np.int32)
+                yield pa.record_batch([pa.array(mini.view(np.int64)), pa.array(own.hash.view(np.int64)), pa.array(ids[i:j][own.own]), pa.array(last)], ["mini", "run", "doc_id", "around" if around else "place"])
 
+    return docs.mapInArrow(narrow(run), kind)
 
-def repeats(plain: DataFrame, span: int, k: int) -> DataFrame:
-    """(doc_id, place, straight) of edges that more than one document holds.
 
-    Of edges on nonbranching paths only the occurrences to remove are left.  The edges of all
-    documents are found twice, once to be counted and once to be joined, as that takes less disk
-    than keeping them.
+def requests(plain: DataFrame, span: int, k: int) -> DataFrame:
+    """(id, asked): what is asked of each document's runs, in one row for each document.
+
+    The runs of all documents are found twice, once to be counted and once to be joined, as that
+    takes less disk than keeping them.
     """
-    every = edges(plain, span, k)
-    known = every.groupBy("edge").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), (F.min("around") == F.max("around")).alias("straight")).where("first < last").drop("last")
-    met = every.select("edge", "doc_id", "place").join(dealt_anew(known), "edge").where("not straight or doc_id > first")
-    return cut(met.select("doc_id", "place", "straight"))
+    agree = lambda c: F.min(c) == F.max(c)
+    known = runs_of(plain, span, k, True).groupBy("mini").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), agree("run").alias("equal"), agree("around").alias("inner"))
+    known = known.where("first < last").select("mini", "equal", (F.col("equal") & F.col("inner")).alias("inner"))
+    met = runs_of(plain, span, k, False).join(dealt_anew(known), "mini")
+    met = cut(met.select("doc_id", "place", "inner", F.when(~F.col("equal"), F.col("run")).alias("run")))
+    code = lambda kind: (F.col("place").cast("long") * 4 + kind).alias("asked")
+    whole = met.where("run is null").select("doc_id", code(F.when(F.col("inner"), INNER).otherwise(ALONE)))
+    mixed = met.where("run is not null").select("run", "doc_id", "place")
+    ends = mixed.groupBy("run").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
+    placed = mixed.join(dealt_anew(ends), "run")
+    # A run of several documents is a span by itself; its first document, which does not lose it
+    # whole, gives its windows.
+    both = F.array(F.when(F.col("first") < F.col("last"), F.lit(ALONE)), F.when(F.col("doc_id") == F.col("first"), F.lit(WINDOWS)))
+    mixed = placed.select("doc_id", "place", F.explode(F.array_compact(both)).alias("kind")).select("doc_id", code(F.col("kind")))
+    return whole.unionAll(mixed).groupBy(F.col("doc_id").alias("id")).agg(F.collect_list("asked").alias("asked"))
 
 
-def marks(plain: DataFrame, span: int, k: int) -> DataFrame:
-    """(id, paths, starts): for each document the edges and the single windows to remove.
+def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Values of a list column one after the other, and the row of each; null is no value."""
+    counts = np.asarray(column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False), np.int64)
+    return np.asarray(column.flatten().to_numpy(zero_copy_only=False), np.int64), np.repeat(np.arange(len(counts)), counts)
+
+
+def _spans_asked(found: words.Words, own: Runs, codes: np.ndarray, doc: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Word ranges [a, b) of the batch that are asked for, and each one's path, 0 for a window."""
+    number, kind = own.asked(codes, doc)
+    # Neighbouring inner runs of a document are one path; a run that stands alone is its own.
+    inner = np.unique(number[kind == INNER])
+    fresh = np.ones(len(inner), bool)
+    fresh[1:] = (inner[1:] != inner[:-1] + 1) | (own.own[inner[1:]] != own.own[inner[:-1]])
+    first = np.flatnonzero(fresh)
+    begin = np.concatenate([inner[first], number[kind == ALONE]])
+    end = np.concatenate([inner[np.append(first[1:], len(inner)) - 1] if len(first) else inner, number[kind == ALONE]])
+    window = number[kind == WINDOWS]
+    size = own.high[window] - own.low[window] + 1
+    single = np.repeat(own.low[window], size) + words.ranges(size)
+    low = np.concatenate([own.low[begin], single])
+    high = np.concatenate([own.high[end], single]) + span
+    return low, high, np.concatenate([own.hash[begin] | U64(1), np.zeros(len(single), U64)])
+
+
+def _digests(found: words.Words, low: np.ndarray, high: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """128-bit digests, as two numbers each, of the words [low, high) joined by single spaces."""
+    out = bytearray()
+    order = np.argsort(doc, kind="stable")
+    last, text, at = -1, memoryview(b""), []
+    for x in order.tolist():
+        d = int(doc[x])
+        if d != last:
+            last = d
+            text = memoryview(b" ".join(found.raw[found.offsets[d] : found.offsets[d + 1]].tobytes().split()))
+            base = int(found.doc[d])
+            at = np.concatenate([[0], np.cumsum(found.end[base : found.doc[d + 1]] - found.begin[base : found.doc[d + 1]] + 1)]).tolist()
+        out += hashlib.blake2b(text[at[low[x] - base] : at[high[x] - base] - 1], digest_size=16).digest()
+    digest = np.empty((len(low), 2), np.int64)
+    digest[order] = np.frombuffer(bytes(out), np.int64).reshape(-1, 2)
+    return digest
+
+
+SPANS = "d1 long, d2 long, path long, doc_id long, a int, b int"
+
+
+def spans_at(docs: DataFrame, span: int, k: int) -> DataFrame:
+    """(d1, d2, path, doc_id, a, b): digests of the word ranges that docs' ``asked`` asks for."""
 
-    ``paths``: places of edges of nonbranching paths that start in a smaller doc_id, all of whose
-    windows go.  ``starts``: starts of single windows that go.
-    """
-    repeated = repeats(plain, span, k)
-    paths = _of_document(repeated.where("straight"), "place", "paths")
-    branching = _of_document(repeated.where("not straight"), "place", "places")
-    single = _windows(plain.join(branching, "doc_id"), span, k)
-    smallest = single.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").drop("last")
-    starts = _of_document(single.join(dealt_anew(smallest), ["h1", "h2"]).where("doc_id > first"), "start", "starts")
-    return paths.join(starts, "doc_id", "full").withColumnRenamed("doc_id", "id")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, asked = batch.column("doc_id").to_numpy(), batch.column("asked")
+            for i, j in words.slices(batch.column("text")):
+                found = words.scan(batch.column("text").slice(i, j - i), words.SPACE_WORDS, False)
+                low, high, path = _spans_asked(found, Runs(found, span, k), *_lists(asked.slice(i, j - i)), span)
+                yield _span_rows(found, ids[i:j], low, high, path)
+
+    return docs.select("doc_id", "text", "asked").mapInArrow(narrow(run), SPANS)
+
+
+def _span_rows(found: words.Words, ids: np.ndarray, low: np.ndarray, high: np.ndarray, path: np.ndarray) -> pa.RecordBatch:
+    doc = np.searchsorted(found.doc, low, side="right") - 1
+    digest = _digests(found, low, high, doc)
+    a, b = (low - found.doc[doc]).astype(np.int32), (high - found.doc[doc]).astype(np.int32)
+    return pa.record_batch([pa.array(digest[:, 0]), pa.array(digest[:, 1]), pa.array(path.view(np.int64)), pa.array(ids[doc]), pa.array(a), pa.array(b)], ["d1", "d2", "path", "doc_id", "a", "b"])
 
 
-def _windows(docs: DataFrame, span: int, k: int) -> DataFrame:
-    """(h1, h2, doc_id, start) of the windows that chose one of the given places."""
+def _windows_at(docs: DataFrame, span: int) -> DataFrame:
+    """The same for all windows in the ranges ``a`` to ``b`` of docs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, places = batch.column("doc_id").to_numpy(), batch.column("places")
+            ids = batch.column("doc_id").to_numpy()
             for i, j in words.slices(batch.column("text")):
                 found = words.scan(batch.column("text").slice(i, j - i), words.SPACE_WORDS, False)
-                starts, at = chosen(found, span, k)
-                asked, counts = _lists(places.slice(i, j - i))
-                go = np.isin(at, asked + np.repeat(found.doc[:-1], counts))
-                starts = starts[go]
-                own = np.searchsorted(found.doc, starts, side="right") - 1
-                h1 = words.window_hashes(found.hash, span)[starts]
-                h2 = words.window_hashes(words.mix(found.hash ^ U64(words.ROOT3)), span)[starts]
-                yield pa.record_batch([pa.array(h1.view(np.int64)), pa.array((h2 >> U64(32)).astype(np.uint32).view(np.int32)), pa.array(ids[i:j][own]), pa.array((starts - found.doc[own]).astype(np.int32))], ["h1", "h2", "doc_id", "start"])
+                (a, doc), (b, _) = (_lists(batch.column(c).slice(i, j - i)) for c in ("a", "b"))
+                size = np.maximum(np.minimum(b, found.counts()[doc]) - a - span + 1, 0)
+                low = np.repeat(found.doc[doc] + a, size) + words.ranges(size)
+                yield _span_rows(found, ids[i:j], low, low + span, np.zeros(len(low), U64))
 
-    return docs.select("doc_id", "text", "places").mapInArrow(narrow(run), "h1 long, h2 int, doc_id long, start int")
+    return docs.select("doc_id", "text", "a", "b").mapInArrow(narrow(run), SPANS)
 
 
-def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Values of a list column one after the other, and how many each row has; null is none."""
-    counts = np.asarray(column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False), np.int64)
-    return np.asarray(column.flatten().to_numpy(zero_copy_only=False), np.int64), counts
-
-
-def _covered(found: words.Words, paths: pa.Array, single: pa.Array, span: int, k: int) -> np.ndarray:
-    """True for each word that a window to remove covers."""
-    edge, edge_counts = _lists(paths)
-    start, start_counts = _lists(single)
-    if not len(edge) and not len(start):
-        return np.zeros(len(found.hash), bool)
-    starts, at = chosen(found, span, k)
-    go = starts[np.isin(at, edge + np.repeat(found.doc[:-1], edge_counts))]
-    go = np.concatenate([go, start + np.repeat(found.doc[:-1], start_counts)])
+def marks(plain: DataFrame, span: int, k: int) -> DataFrame:
+    """(id, a, b): for each document the word ranges to remove, as two lists."""
+    asked = requests(plain, span, k)
+    found = cut(spans_at(plain.join(asked, F.col("doc_id") == F.col("id")), span, k))
+    differ = (F.min("d1") != F.max("d1")) | (F.min("d2") != F.max("d2"))
+    unlike = cut(found.where("path <> 0").groupBy("path").agg(differ.alias("differ")).where("differ").select("path"))
+    if not unlike.isEmpty():
+        ranges = found.join(unlike, "path", "left_semi").groupBy(F.col("doc_id").alias("id")).agg(F.collect_list("a").alias("a"), F.collect_list("b").alias("b"))
+        found = found.unionAll(_windows_at(plain.join(ranges, F.col("doc_id") == F.col("id")), span))
+    first = found.groupBy("d1", "d2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").drop("last")
+    gone = found.select("d1", "d2", "doc_id", "a", "b").join(dealt_anew(first), ["d1", "d2"]).where("doc_id > first")
+    return gone.groupBy(F.col("doc_id").alias("id")).agg(F.collect_list("a").alias("a"), F.collect_list("b").alias("b"))
+
+
+def _covered(found: words.Words, a: pa.Array, b: pa.Array) -> np.ndarray:
+    """True for each word that a range to remove covers."""
     change = np.zeros(len(found.hash) + 1, np.int64)
-    np.add.at(change, go, 1)
-    np.add.at(change, go + span, -1)
+    for column, step in ((a, 1), (b, -1)):
+        places, doc = _lists(column)
+        np.add.at(change, found.doc[doc] + np.minimum(places, found.counts()[doc]), step)
     return np.cumsum(change)[:-1] > 0
 
 
@@ -193,20 +274,21 @@ def remove_spans(docs: DataFrame, span: int = SPAN, k: int = K, digest: bool = F
     Null and empty texts and texts of fewer words than a window lose nothing.  Rows with a null
     doc_id neither lose words nor make others lose any.  Rows that repeat a doc_id are one
     document and should repeat its text: they don't make each other lose words, and what one of
-    them loses goes at the same places of the others.  Extra columns are not read.
+    them loses goes at the same places of the others.  If their texts differ, ranges beyond the
+    end of a text are ignored.  Extra columns are not read.
     """
     # Both joins with texts are by doc_id over the same rows, so texts are dealt out once.
     plain = text_only(docs).where("doc_id is not null")
-    both = plain.join(marks(plain, span, k), F.col("doc_id") == F.col("id"), "left").select("doc_id", "text", "paths", "starts")
+    both = plain.join(marks(plain, span, k), F.col("doc_id") == F.col("id"), "left").select("doc_id", "text", "a", "b")
     none = F.lit(None).cast("array<int>")
-    both = both.unionAll(text_only(docs).where("doc_id is null").select("doc_id", "text", none.alias("paths"), none.alias("starts")))
+    both = both.unionAll(text_only(docs).where("doc_id is null").select("doc_id", "text", none.alias("a"), none.alias("b")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, j in words.slices(batch.column("text")):
                 part = batch.slice(i, j - i)
                 found = words.scan(part.column("text"), words.SPACE_WORDS, False)
-                gone = _covered(found, part.column("paths"), part.column("starts"), span, k)
+                gone = _covered(found, part.column("a"), part.column("b"))
                 total = np.concatenate([[0], np.cumsum(gone)])[found.doc]
                 kept = []
                 for d in range(found.n_docs):

@@ -56,17 +56,25 @@ LOWER[0x41:0x5B] += 0x20
 SPACE_WORDS = separators("space")
 ALNUM_WORDS = separators("alnum")
 
-_powers = np.ones(1, U64)
+#: Modulus and bases of the two word polynomials: a Mersenne prime and two fixed numbers below it.
+PRIME = (1 << 31) - 1
+BASES = (1812433253, 1103515245)
+#: Products of a byte and a power are below 2**40, so sums of this many need no reduction.
+PLAIN_SUMS = 1 << 22
 
+_tables: dict[int, np.ndarray] = {}
 
-def powers(n: int) -> np.ndarray:
-    """First n powers of an odd multiplier, modulo 2**64."""
-    global _powers
-    if len(_powers) < n:
-        grown = np.full(max(n, 2 * len(_powers)), U64(ROOT3))
-        grown[0] = 1
-        _powers = np.multiply.accumulate(grown)
-    return _powers[:n]
+
+def powers(base: int, n: int) -> np.ndarray:
+    """First n powers of a base modulo PRIME."""
+    table = _tables.get(base)
+    if table is None or len(table) < n:
+        table, step = np.ones(1, U64), base
+        while len(table) < n:
+            table = np.concatenate([table, table * U64(step) % U64(PRIME)])
+            step = step * step % PRIME
+        _tables[base] = table
+    return table[:n]
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -163,28 +171,23 @@ def scan(texts: pa.Array, table: np.ndarray, lower: bool) -> Words:
 
 
 def _hash(raw: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Two polynomials of each word's bytes modulo a prime, mixed to 64 bits.
+
+    Unlike one modulo a power of two they have no words that collide whatever the base is.
+    """
     n = len(raw)
-    prefix = np.zeros(n + 1, U64)
-    np.cumsum((raw.astype(U64) + U64(1)) * powers(n + 1)[:n], out=prefix[1:])
-    # The word's polynomial, moved to a common exponent by the inverse power of the multiplier.
-    value = (prefix[end] - prefix[begin]) * inverse(begin)
-    value += (end - begin).astype(U64) * U64(GOLDEN)
-    return mix(value)
-
-
-_inverse = np.ones(1, U64)
-_ROOT3_INVERSE = pow(ROOT3, -1, 1 << 64)
-
-
-def inverse(exponents: np.ndarray) -> np.ndarray:
-    """Inverse powers of the multiplier for the given exponents."""
-    global _inverse
-    most = int(exponents.max(initial=0)) + 1
-    if len(_inverse) < most:
-        grown = np.full(max(most, 2 * len(_inverse)), U64(_ROOT3_INVERSE))
-        grown[0] = 1
-        _inverse = np.multiply.accumulate(grown)
-    return _inverse[exponents]
+    byte = raw.astype(U64) + U64(1)
+    both = []
+    for base in BASES:
+        terms = byte * powers(base, n)
+        if n > PLAIN_SUMS:
+            terms %= U64(PRIME)
+        prefix = np.zeros(n + 1, U64)
+        np.cumsum(terms, out=prefix[1:])
+        # Each polynomial is moved to exponent 0 by the inverse power of its word's start.
+        start = powers(pow(base, -1, PRIME), n + 1)[begin]
+        both.append((prefix[end] - prefix[begin]) % U64(PRIME) * start % U64(PRIME))
+    return mix(both[0] << U64(31) | both[1])
 
 
 def joined_hash(left: np.ndarray, right: np.ndarray) -> np.ndarray:
