@@ -85,13 +85,6 @@ def test_words_that_a_weak_hash_confuses(spark):
     assert sorted(r[2] for r in got.collect()) == [0, 0, 61]
 
 
-def test_unlike_paths_go_window_by_window(spark):
-    words = [f"w{i % 7}x{i}" for i in range(40)]
-    docs = spark.createDataFrame([(1, " ".join(words), [0, 10], [20, 40])], "doc_id long, text string, a array<int>, b array<int>")
-    got = sorted((r.a, r.b, r.path) for r in spans._windows_at(docs, 12).collect())
-    assert got == sorted((k, k + 12, 0) for a, b in ((0, 20), (10, 40)) for k in range(a, b - 11))
-
-
 def test_digest_is_of_the_kept_text(docs):
     plain = {r.doc_id: r.kept for r in spans.remove_spans(docs).collect()}
     assert {r.doc_id: r.kept for r in spans.remove_spans(docs, digest=True).collect()} == {i: sha(t) for i, t in plain.items()}

@@ -85,8 +85,14 @@ def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
 
 
 def text_only(df: DataFrame) -> DataFrame:
-    """doc_id and text under fixed names and types; other columns, clashing or not, stay behind."""
-    return df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    """doc_id and text under fixed names and types; other columns, clashing or not, stay behind.
+
+    A column that has its type is taken as it is: an alias that does nothing stays in some copies
+    of a plan and not in others, and exchanges of such copies are not reused.
+    """
+    own = dict(df.select("doc_id", "text").dtypes)
+    typed = lambda name, kind: F.col(name) if own[name] == kind else F.col(name).cast(kind).alias(name)
+    return df.select(typed("doc_id", "bigint"), typed("text", "string"))
 
 
 def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> bool:

@@ -16,8 +16,8 @@ that only one document holds rules out all of its runs.
 3. Where runs of one minimizer differ, which is at the ends of shared passages, runs are compared
    among each other, and of each different run the windows of its first document one by one.
 4. Every path and every such window is looked up at its source coordinates, and the 128-bit digest
-   of the very words there decides.  Paths that looked equal and are not (a collision of the
-   64-bit hashes) go window by window.
+   of the very words there decides.  So a collision of the 64-bit hashes never removes a word;
+   it can only hide that the path around it is repeated, at a chance of about 2**-53 a comparison.
 """
 
 from __future__ import annotations
@@ -165,8 +165,8 @@ def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.asarray(column.flatten().to_numpy(zero_copy_only=False), np.int64), np.repeat(np.arange(len(counts)), counts)
 
 
-def _spans_asked(found: words.Words, own: Runs, codes: np.ndarray, doc: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Word ranges [a, b) of the batch that are asked for, and each one's path, 0 for a window."""
+def _spans_asked(found: words.Words, own: Runs, codes: np.ndarray, doc: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray]:
+    """Word ranges [a, b) of the batch that are asked for: paths, runs and single windows."""
     number, kind = own.asked(codes, doc)
     # Neighbouring inner runs of a document are one path; a run that stands alone is its own.
     inner = np.unique(number[kind == INNER])
@@ -178,9 +178,7 @@ def _spans_asked(found: words.Words, own: Runs, codes: np.ndarray, doc: np.ndarr
     window = number[kind == WINDOWS]
     size = own.high[window] - own.low[window] + 1
     single = np.repeat(own.low[window], size) + words.ranges(size)
-    low = np.concatenate([own.low[begin], single])
-    high = np.concatenate([own.high[end], single]) + span
-    return low, high, np.concatenate([own.hash[begin] | U64(1), np.zeros(len(single), U64)])
+    return np.concatenate([own.low[begin], single]), np.concatenate([own.high[end], single]) + span
 
 
 def _digests(found: words.Words, low: np.ndarray, high: np.ndarray, doc: np.ndarray) -> np.ndarray:
@@ -201,57 +199,34 @@ def _digests(found: words.Words, low: np.ndarray, high: np.ndarray, doc: np.ndar
     return digest
 
 
-SPANS = "d1 long, d2 long, path long, doc_id long, a int, b int"
+SPANS = "d1 long, d2 long, doc_id long, a int, b int"
 
 
 def spans_at(docs: DataFrame, span: int, k: int) -> DataFrame:
-    """(d1, d2, path, doc_id, a, b): digests of the word ranges that docs' ``asked`` asks for."""
+    """(d1, d2, doc_id, a, b): digests of the word ranges that docs' ``asked`` asks for."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, asked = batch.column("doc_id").to_numpy(), batch.column("asked")
             for i, j in words.slices(batch.column("text")):
                 found = words.scan(batch.column("text").slice(i, j - i), words.SPACE_WORDS, False)
-                low, high, path = _spans_asked(found, Runs(found, span, k), *_lists(asked.slice(i, j - i)), span)
-                yield _span_rows(found, ids[i:j], low, high, path)
+                low, high = _spans_asked(found, Runs(found, span, k), *_lists(asked.slice(i, j - i)), span)
+                doc = np.searchsorted(found.doc, low, side="right") - 1
+                digest = _digests(found, low, high, doc)
+                a, b = (low - found.doc[doc]).astype(np.int32), (high - found.doc[doc]).astype(np.int32)
+                yield pa.record_batch([pa.array(digest[:, 0]), pa.array(digest[:, 1]), pa.array(ids[i:j][doc]), pa.array(a), pa.array(b)], ["d1", "d2", "doc_id", "a", "b"])
 
     return docs.select("doc_id", "text", "asked").mapInArrow(narrow(run), SPANS)
 
 
-def _span_rows(found: words.Words, ids: np.ndarray, low: np.ndarray, high: np.ndarray, path: np.ndarray) -> pa.RecordBatch:
-    doc = np.searchsorted(found.doc, low, side="right") - 1
-    digest = _digests(found, low, high, doc)
-    a, b = (low - found.doc[doc]).astype(np.int32), (high - found.doc[doc]).astype(np.int32)
-    return pa.record_batch([pa.array(digest[:, 0]), pa.array(digest[:, 1]), pa.array(path.view(np.int64)), pa.array(ids[doc]), pa.array(a), pa.array(b)], ["d1", "d2", "path", "doc_id", "a", "b"])
-
-
-def _windows_at(docs: DataFrame, span: int) -> DataFrame:
-    """The same for all windows in the ranges ``a`` to ``b`` of docs."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = batch.column("doc_id").to_numpy()
-            for i, j in words.slices(batch.column("text")):
-                found = words.scan(batch.column("text").slice(i, j - i), words.SPACE_WORDS, False)
-                (a, doc), (b, _) = (_lists(batch.column(c).slice(i, j - i)) for c in ("a", "b"))
-                size = np.maximum(np.minimum(b, found.counts()[doc]) - a - span + 1, 0)
-                low = np.repeat(found.doc[doc] + a, size) + words.ranges(size)
-                yield _span_rows(found, ids[i:j], low, low + span, np.zeros(len(low), U64))
-
-    return docs.select("doc_id", "text", "a", "b").mapInArrow(narrow(run), SPANS)
-
-
 def marks(plain: DataFrame, span: int, k: int) -> DataFrame:
     """(id, a, b): for each document the word ranges to remove, as two lists."""
+    # Without a checkpoint in between, one plan reads the texts' exchange again and again; the
+    # spans are looked up once to be counted and once to be joined.
     asked = requests(plain, span, k)
-    found = cut(spans_at(plain.join(asked, F.col("doc_id") == F.col("id")), span, k))
-    differ = (F.min("d1") != F.max("d1")) | (F.min("d2") != F.max("d2"))
-    unlike = cut(found.where("path <> 0").groupBy("path").agg(differ.alias("differ")).where("differ").select("path"))
-    if not unlike.isEmpty():
-        ranges = found.join(unlike, "path", "left_semi").groupBy(F.col("doc_id").alias("id")).agg(F.collect_list("a").alias("a"), F.collect_list("b").alias("b"))
-        found = found.unionAll(_windows_at(plain.join(ranges, F.col("doc_id") == F.col("id")), span))
+    found = spans_at(plain.join(asked, F.col("doc_id") == F.col("id")), span, k)
     first = found.groupBy("d1", "d2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").drop("last")
-    gone = found.select("d1", "d2", "doc_id", "a", "b").join(dealt_anew(first), ["d1", "d2"]).where("doc_id > first")
+    gone = found.join(dealt_anew(first), ["d1", "d2"]).where("doc_id > first")
     return gone.groupBy(F.col("doc_id").alias("id")).agg(F.collect_list("a").alias("a"), F.collect_list("b").alias("b"))
 
 
