@@ -89,16 +89,18 @@ def test_odd_contamination(spark, odd, none):
 
 def test_licenses_equal_brute_force(spark):
     texts = corpus(17) + ["This is under the MIT License and the Apache License.", "apache license " * 40, "x " * 50 + "licensed under CC BY-NC 4.0" + " y" * 90, "mit-license", "MIT\nLicense", "mit x license"]
+    texts += ["x " * 37 + re.sub("[(),]", "", t) + " y" * 90 for t, _ in licenses.TEMPLATES[-7:]] + [" ".join(w for k, w in enumerate(t.split()) if k % 11) for t, _ in licenses.TEMPLATES[-7:]]
     got = {r.doc_id: tuple(r)[1:] for r in licenses.license_scan(table(spark, texts)).collect()}
     for i, t in enumerate(texts):
         ws = alnum(t)
         places = [(k, label) for phrase, label in licenses.PHRASES for k in range(len(ws)) if ws[k : k + len(phrase.split())] == phrase.split()]
         base = {x for _, x in places}
         every, score = set(base), float(bool(places))
-        for s in range(0, max(len(ws), 1), 32):
-            block = set(ws[s : s + 64])
-            for template, label in licenses.TEMPLATES:
-                own = set(template.split())
+        for template, label in licenses.TEMPLATES:
+            size = licenses.block_of(len(alnum(template)))
+            own = set(alnum(template))
+            for s in range(0, max(len(ws), 1), size // 2):
+                block = set(ws[s : s + size])
                 if 100 * len(own & block) >= licenses.PERCENT * len(own):
                     every.add(label)
                     score = max(score, len(own & block) / len(own))
@@ -106,6 +108,24 @@ def test_licenses_equal_brute_force(spark):
         assert got[i] == (len(ws), len(places), min(at, default=None), max(at, default=None), ",".join(sorted(base)), ",".join(sorted(every)), score)
 
 
+def test_words_in_another_place_are_no_notice(spark):
+    # Five words of a short notice far from each other, and a passage of a long one's length.
+    texts = ["released " + "x " * 12 + "under " + "x " * 12 + "the mit " + "x " * 12 + "license", "released under the mit license", "x " * 7 + "license mit released the under"]
+    got = {r.doc_id: r.labels for r in licenses.license_scan(table(spark, texts)).collect()}
+    assert got == {0: "", 1: "mit", 2: "mit"}
+
+
+def test_each_license_filter_rejects():
+    own = licenses.Templates([("a b c d e f g h i j", "x")], 80, dict.fromkeys(range(10), 1))
+    size, t = licenses.block_of(10), own.sets[0]
+    assert list(own.left(t, size)) == [0] and list(own.left(t[2:], size)) == [0]
+    assert list(own.left(t[3:], size)) == []  # no word of the prefix
+    assert list(own.left(t[:7], size)) == []  # too few words
+    other = licenses.Templates([("a b c d e f g h i j", "x"), ("k l m n o p", "y")], 80, {})
+    late = sorted({w for w in other.sets[1]} | {other.sets[0][2], *other.sets[0][4:6]})
+    assert len(late) >= other.need[0] and 0 not in list(other.left(late, size))  # too few words from the first shared one on
+
+
 def test_odd_licenses(odd, none):
     assert licenses.license_scan(odd).count() == 9 and licenses.license_scan(none).count() == 0
 
