@@ -1,3 +1,4 @@
+import math
 import random
 import re
 import zlib
@@ -167,6 +168,82 @@ def test_quality_rejects_outliers_alone(spark):
     assert kept.where(F.col("doc_id") == len(clean)).count() == 0
 
 
+def scaled(feature):
+    n, chars, symbols, dup, repeat, lines = feature
+    return [math.log((x + 1) / (y + 1)) for x, y in ((symbols, chars), (dup, lines), (repeat, n), (chars, n))]
+
+
+def brute_verdicts(rows):
+    """rows: (key, lang, source, text); the verdicts by exact quartiles."""
+    known = {}
+    for key, lang, source, text in rows:
+        n, chars, symbols, dup, repeat, failed = features(text)
+        lines = len([x for x in (text or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)])
+        known[key] = (lang or "", source or "", failed, scaled((n, chars, symbols, dup, repeat, lines)))
+
+    def quartiles(test):
+        own = [v for lang, source, failed, v in known.values() if not failed and test(lang, source)]
+        at = lambda xs, q: sorted(xs)[max(math.ceil(q * len(xs)), 1) - 1]
+        return len(own), [(at(xs, 0.25), at(xs, 0.75)) for xs in zip(*own, strict=True)]
+
+    def below(own, above):
+        n, pairs = own
+        return [tuple(y + (x - y) * (n / (n + quality.PRIOR)) for x, y in zip(p, q, strict=True)) for p, q in zip(pairs, above, strict=True)]
+
+    def fence(p, width=quality.FENCE):
+        return p[0] - width * (p[1] - p[0]), p[1] + width * (p[1] - p[0])
+
+    out = {}
+    _, whole = quartiles(lambda lang, source: True)
+    for key, (lang, source, failed, values) in known.items():
+        out[key] = not failed
+        if failed:
+            continue
+        in_lang = quartiles(lambda x, _, lang=lang: x == lang)
+        by_lang = below(in_lang, whole)
+        own = below(quartiles(lambda x, y, lang=lang, source=source: (x, y) == (lang, source)), by_lang)
+        for k, v in enumerate(values):
+            fences = [fence(by_lang[k]), fence(in_lang[1][k])]
+            least, most = min(f[0] for f in fences), max(f[1] for f in fences)
+            outer = fence(by_lang[k], 2 * quality.FENCE)
+            low = max(min(fence(own[k])[0], least), min(outer[0], least))
+            high = min(max(fence(own[k])[1], most), max(outer[1], most))
+            out[key] &= v <= high and (k != 3 or v >= low)
+    return out
+
+
+def test_verdicts_equal_brute_force(spark, sf):
+    docs = spark.read.parquet(f"{sf.replace('0.001', '0.01')}/documents.parquet")
+    rows = [(r.doc_id, r.lang, r.source, r.text) for r in docs.collect()]
+    got = {r.doc_id: r.kept for r in quality.quality(docs).collect()}
+    want = brute_verdicts(rows)
+    assert got == want
+    beyond = [i for i, _, _, t in rows if not want[i] and not features(t)[5]]
+    assert 20 < len(beyond) < 0.1 * len(rows)
+    assert sorted(r.doc_id for r in quality.keep_good(docs).collect()) == sorted(i for i, ok in want.items() if ok)
+
+
+def test_a_bad_source_does_not_lift_its_limits(spark):
+    clean = [t for t in corpus(19, 200) if t and len(t.split()) > 60]
+    junk = [" ".join(w + "##" for w in t.split()) for t in clean[:40]]
+    rows = [(i, t, "en", "good", 0) for i, t in enumerate(clean * 3)] + [(10_000 + i, t, "en", "bad", 0) for i, t in enumerate(junk)]
+    out = quality.quality(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"))
+    assert out.where("doc_id >= 10000 and kept").count() == 0
+
+
+def test_a_source_of_copies_does_not_reject_the_others(spark):
+    clean = [t for t in corpus(19, 300) if t and 60 < len(t.split()) < 200]
+    # Four of five rows of a source, and a third of all, are copies of one text.
+    rows = [(i, clean[i % len(clean)], "en", "a", 0) for i in range(1000)] + [(1000 + i, clean[0] if i % 5 else clean[i // 5 % len(clean)], "en", "b", 0) for i in range(700)]
+    out = quality.quality(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")).where("not base_failed")
+    assert out.where("not kept").count() < 0.02 * out.count()
+
+
+def test_equal_texts_all_stay(spark):
+    text = " ".join(f"word{i}" for i in range(80))
+    assert quality.quality(table(spark, [text] * 20)).where("kept").count() == 20
+
+
 def test_quality_salted_join_is_the_same(spark, docs, monkeypatch):
     want = sorted(map(tuple, quality.quality(docs).collect()))
     monkeypatch.setattr(quality, "BROADCAST_ROWS", 0)
