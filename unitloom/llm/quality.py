@@ -32,7 +32,7 @@ SYMBOLS = "#*$%&|<>"
 LEAST_WORDS = 50
 MOST_REPEATED = 50
 #: Widths of the distance of the quartiles, beyond them, that a feature may lie.
-FENCE = 2.0
+FENCE = 3.0
 #: Documents that the parent group's quartiles count for.
 PRIOR = 200
 #: Features, and whether values below the lower fence fail too.
