@@ -129,3 +129,38 @@ def test_odd_packing(odd, none):
     best = packing.pack_best_fit(odd, length=64).collect()
     assert sum(r.n_tokens for r in best) == sum(r.length for r in rows)
     assert packing.pack_along_curve(none).count() == 0 and packing.pack_best_fit(none).count() == 0
+
+
+def test_added_tokens_of_other_files(tmp_path):
+    import pyarrow as pa
+    from tokenizers import AddedToken, Tokenizer
+
+    own = Tokenizer.from_file(bpe.default_path())
+    own.add_special_tokens(["[PAD]", AddedToken("<sep>", lstrip=True, rstrip=True)])
+    own.add_tokens(["new york", AddedToken("solo", single_word=True)])
+    own.enable_truncation(4)
+    own.enable_padding(length=9)
+    path = str(tmp_path / "added.json")
+    own.save(path)
+    own.no_truncation()
+    own.no_padding()
+    some = random.Random(8)
+    parts = ["hello", " ", "[PAD]", "world", "  ", "<sep>", "new york", "solo", "solos", "\n", "[PA", "D]", ".", "é"]
+    texts = ["hello [PAD] world", None, "", *["".join(some.choice(parts) for _ in range(some.randint(0, 12))) for _ in range(500)]]
+    model = bpe.Encoder(path)
+    ids, bound = model.encode(pa.array(texts))
+    want = [own.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert [ids[a:b].tolist() for a, b in zip(bound, bound[1:], strict=False)] == want
+    assert model.lengths(pa.array(texts)).tolist() == list(map(len, want)) and len(want[0]) == 4
+
+
+def test_other_splitting_patterns_are_not_cut(tmp_path):
+    import pyarrow as pa
+    from tokenizers import Tokenizer, pre_tokenizers
+
+    own = Tokenizer.from_file(bpe.default_path())
+    own.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+    path = str(tmp_path / "whole.json")
+    own.save(path)
+    texts = ["of the people by the people", "a b c", None]
+    assert bpe.Encoder(path).lengths(pa.array(texts)).tolist() == [len(own.encode(t or "", add_special_tokens=False).ids) for t in texts]

@@ -13,11 +13,13 @@ from __future__ import annotations
 
 import json
 import os
+import re
 from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 from .words import buffers, ranges, slices
 
@@ -84,7 +86,14 @@ def byte_of_sign() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(hidden)}
 
 
-def fast_core(path: str):
+def splits_alike(config: dict) -> bool:
+    """Whether a tokenizer's file splits texts by PATTERN alone, so that safe cuts are safe."""
+    pre, model = config.get("pre_tokenizer") or {}, config["model"]
+    own = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space", True)
+    return bool(own and config.get("normalizer") is None and model.get("type") == "BPE" and not model.get("dropout"))
+
+
+def fast_core(config: dict):
     """An encoding of plain text with the same merges, or None if it can't be the same.
 
     It merges by rank, so it gives the file's ids only if the file's merges come in the order of
@@ -94,8 +103,9 @@ def fast_core(path: str):
         import tiktoken
     except ImportError:
         return None
-    with open(path, encoding="utf-8") as f:
-        model = json.load(f)["model"]
+    model = config["model"]
+    if any(model.get(k) for k in ("unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges")):
+        return None
     vocab = model["vocab"]
     pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
     if any(vocab.get(a + b) != 256 + k for k, (a, b) in enumerate(pairs)):
@@ -108,13 +118,12 @@ def fast_core(path: str):
 def plain_parts(raw: np.ndarray, cuts: np.ndarray) -> np.ndarray:
     """Which parts are visible ASCII and Latin letters alone, after one space at most.
 
-    Every version of Unicode splits these alike, and none holds a special token's "<|".
+    Every version of Unicode splits these alike.
     """
     ok = _VISIBLE[raw]
     lead = (raw >= 0xC3) & (raw <= 0xC8)
     ok |= lead
     ok[1:] |= lead[:-1]
-    ok[:-1] &= ~((raw[:-1] == 0x3C) & (raw[1:] == 0x7C))
     first = cuts[:-1]
     ok[first] |= raw[first] == 0x20
     wrong = np.zeros(len(raw) + 1, np.int64)
@@ -127,26 +136,32 @@ class Encoder:
     """Whole texts to ids, or to their number alone.
 
     Plain parts of a batch are encoded in one call of a core with the same merges, with line feeds
-    between them, which are tokens of their own there.  All other parts, and all that may hold a
-    special token, go through the tokenizer's own library one by one.
+    between them, which are tokens of their own there.  All other parts go through the tokenizer's
+    own library one by one, and texts that hold an added token (special or not) go through it
+    whole, as such a token may take in the white space around it.
     """
 
     def __init__(self, path: str) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        self.split = path.endswith(".json")
-        if self.split:
+        self.split, self.fast, self.added = False, None, None
+        if path.endswith(".json"):
             from tokenizers import Tokenizer
 
             self.model = Tokenizer.from_file(path)
-            kind = getattr(self.model.pre_tokenizer, "use_regex", None)
-            self.split = bool(kind) and not self.model.pre_tokenizer.add_prefix_space and self.model.normalizer is None
+            self.model.no_truncation()
+            self.model.no_padding()
+            with open(path, encoding="utf-8") as f:
+                config = json.load(f)
+            self.split = splits_alike(config)
+            self.fast = fast_core(config) if self.split else None
+            names = sorted({re.escape(x["content"]) for x in config.get("added_tokens") or () if x["content"]})
+            self.added = "|".join(names) or None
         elif path.endswith(".model"):
             import sentencepiece
 
             self.model = sentencepiece.SentencePieceProcessor(model_file=path)
         else:
             raise ValueError(f"no tokenizer library is known for {path!r}")
-        self.fast = fast_core(path) if self.split else None
         if self.fast:
             self.line = self.fast.encode_ordinary("\n")[0]
 
@@ -202,8 +217,32 @@ class Encoder:
         start, size = places[:, coded.indices.to_numpy()]
         return cuts, ids, start, size
 
+    def _whole(self, texts: pa.Array) -> np.ndarray:
+        """Which texts hold an added token and are not to be cut."""
+        if not self.split or not self.added:
+            return np.zeros(0, np.int64)
+        return np.flatnonzero(pc.fill_null(pc.match_substring_regex(texts, self.added), False).to_numpy(zero_copy_only=False))
+
+    def _apart(self, texts: pa.Array, whole: np.ndarray) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+        """The texts without those to be kept whole, and those texts' ids and their numbers."""
+        ids, counts = self._library(pc.fill_null(texts, "").take(pa.array(whole)).cast(pa.binary()).to_pylist())
+        hidden = np.zeros(len(texts), bool)
+        hidden[whole] = True
+        return pc.if_else(pa.array(hidden), "", pc.fill_null(texts, "")), ids, counts
+
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts of an array, one after the other, and bounds (n + 1 entries)."""
+        if len(whole := self._whole(texts)):
+            rest, special, counts = self._apart(texts, whole)
+            ids, bounds = self.encode(rest)
+            every = np.diff(bounds)
+            pieces, at = np.split(ids, bounds[whole]), 0
+            out = [pieces[0]]
+            for piece, n in zip(pieces[1:], counts.tolist(), strict=True):
+                out += [special[at : at + n], piece]
+                at += n
+            every[whole] = counts
+            return np.concatenate(out), np.concatenate([[0], np.cumsum(every)])
         raw, offsets = buffers(texts)
         if not len(raw):
             return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
@@ -215,6 +254,11 @@ class Encoder:
 
     def lengths(self, texts: pa.Array) -> np.ndarray:
         """Number of ids of each text; ids themselves are not put together."""
+        if len(whole := self._whole(texts)):
+            rest, _, counts = self._apart(texts, whole)
+            out = self.lengths(rest)
+            out[whole] = counts
+            return out
         raw, offsets = buffers(texts)
         if not len(raw):
             return np.zeros(len(offsets) - 1, np.int64)
