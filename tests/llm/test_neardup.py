@@ -74,7 +74,45 @@ def test_links_beyond_a_full_window(spark):
     assert {i: got.get(i, i) for i in want} == want and len(set(want.values())) < len(texts)
 
 
-def test_seams_between_partitions(spark):
+def boilerplate_pairs(n):
+    """Pairs of documents at 0.863 that all share a long text, by which all others are at 0.847."""
+    base = " ".join(f"b{i}" for i in range(102))
+    tail = lambda k, m: " ".join(f"t{k}x{j}" for j in range(m))
+    out = []
+    for k in range(n):
+        out += [f"{base} {tail(k, 9)}", f"{base} {tail(k, 7)} u{k} v{k}"]
+    return out
+
+
+def test_pairs_among_others_just_below_the_threshold(spark):
+    texts = boilerplate_pairs(1000)
+    sets = [set(zip(w, w[1:], w[2:], strict=False)) for w in map(str.split, texts[:4])]
+    share = lambda a, b: 100 * len(a & b) / len(a | b)
+    assert share(sets[0], sets[1]) >= 85 > share(sets[0], sets[2])
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(table(spark, texts), 3, 85).collect()}
+    assert got == {i: i - i % 2 for i in range(2000)}
+
+
+def test_exact_pairs_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "SALT_ROWS", 2)
+    own = random.Random(6)
+    rows = []
+    for i in range(120):
+        base = set(range(0, 40)) if i % 3 else set(range(100, 130))
+        gone = own.sample(sorted(base), own.randint(0, 4))
+        rows.append((i, i % 7, sorted(base - set(gone) | {1000 + own.randrange(30) for _ in range(own.randint(0, 3))})))
+    sets = spark.createDataFrame(rows, "rep long, component long, s array<long>").repartition(3)
+    got = {(r.a, r.b) for r in neardup.exact_pairs(sets, 85).collect()}
+    want = set()
+    for (i, c, a), (j, d, b) in combinations([(i, c, set(s)) for i, c, s in rows], 2):
+        if c != d and 100 * len(a & b) >= 85 * len(a | b):
+            want.add((i, j))
+    assert want and want <= got and len(got) < 120 * 119 / 2
+
+
+@pytest.mark.parametrize("rows", [1 << 16, 128])
+def test_seams_between_partitions(spark, monkeypatch, rows):
+    monkeypatch.setattr(neardup, "SEAM_ROWS", rows)
     texts = [f"common start of a text {i // 2} with words {i // 2} that pair up" for i in range(60)]
     spark.conf.set("spark.sql.shuffle.partitions", "40")
     try:

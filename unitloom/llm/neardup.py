@@ -2,21 +2,28 @@
 
 Each document has a set of word shingles and a MinHash signature.  The signature is laid out as
 several keys ("trees"), and each tree is one sorted order of the corpus, made by one range
-exchange.  Candidates of a document are its neighbours in an order, on condition that their keys
-share a prefix.  How deep a prefix is needed follows from the region: where few keys are alike,
-neighbours with LEAST_DEPTH equal hashes are reached, and in a dense region the nearest
-positions are taken by keys that agree much further.  So a tree gives each document a few
-candidates, the most alike of its ``NEIGHBOURS`` on either side, whatever the size of its group.
+exchange.  Candidates of a document are its neighbours in an order: there the rows with the longest
+common prefix (LCP) are the nearest ones.  How deep a prefix is needed follows from the region:
+where few keys are alike, neighbours with LEAST_DEPTH equal hashes are reached; in a dense region
+the ``reach`` nearest positions are taken by keys that agree much further.  Rows whose whole keys
+tie are ordered further by a sketch, two bits of each of the signature's other hashes, so a region
+goes as deep as the whole signature.
 
-A sketch of two bits of each hash goes with every key.  It leaves out pairs that can't reach the
-threshold (short of it by DEVIATIONS standard deviations) and ranks the others.
+The sketch also leaves out pairs that can't reach the threshold (short of it by DEVIATIONS standard
+deviations) and ranks the others.
 
 Candidates are confirmed on full shingle sets, in rounds: first the best few of each document,
 which joins most groups; then, for every candidate pair whose ends are still apart, the pairs of
 an end and the best-linked members ("hubs") of the other side's group, and the pair itself, again
-and again until that gives no new link.  At last come all pairs of different groups that share a
-prefix so common that a window or the best few left pairs out.  So a pair that shares a prefix, and that size and
-sketch allow, is only left unconfirmed if its ends are already known to be in one group.
+and again until that gives no new link.
+
+Neighbourhood and "the best few" leave pairs out only where more rows share a prefix than they
+hold.  All rows of such regions that are still in different groups go through an exact join on
+their sets: shingles are ordered from rare to frequent, and two sets that reach the threshold share
+one of their first shingles (prefix filter; the smaller set of a pair needs a shorter prefix), are
+of similar size (length filter) and have enough shingles left from there on (positional filter).
+So a pair that shares a prefix of LEAST_DEPTH hashes in any order is only left unconfirmed if its
+ends are already known to be in one group, or, in a sparse region, by the sketch.
 """
 
 from __future__ import annotations
@@ -46,8 +53,14 @@ BEST = (32,)
 HUBS = 16
 SALTS = 32
 #: Of the sketch's estimate.  By the binomial law a pair right at the threshold is left out once in
-#: 66,000 at 85 percent and once in 171,000 at 80.
-DEVIATIONS = 4.5
+#: 1.3 million at 85 percent and once in 6.1 million at 80.
+DEVIATIONS = 5.5
+#: Rows that one task may be given to look for neighbours across the bounds of partitions.
+SEAM_ROWS = 1 << 16
+#: Counters by which shingles are ordered; any order gives the same links.
+COUNTERS = 1 << 16
+#: Rows of a shingle for which one more salt is used.
+SALT_ROWS = 2000
 SEED = 2014
 
 
@@ -180,8 +193,12 @@ def _columns(batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
     return batch.column("tree").to_numpy(), key, bits, batch.column("rep").to_numpy(), batch.column("n").to_numpy()
 
 
-def _within(percent: int, reach: int):
-    """Neighbours inside a sorted partition; its first and last rows also go on, for the seams."""
+def _within(percent: int, reach: int, level: int):
+    """Neighbours inside a sorted partition; its first and last rows also go on, for the seams.
+
+    Beyond level 0 the rows are such ends of other partitions, and pairs of one of those have been
+    seen.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
@@ -189,15 +206,20 @@ def _within(percent: int, reach: int):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            cols = _columns(batch)
+            cols = (*_columns(batch), batch.column("part").to_numpy(zero_copy_only=False))
             if seen < reach:
-                ends.append(batch.slice(0, min(reach - seen, batch.num_rows)))
+                ends.append(tuple(x[: reach - seen] for x in cols))
             old = 0
             if carry is not None:
                 old = len(carry[0])
                 cols = tuple(np.concatenate(x) for x in zip(carry, cols, strict=True))
-            rows = len(cols[0])
-            pairs = _near(*cols, percent, reach, lambda d, rows=rows, old=old: np.arange(d, rows) >= old)
+            rows, parts = len(cols[0]), cols[-1]
+
+            def fresh(d: int, rows=rows, old=old, parts=parts) -> np.ndarray:
+                own = np.arange(d, rows) >= old
+                return own if level == 0 else own & (parts[d:] != parts[:-d])
+
+            pairs = _near(*cols[:-1], percent, reach, fresh)
             if pairs is not None:
                 yield pairs
             carry = tuple(x[-reach:] for x in cols)
@@ -205,45 +227,42 @@ def _within(percent: int, reach: int):
         if carry is None:
             return
         tail = min(len(carry[0]), max(0, seen - reach))  # rows that are not among the first ones
-        heads = pa.Table.from_batches(ends).to_pydict() if ends else {}
-        last = slice(len(carry[0]) - tail, None)
-        trees = heads["tree"] + carry[0][last].tolist()
-        keys = heads["key"] + [x.astype(">u4").tobytes() for x in carry[1][last]]
-        bits = heads["sketch"] + [x.tobytes() for x in carry[2][last]]
-        reps = heads["rep"] + carry[3][last].tolist()
-        sizes = heads["n"] + carry[4][last].tolist()
-        n = len(reps)
-        yield pa.record_batch([pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), pa.array(trees, pa.int32()), pa.array(keys, pa.binary()), pa.array(bits, pa.binary()), pa.array(reps, pa.int64()), pa.array(sizes, pa.int64()), pa.array([part] * n, pa.int32())], NAMES)
+        ends.append(tuple(x[len(x) - tail :] for x in carry))
+        tree, key, bits, rep, n, _ = (np.concatenate(x) for x in zip(*ends, strict=True))
+        key = key.astype(">u4")
+        rows = len(rep)
+        none = lambda kind: pa.nulls(rows, kind)
+        yield pa.record_batch([none(pa.int64()), none(pa.int64()), none(pa.int32()), pa.array(tree, pa.int32()), pa.array([x.tobytes() for x in key], pa.binary()), pa.array([x.tobytes() for x in bits], pa.binary()), pa.array(rep, pa.int64()), pa.array(n, pa.int64()), pa.array(np.full(rows, part), pa.int32())], NAMES)
 
     return run
 
 
-def _seams(percent: int, reach: int):
-    """Neighbours across the bounds of partitions; its rows are a few for each partition."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [b for b in batches if b.num_rows]
-        if not got:
-            return
-        batch = pa.Table.from_batches(got).combine_chunks().to_batches()[0]
-        part = batch.column("part").to_numpy()
-        pairs = _near(*_columns(batch), percent, reach, lambda d: part[d:] != part[:-d])
-        if pairs is not None:
-            yield pairs
+def neighbours(rows: DataFrame, percent: int, reach: int, parts: int, level: int = 0) -> DataFrame:
+    """(a, b, score) of near rows in the order of tree, key and sketch.
 
-    return run
+    The ends of partitions are put in order again, in as many partitions as they need, until they
+    fit into one.
+    """
+    order = ["tree", "key", "sketch", "rep"]
+    dealt = rows.repartitionByRange(parts, *order) if parts > 1 else rows.repartition(1)
+    found = cut(dealt.sortWithinPartitions(*order).mapInArrow(narrow(_within(percent, reach, level)), PAIRS))
+    own = found.where("part is null").select("a", "b", "score")
+    if parts == 1:
+        return own
+    seams = found.where("part is not null").select(*order, "n", "part")
+    fewer = min(-(-parts * 2 * reach // SEAM_ROWS), -(-parts // 2))
+    return own.unionAll(neighbours(seams, percent, reach, fewer, level + 1))
 
 
 def candidates(reps: DataFrame, percent: int, reach: int = NEIGHBOURS) -> DataFrame:
     """(a, b, score) with a < b from all trees; reps: rep, n, signature, sketch."""
-    width = 4 * TREE_HASHES
-    spread = reps.select("rep", "n", "sketch", F.concat("signature", F.substring("signature", 1, 4 * (KEY_HASHES - TREE_HASHES))).alias("s"), F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"))
-    rows = spread.select("tree", F.expr(f"substring(s, tree * {width} + 1, {4 * KEY_HASHES})").alias("key"), "sketch", "rep", "n")
-    parts = shuffle_partitions(reps.sparkSession)
-    ordered = rows.repartitionByRange(parts, "tree", "key", "rep").sortWithinPartitions("tree", "key", "rep")
-    found = cut(ordered.mapInArrow(narrow(_within(percent, reach)), PAIRS))
-    seams = found.where("part is not null").repartition(1).sortWithinPartitions("tree", "key", "rep").mapInArrow(narrow(_seams(percent, reach)), PAIRS)
-    every = found.where("part is null").select("a", "b", "score").unionAll(seams.select("a", "b", "score"))
+    width, size = 4 * TREE_HASHES, TREES * TREE_HASHES // 4
+    long = F.concat("signature", F.substring("signature", 1, 4 * (KEY_HASHES - TREE_HASHES)))
+    spread = reps.select("rep", "n", F.concat("sketch", "sketch").alias("bits"), long.alias("s"), F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"))
+    # The sketch begins with the first whole byte of hashes that the key doesn't have.
+    turn = f"pmod(cast(ceil((tree * {TREE_HASHES} + {KEY_HASHES}) / 4) as int), {size})"
+    rows = spread.select("tree", F.expr(f"substring(s, tree * {width} + 1, {4 * KEY_HASHES})").alias("key"), F.expr(f"substring(bits, {turn} + 1, {size})").alias("sketch"), "rep", "n", F.lit(0).alias("part"))
+    every = neighbours(rows, percent, reach, shuffle_partitions(reps.sparkSession))
     return every.groupBy("a", "b").agg(F.max("score").alias("score"))
 
 
@@ -299,11 +318,12 @@ def groups(docs: DataFrame, shingle: int = 5, percent: int = 80, reach: int = NE
                 break
         if links is before:
             break
-    # Pairs that share a prefix and were not candidates, as a window was full or others more alike.
-    missed = cut(beyond(reps, of, percent, min(BEST_OF_TREE, reach) + 1).join(pairs, ["a", "b"], "left_anti"))
-    if not missed.isEmpty():
-        others = missed.select(F.col("a").alias("doc_id")).unionAll(missed.select(F.col("b").alias("doc_id"))).distinct().join(ends, "doc_id", "left_anti")
+    # Rows of regions in which a window was full, or others were more alike, and that are apart.
+    dense = cut(crowded(reps, of, min(BEST_OF_TREE, reach) + 1))
+    if not dense.isEmpty():
+        others = dense.select(F.col("rep").alias("doc_id")).join(ends, "doc_id", "left_anti")
         sets = sets.unionAll(cut(_sets(text_only(docs).join(others, "doc_id", "left_semi"), shingle)))
+        missed = cut(exact_pairs(sets.join(dense, F.col("id") == F.col("rep")), percent).join(done, ["a", "b"], "left_anti"))
         _, of = _linked(missed, sets, percent, links, of)
     return signed, of
 
@@ -316,35 +336,81 @@ def _to_hubs(apart: DataFrame, links: DataFrame, of: DataFrame) -> DataFrame:
     return leads.join(hubs, "component").where("a <> hub").select(F.least("a", "hub").alias("a"), F.greatest("a", "hub").alias("b")).distinct()
 
 
-def beyond(reps: DataFrame, of: DataFrame, percent: int, full: int) -> DataFrame:
-    """(a, b) with a < b: all pairs of different components that share a prefix of LEAST_DEPTH
-    hashes with more than ``full`` rows, and can reach the threshold by size and sketch.
-
-    Every such pair has an end outside of the prefix's largest component.  Those ends go to all
-    salts of the prefix and the other rows to one, so a hot prefix is no single task's.
-    """
+def crowded(reps: DataFrame, of: DataFrame, full: int) -> DataFrame:
+    """(rep, component) of rows that share a prefix of LEAST_DEPTH hashes with more than ``full``
+    rows of more than one component."""
     width = 4 * TREE_HASHES
-    # Three longs of a sketch, as SQL has no bit operations on binaries.
-    bits = [F.conv(F.hex(F.substring("sketch", k, 8)), 16, -10).cast("long").alias(f"s{k}") for k in (1, 9, 17)]
     prefixes = F.expr(f"transform(sequence(0, {TREES - 1}), t -> xxhash64(t, substring(signature, t * {width} + 1, {4 * LEAST_DEPTH})))")
-    rows = cut(reps.select("rep", "n", *bits, prefixes.alias("prefixes")))
-    counts = rows.select(F.explode("prefixes").alias("prefix")).groupBy("prefix").count()
-    dense = cut(counts.where(f"count > {int(full)}").select("prefix"))
-    dense = F.broadcast(dense) if small(dense) else dense
     known = of.select(F.col("id").alias("rep"), "component")
-    inside = rows.select("rep", "n", "s1", "s9", "s17", F.explode("prefixes").alias("prefix")).join(dense, "prefix", "left_semi")
-    members = cut(inside.join(known, "rep", "left").withColumn("component", F.coalesce("component", "rep")))
-    shares = members.groupBy("prefix", "component").count()
-    largest = cut(shares.groupBy("prefix").agg(F.max(F.struct("count", "component"))["component"].alias("most"), F.count("*").alias("c")).where("c > 1").select("prefix", "most"))
-    most = F.broadcast(largest) if small(largest) else largest
-    mixed = cut(members.join(most, "prefix"))
-    minor = mixed.where("component <> most").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    x, y = (side.select("prefix", "salt", *[F.col(c).alias(f"{c}_{k}") for c in ("rep", "n", "component", "most", "s1", "s9", "s17")]) for k, side in (("x", minor), ("y", mixed.withColumn("salt", F.pmod(F.xxhash64("rep"), F.lit(SALTS)).cast("int")))))
-    differing = lambda k: f"bit_count(((s{k}_x ^ s{k}_y) | shiftrightunsigned(s{k}_x ^ s{k}_y, 1)) & 6148914691236517205L)"
-    ok = f"component_x <> component_y and 100 * least(n_x, n_y) >= {int(percent)} * greatest(n_x, n_y) and {' + '.join(map(differing, (1, 9, 17)))} <= {TREES * TREE_HASHES - least_alike(percent)}"
-    # A pair of two such ends comes from both of them.
-    once = "(component_y = most_y or rep_x < rep_y)"
-    return x.join(y, ["prefix", "salt"]).where(f"{ok} and {once}").select(F.least("rep_x", "rep_y").alias("a"), F.greatest("rep_x", "rep_y").alias("b")).distinct()
+    rows = cut(reps.select("rep", prefixes.alias("prefixes")).join(known, "rep", "left").withColumn("component", F.coalesce("component", "rep")))
+    inside = rows.select("rep", "component", F.explode("prefixes").alias("prefix"))
+    mixed = inside.groupBy("prefix").agg(F.count("*").alias("c"), F.min("component").alias("x"), F.max("component").alias("y")).where(f"c > {int(full)} and x < y").select("prefix")
+    return inside.join(dealt_anew(mixed), "prefix", "left_semi").select("rep", "component").distinct()
+
+
+def _shingle_counts(sets: DataFrame) -> np.ndarray:
+    """How often shingles of each counter occur; COUNTERS numbers come to the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(COUNTERS, np.int64)
+        for batch in batches:
+            total += np.bincount(batch.column(0).flatten().to_numpy().view(U64) % U64(COUNTERS), minlength=COUNTERS)
+        some = np.flatnonzero(total)
+        yield pa.record_batch([pa.array(some, pa.int64()), pa.array(total[some])], ["counter", "n"])
+
+    counted = sets.select("s").mapInArrow(narrow(run), "counter long, n long").groupBy("counter").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(COUNTERS, np.int64)
+    out[counted.column("counter").to_numpy()] = counted.column("n").to_numpy()
+    return out
+
+
+def _prefixes(sets: DataFrame, percent: int) -> DataFrame:
+    """(shingle, rep, component, n, place, short) of the first shingles of each set, rare ones first.
+
+    A set needs n - ceil(t n) + 1 of them to meet a smaller one, and the short prefix of
+    n - ceil(2 t / (1 + t) n) + 1 to be met by one of its size or larger.
+    """
+    shared = sets.sparkSession.sparkContext.broadcast(_shingle_counts(sets))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        many = shared.value
+        for batch in batches:
+            ids, component = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            lists = batch.column(2)
+            h = lists.flatten().to_numpy().view(U64)
+            n = lists.value_lengths().to_numpy().astype(np.int64)
+            own = np.repeat(np.arange(len(n)), n)
+            h = h[np.lexsort((h, many[h % U64(COUNTERS)], own))]
+            place = words.ranges(n)
+            long, short = (n - -(-a * n // b) + 1 for a, b in ((percent, 100), (2 * percent, 100 + percent)))
+            at = np.flatnonzero(place < long[own])
+            own, place = own[at], place[at]
+            yield pa.record_batch([pa.array(h[at].view(np.int64)), pa.array(ids[own]), pa.array(component[own]), pa.array(n[own]), pa.array(place), pa.array(place < short[own])], ["shingle", "rep", "component", "n", "place", "short"])
+
+    return sets.select("rep", "component", "s").mapInArrow(narrow(run), "shingle long, rep long, component long, n long, place long, short boolean")
+
+
+def exact_pairs(sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b) with a < b: all pairs of sets of different components that can reach the threshold.
+
+    sets: rep, component, s (the whole set).  Such a pair has an end outside of the largest
+    component that holds their shingle.  Those ends go to all salts of the shingle, of which a
+    frequent one has more, and the other rows to one; so a hot shingle is no single task's.
+    """
+    rows = cut(_prefixes(sets, percent))
+    shares = rows.groupBy("shingle", "component").agg(F.count("*").alias("c"))
+    held = shares.groupBy("shingle").agg(F.max(F.struct("c", "component"))["component"].alias("most"), F.count("*").alias("parts"), F.sum("c").alias("c")).where("parts > 1")
+    held = held.select("shingle", "most", F.least(F.lit(SALTS), F.ceil(F.col("c") / SALT_ROWS)).cast("int").alias("salts"))
+    mixed = cut(rows.join(dealt_anew(held), "shingle"))
+    named = lambda side, k: side.select("shingle", "salt", *[F.col(c).alias(f"{c}_{k}") for c in ("rep", "component", "n", "place", "short")])
+    x = named(mixed.where("component <> most").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))), "x")
+    y = named(mixed.withColumn("salt", F.pmod(F.xxhash64("rep"), F.col("salts")).cast("int")), "y")
+    # Of two sets the smaller one, by size and then by id, is met in its short prefix.
+    met = "if(struct(n_x, rep_x) < struct(n_y, rep_y), short_x, short_y)"
+    similar = f"100 * least(n_x, n_y) >= {int(percent)} * greatest(n_x, n_y)"
+    enough = f"{100 + int(percent)} * least(n_x - place_x, n_y - place_y) >= {int(percent)} * (n_x + n_y)"
+    both = x.join(y, ["shingle", "salt"]).where(f"component_x <> component_y and {met} and {similar} and {enough}")
+    return both.select(F.least("rep_x", "rep_y").alias("a"), F.greatest("rep_x", "rep_y").alias("b")).distinct()
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int, links: DataFrame | None, of: DataFrame | None) -> tuple[DataFrame, DataFrame]:
