@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from . import words
 from .components import components
-from .runtime import cut, dealt_anew, narrow, shuffle_partitions, small, text_only
+from .runtime import cut, dealt_anew, narrow, sent, shuffle_partitions, text_only
 
 U64 = np.uint64
 TREES = 16
@@ -276,8 +276,15 @@ def _sets(docs: DataFrame, size: int) -> DataFrame:
     return docs.mapInArrow(narrow(run), "id long, s array<long>")
 
 
+def _ends(pairs: DataFrame, name: str) -> DataFrame:
+    return pairs.select(F.col("a").alias(name)).unionAll(pairs.select(F.col("b").alias(name))).distinct()
+
+
 def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs whose full sets overlap enough: 100 * intersection >= percent * union."""
+    # Of few pairs only their own sets are dealt out.
+    ends = cut(_ends(pairs, "id"))
+    sets = sets.join(sent(ends), "id", "left_semi")
     a = sets.select(F.col("id").alias("a"), F.col("s").alias("sa"))
     b = sets.select(F.col("id").alias("b"), F.col("s").alias("sb"))
     both = pairs.select("a", "b").join(a, "a").join(b, "b")
@@ -292,9 +299,10 @@ def groups(docs: DataFrame, shingle: int = 5, percent: int = 80, reach: int = NE
     """
     signed = cut(signatures(docs, shingle))
     reps = signed.where("signature is not null and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("signature").alias("signature"), F.first("sketch").alias("sketch"))
+    reps = cut(reps.drop("set_key"))
     pairs = cut(candidates(reps, percent, reach))
-    ends = pairs.select(F.col("a").alias("doc_id")).unionAll(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    sets = cut(_sets(text_only(docs).join(ends, "doc_id", "left_semi"), shingle))
+    ends = cut(_ends(pairs, "doc_id"))
+    sets = cut(_sets(text_only(docs).join(sent(ends), "doc_id", "left_semi"), shingle))
     apart, links, of, done = pairs, None, None, None
     for best in BEST:
         # The best few candidates of each document whose ends are still apart.
@@ -321,9 +329,9 @@ def groups(docs: DataFrame, shingle: int = 5, percent: int = 80, reach: int = NE
     # Rows of regions in which a window was full, or others were more alike, and that are apart.
     dense = cut(crowded(reps, of, min(BEST_OF_TREE, reach) + 1))
     if not dense.isEmpty():
-        others = dense.select(F.col("rep").alias("doc_id")).join(ends, "doc_id", "left_anti")
-        sets = sets.unionAll(cut(_sets(text_only(docs).join(others, "doc_id", "left_semi"), shingle)))
-        missed = cut(exact_pairs(sets.join(dense, F.col("id") == F.col("rep")), percent).join(done, ["a", "b"], "left_anti"))
+        others = cut(dense.select(F.col("rep").alias("doc_id")).join(ends, "doc_id", "left_anti"))
+        sets = sets.unionAll(cut(_sets(text_only(docs).join(sent(others), "doc_id", "left_semi"), shingle)))
+        missed = cut(exact_pairs(sets.join(sent(dense), F.col("id") == F.col("rep")), percent).join(done, ["a", "b"], "left_anti"))
         _, of = _linked(missed, sets, percent, links, of)
     return signed, of
 
@@ -342,10 +350,10 @@ def crowded(reps: DataFrame, of: DataFrame, full: int) -> DataFrame:
     width = 4 * TREE_HASHES
     prefixes = F.expr(f"transform(sequence(0, {TREES - 1}), t -> xxhash64(t, substring(signature, t * {width} + 1, {4 * LEAST_DEPTH})))")
     known = of.select(F.col("id").alias("rep"), "component")
-    rows = cut(reps.select("rep", prefixes.alias("prefixes")).join(known, "rep", "left").withColumn("component", F.coalesce("component", "rep")))
-    inside = rows.select("rep", "component", F.explode("prefixes").alias("prefix"))
+    rows = reps.select("rep", prefixes.alias("prefixes")).join(sent(known), "rep", "left")
+    inside = rows.select("rep", F.coalesce("component", "rep").alias("component"), F.explode("prefixes").alias("prefix"))
     mixed = inside.groupBy("prefix").agg(F.count("*").alias("c"), F.min("component").alias("x"), F.max("component").alias("y")).where(f"c > {int(full)} and x < y").select("prefix")
-    return inside.join(dealt_anew(mixed), "prefix", "left_semi").select("rep", "component").distinct()
+    return inside.join(sent(cut(mixed)), "prefix", "left_semi").select("rep", "component").distinct()
 
 
 def _shingle_counts(sets: DataFrame) -> np.ndarray:

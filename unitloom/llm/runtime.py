@@ -100,5 +100,13 @@ def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> bool:
     return df.limit(limit + 1).count() <= limit
 
 
+def sent(df: DataFrame) -> DataFrame:
+    """A (checkpointed) side of a join, marked to be broadcast if it was counted to be small.
+
+    Spark doesn't know the size of a checkpoint, and deals out both sides before it finds out.
+    """
+    return F.broadcast(df) if small(df) else df
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
