@@ -152,6 +152,22 @@ def test_decontaminate_is_the_same_over_blocks(spark):
             assert got == ([] if want is None else [want])
 
 
+def test_decontamination_of_many_blocks_on_odd_rows(spark, odd):
+    items = spark.createDataFrame([(1, "dup text here"), (2, "another text altogether"), (3, "no such words"), (4, None)], "item_id long, text string")
+    rows = [sorted(map(str, D.decontaminate(odd, items, limit=limit).collect())) for limit in (20, 60, 1 << 20)]
+    assert rows[0] == rows[1] == rows[2] and len(rows[0]) == 5
+    assert D.decontaminate(odd, items, limit=20).columns == odd.columns
+    assert D.decontaminate(odd, items.where("false"), limit=20).count() == 9
+
+
+def test_colliding_words_are_no_hits(spark):
+    one = "".join("ab"[bin(i).count("1") % 2] for i in range(1024))
+    other = one.translate(str.maketrans("ab", "ba"))
+    tail = " ".join(f"w{i}" for i in range(9))
+    items = spark.createDataFrame([(1, f"{one} {tail}")], "item_id long, text string")
+    assert [r.n_hit for r in D.contamination(table(spark, [f"{other} {tail}", f"{one} {tail}"]), items).orderBy("doc_id").collect()] == [0, 10]
+
+
 def test_quality_features_equal_brute_force(spark):
     texts = corpus(19) + ["a b c " * 40, "#x&y|z <>$%* " * 30, "l\nl\n l\nl\n\n\n"]
     got = {r.doc_id: tuple(r)[1:7] for r in quality.quality(table(spark, texts)).collect()}

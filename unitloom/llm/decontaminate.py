@@ -9,8 +9,9 @@ Most training words can't take part: a window needs every pair of its neighbouri
 pair of some item.  That test is one vectorised lookup, and only stretches that pass it go through
 the automaton word by word.
 
-The benchmark is cut into blocks of bounded size.  One block's automaton is broadcast at a time,
-so what executors hold doesn't grow with the benchmark; the documents are read once a block.
+The benchmark is cut into blocks of bounded size.  One block's automaton is built and broadcast at
+a time, and what it finds is written before the next one's turn, so neither the driver nor executors
+hold more than one, however large the benchmark is; the documents are read once a block.
 """
 
 from __future__ import annotations
@@ -18,14 +19,15 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from functools import reduce
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 from . import words
-from .runtime import narrow, text_only
+from .runtime import cut, narrow, text_only
 
 U64 = np.uint64
 WINDOW = 10
@@ -209,9 +211,8 @@ def blocks(items: DataFrame, limit: int = BLOCK_BYTES) -> Iterator[list[tuple[st
 FOUND = "doc_id long, text string, n_words long, hits array<struct<a:int,b:int>>, items array<string>"
 
 
-def _scanned(docs: DataFrame, automaton: Automaton, text: bool) -> DataFrame:
+def _scanned(docs: DataFrame, shared: Broadcast, text: bool) -> DataFrame:
     """doc_id, text (if asked for), n_words, the hit ranges of words, and item ids."""
-    shared = docs.sparkSession.sparkContext.broadcast(automaton)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
@@ -251,24 +252,35 @@ def _merged(ranges: pa.Array) -> list[list[tuple[int, int]]]:
     return out
 
 
-def scanned(docs: DataFrame, items: DataFrame, window: int = WINDOW, text: bool = False, limit: int = BLOCK_BYTES) -> DataFrame:
-    """doc_id, text, n_words, hits and items of every row over all blocks of items.
+def findings(plain: DataFrame, items: DataFrame, window: int, limit: int) -> tuple[Automaton | None, DataFrame | None]:
+    """The automaton of all items if they are one block, as usual; else what all blocks find.
 
-    With one block, as usual, this is a narrow pass.  With more, each row's findings are brought
-    together by a row key of its document id, text hash and number among equals.
+    The second is (doc_id, h, hits, items), one row for each doc_id and hash of a text that any
+    block hits; equal rows of a table have equal findings.
     """
+    todo = blocks(items, limit)
+    first, second = next(todo, []), next(todo, None)
+    if second is None:
+        return Automaton(first, window), None
+    found = []
+    for block in chain([first, second], todo):
+        shared = plain.sparkSession.sparkContext.broadcast(Automaton(block, window))
+        rows = _scanned(plain, shared, True).where("size(items) > 0")
+        found.append(cut(rows.select("doc_id", F.xxhash64("text").alias("h"), "hits", "items")))
+        shared.destroy()
+    every = reduce(DataFrame.unionAll, found)
+    return None, every.groupBy("doc_id", "h").agg(F.array_distinct(F.flatten(F.collect_set("hits"))).alias("hits"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"))
+
+
+def scanned(docs: DataFrame, items: DataFrame, window: int = WINDOW, limit: int = BLOCK_BYTES) -> DataFrame:
+    """doc_id, n_words, hits and items of every row over all blocks of items; narrow if it is one."""
     plain = text_only(docs)
-    parts = [Automaton(block, window) for block in blocks(items, limit)] or [Automaton([], window)]
-    if len(parts) == 1:
-        return _scanned(plain, parts[0], text)
-    keyed = lambda df: df.withColumn("h", F.xxhash64("text"))
-    found = [keyed(_scanned(plain, part, True)) for part in parts]
-    every = reduce(DataFrame.unionAll, [f.where("size(items) > 0").select("doc_id", "h", "hits", "items") for f in found])
-    # Equal rows have equal findings, so findings of one key are the same however often it occurs.
-    joined = every.groupBy("doc_id", "h").agg(F.array_distinct(F.flatten(F.collect_set("hits"))).alias("hits"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"))
-    base = keyed(plain.mapInArrow(narrow(_counted), "doc_id long, text string, n_words long"))
-    both = base.join(joined, base["doc_id"].eqNullSafe(joined["doc_id"]) & base["h"].eqNullSafe(joined["h"]), "left")
-    return both.select(base["doc_id"], base["text"], "n_words", F.coalesce("hits", F.array()).alias("hits"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
+    automaton, found = findings(plain, items, window, limit)
+    if found is None:
+        return _scanned(plain, plain.sparkSession.sparkContext.broadcast(automaton), False).drop("text")
+    base = plain.mapInArrow(narrow(_counted), "doc_id long, text string, n_words long").select("doc_id", F.xxhash64("text").alias("h"), "n_words")
+    both = base.join(found, base["doc_id"].eqNullSafe(found["doc_id"]) & base["h"].eqNullSafe(found["h"]), "left")
+    return both.select(base["doc_id"], "n_words", F.coalesce("hits", F.array()).alias("hits"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -297,68 +309,57 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, limit
             digest = [hashlib.sha256(",".join(x).encode()).hexdigest() for x in items]
             yield pa.record_batch([batch.column("doc_id"), batch.column("n_words"), pa.array(n_hit, pa.int64()), pa.array([len(x) for x in items], pa.int64()), pa.array(digest, pa.string()), pa.array([x > 0 for x in n_hit], pa.bool_())], ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
 
-    found = scanned(docs, items, window, limit=limit).select("doc_id", "n_words", "hits", "items")
+    found = scanned(docs, items, window, limit).select("doc_id", "n_words", "hits", "items")
     return found.mapInArrow(narrow(run), "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
 
 
-HITS = "__ul_hits"
-HITS_TYPE = ArrayType(StructType([StructField("a", IntegerType()), StructField("b", IntegerType())]))
-
-
 def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, most_coverage: float = 0.5, limit: int = BLOCK_BYTES) -> DataFrame:
     """The rows of docs, all columns, without the spans of text that benchmark windows cover.
 
     A span reaches from the start of its first hit word to the end of its last.  Rows of which
     more than ``most_coverage`` of the words are hit go altogether; rows without a hit are
-    returned as they are, null texts included.  All blocks of items are held against the text as
-    it came in, and only the last pass judges and cuts.
+    returned as they are.  All items are held against the text as it came in, and coverage is
+    judged and the text cut once, so the result is the same however items are cut into blocks.
+
+    Null and empty texts have no words and stay.  Rows with a null doc_id and rows that repeat one
+    are each judged by their own text.  Items with a null id or text, or without words, remove
+    nothing, nor does an empty benchmark.  Columns keep their names and order, and those of items
+    other than item_id and text are not read.
     """
-    blocks_ = [Automaton(block, window) for block in blocks(items, limit)]
-    at = docs.columns.index("text")
-    schema = docs.schema
-    names = docs.columns
-    kind = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
-    for k, automaton in enumerate(blocks_):
-        shared = docs.sparkSession.sparkContext.broadcast(automaton)
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared, first=k == 0, last=k == len(blocks_) - 1) -> Iterator[pa.RecordBatch]:
-            own = shared.value
-            for batch in batches:
-                for i, j in words.slices(batch.column(at)):
-                    part = batch.slice(i, j - i)
-                    found = words.scan(part.column(at), words.ALNUM_WORDS, True)
-                    hit, _ = own.hits(found)
-                    if not first:
-                        for d, row in enumerate(part.column(len(names)).to_pylist()):
-                            for x in row:
-                                hit[found.doc[d] + x["a"] : found.doc[d] + x["b"]] = True
-                        part = part.select(names)
-                    if not last:
-                        yield pa.record_batch([*part.columns, pa.array(_ranges(hit, found), kind)], [*names, HITS])
-                        continue
-                    if not hit.any():
-                        yield part
-                        continue
-                    texts, stay = part.column(at).to_pylist(), np.ones(len(part), bool)
-                    for d in range(found.n_docs):
-                        own_hit = hit[found.doc[d] : found.doc[d + 1]]
-                        if own_hit.any():
-                            stay[d] = own_hit.mean() <= most_coverage
-                            texts[d] = _without(texts[d], own_hit, found, d)
-                    columns = [pa.array(texts, part.schema.field(at).type) if c == at else x for c, x in enumerate(part.columns)]
-                    yield pa.record_batch(columns, part.schema.names).filter(pa.array(stay))
-
-        docs = docs.mapInArrow(narrow(run), schema if k == len(blocks_) - 1 else StructType([*schema.fields, StructField(HITS, HITS_TYPE)]))
-    return docs
-
-
-def _ranges(hit: np.ndarray, found: words.Words) -> list[list[dict]]:
-    """Ranges (a, b) of hit words of each text, by places in the text."""
-    out = []
-    for d in range(found.n_docs):
-        edge = np.flatnonzero(np.diff(np.concatenate([[False], hit[found.doc[d] : found.doc[d + 1]], [False]])))
-        out.append([{"a": a, "b": b} for a, b in zip(edge[0::2].tolist(), edge[1::2].tolist(), strict=True)])
-    return out
+    automaton, found = findings(text_only(docs), items, window, limit)
+    names, at = docs.columns, docs.columns.index("text")
+    shared = docs.sparkSession.sparkContext.broadcast(automaton) if found is None else None
+    rows = docs
+    if found is not None:
+        both = docs.join(found.select(F.col("doc_id").alias("__ul_id"), F.col("h").alias("__ul_h"), F.col("hits").alias("__ul_hits")), docs["doc_id"].cast("long").eqNullSafe(F.col("__ul_id")) & F.xxhash64(docs["text"].cast("string")).eqNullSafe(F.col("__ul_h")), "left")
+        rows = both.select(*names, "__ul_hits")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, j in words.slices(batch.column(at)):
+                part = batch.slice(i, j - i)
+                words_ = words.scan(part.column(at), words.ALNUM_WORDS, True)
+                if shared is not None:
+                    hit, _ = shared.value.hits(words_)
+                else:
+                    hit = np.zeros(len(words_.hash), bool)
+                    for d, ranges in enumerate(_merged(part.column(len(names)))):
+                        for a, b in ranges:
+                            hit[words_.doc[d] + a : words_.doc[d] + b] = True
+                    part = part.select(names)
+                if not hit.any():
+                    yield part
+                    continue
+                texts, stay = part.column(at).to_pylist(), np.ones(len(part), bool)
+                for d in range(words_.n_docs):
+                    own = hit[words_.doc[d] : words_.doc[d + 1]]
+                    if own.any():
+                        stay[d] = own.mean() <= most_coverage
+                        texts[d] = _without(texts[d], own, words_, d)
+                columns = [pa.array(texts, part.schema.field(at).type) if c == at else x for c, x in enumerate(part.columns)]
+                yield pa.record_batch(columns, part.schema.names).filter(pa.array(stay))
+
+    return rows.mapInArrow(narrow(run), docs.schema)
 
 
 def _without(text: str, hit: np.ndarray, found: words.Words, d: int) -> str:
