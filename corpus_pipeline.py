@@ -7,13 +7,12 @@ changes a text, n_chars follows.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from unitloom.llm import decontaminate, linededup, neardup, packing, quality
-from unitloom.session import spread
+from unitloom.session import scratch, spread
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -26,31 +25,49 @@ def _with_text(docs: DataFrame, text: str) -> DataFrame:
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the adaptive quality rules reject go."""
-    return quality.keep_good(docs).select(*COLUMNS)
+    """Documents that the adaptive quality rules reject go; each row is judged by its own text.
+
+    Null and empty texts have no words and go.  Rows with a null doc_id stay.
+    """
+    return quality.keep_good(docs.select(*COLUMNS))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Long lines that many documents share stay in one of them; a null text stays null."""
-    out = linededup.line_dedup(docs).withColumn("kept_text", F.when(F.col("text").isNotNull(), F.col("kept_text")))
+    """Long lines that many documents share stay in the one with the largest doc_id.
+
+    No row goes.  A null text stays null, and rows with a null doc_id neither count nor lose lines.
+    Rows that repeat a doc_id are one document.
+    """
+    out = linededup.line_dedup(docs.select(*COLUMNS)).withColumn("kept_text", F.when(F.col("text").isNotNull(), F.col("kept_text")))
     return _with_text(out, "kept_text")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays: five-word shingles, similarity 0.8."""
-    return neardup.keep_one(docs, shingle=5, percent=80).select(*COLUMNS)
+    """The smallest doc_id of each near-duplicate group stays: five-word shingles, similarity 0.8.
+
+    Rows with a null doc_id, and texts without words, are like nothing and stay.  Of rows that
+    repeat a doc_id all stay if one does.
+    """
+    return neardup.keep_one(docs.select(*COLUMNS), shingle=5, percent=80)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Benchmark passages are cut out of texts; texts that mostly consist of them go."""
+    """Benchmark passages are cut out of texts; texts that mostly consist of them go.
+
+    Each row is judged by its own text; null and empty texts stay.  An empty benchmark changes
+    nothing.
+    """
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     out = decontaminate.decontaminate(docs.select(*COLUMNS), items)
     return out.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars")))
 
 
 def curve_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents that are left, in sequences of 2048 ids, with their ids."""
-    return packing.pack_along_curve(docs)
+    """Pieces of the documents that are left, in sequences of 2048 ids, with their ids.
+
+    A null or empty text is its end token alone.  Every row is a document of its own.
+    """
+    return packing.pack_along_curve(docs.select(*COLUMNS))
 
 
 STAGES = [
@@ -61,33 +78,42 @@ STAGES = [
     ("curve_packing", curve_packing),
 ]
 
-#: The quality sketches, the LSH forest and the tokenizer are out of SQL's reach; the tests hold
-#: each stage against a brute-force version instead.
+#: The quality sketches, the LSH forest and the tokenizer are out of SQL's reach; tests/llm holds
+#: each stage against a brute-force version on its own input instead.
 ORACLE_SQL = None
 
 
-def _shared_folder(spark: SparkSession) -> str:
-    """A new folder below the one that the cluster shares; a temporary one only if none is set."""
-    context = spark.sparkContext
-    base = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir() or tempfile.mkdtemp(prefix="unitloom-")
-    return f"{base.rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+def _folder(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
 def _delete(spark: SparkSession, path: str) -> None:
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    at, files = _folder(spark, path)
+    files.delete(at, True)
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents table; what only earlier stages need is deleted."""
-    folder = _shared_folder(spark)
+    """All stages over the documents table.
+
+    What only earlier stages need is deleted as soon as the next one is written, and all of it if
+    a stage fails; the last table is what the result is read from and goes when the session ends.
+    """
+    folder = f"{scratch(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     written = None
-    for name, stage in STAGES[:-1]:
-        out = f"{folder}/{name}"
-        stage(spark, docs, sf_dir).write.parquet(out)
-        docs = spread(spark.read.parquet(out))
-        if written:
-            _delete(spark, written)
-        written = out
-    return STAGES[-1][1](spark, docs, sf_dir)
+    try:
+        for name, stage in STAGES[:-1]:
+            out = f"{folder}/{name}"
+            stage(spark, docs, sf_dir).write.parquet(out)
+            docs = spread(spark.read.parquet(out))
+            if written:
+                _delete(spark, written)
+            written = out
+        result = STAGES[-1][1](spark, docs, sf_dir)
+    except BaseException:
+        _delete(spark, folder)
+        raise
+    at, files = _folder(spark, folder)
+    files.deleteOnExit(at)
+    return result

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import io
 import os
 import tempfile
@@ -42,10 +43,28 @@ def ship(spark: SparkSession) -> SparkSession:
     with os.fdopen(handle, "wb") as f:
         f.write(data.getvalue())
     context.addPyFile(name)
+    atexit.register(lambda: Path(name).unlink(missing_ok=True))
     _shipped.add(context.applicationId)
     return spark
 
 
+def scratch(spark: SparkSession) -> str:
+    """The folder for what is written in between: the one that the cluster shares.
+
+    It is the session's ``spark.checkpoint.dir``, or the checkpoint folder that was set by hand.
+    Only a local master, as in tests, gets a temporary folder; elsewhere other machines could not
+    read it.
+    """
+    context = spark.sparkContext
+    base = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    if base is None:
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
+        base = tempfile.mkdtemp(prefix="unitloom-")
+        context.setCheckpointDir(base)
+    return base.rstrip("/")
+
+
 def spread(df: DataFrame) -> DataFrame:
     """A scan of fewer partitions than there are cores, as a small file of one row group gives,
     dealt out to all of them; any other scan is left as it is."""

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -10,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.cleaner import clean
+from ..session import scratch
 from ..sources.service import extract
 
 
@@ -41,9 +41,8 @@ def start(sources: DataFrame, sink: Callable[[str, DataFrame, int], None], check
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder where all executors can read and write; a temporary one only if none is set."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="unitloom-")
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    """A new folder where all executors can read and write."""
+    return f"{scratch(spark)}/stream-{uuid.uuid4().hex}"
 
 
 def stream_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
