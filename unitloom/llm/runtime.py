@@ -5,14 +5,13 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
-import tempfile
 import time
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..session import spread
+from ..session import scratch, spread
 
 #: A side is broadcast only if it was counted to be at most this many rows of a few dozen bytes.
 BROADCAST_ROWS = 50_000
@@ -21,13 +20,12 @@ BROADCAST_ROWS = 50_000
 def cut(df: DataFrame) -> DataFrame:
     """Checkpoints a DataFrame in the folder that the cluster shares.
 
-    The folder is the session's ``spark.checkpoint.dir``.  Only where that is unset, as in local
-    tests, a temporary folder is made.  Unlike a local checkpoint this survives lost executors.
+    The folder is the session's ``spark.checkpoint.dir``.  Unlike a local checkpoint this survives
+    lost executors.
     """
     spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="unitloom-"))
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(scratch(spark))
     out = df.checkpoint(eager=True)
     _release(spark)
     return out
