@@ -54,7 +54,7 @@ def test_content_length(spark, values, want):
     assert tuple(spark.range(1).select(content_length(h).alias("x")).first().x) == want
 
 
-@pytest.mark.parametrize(("value", "want"), [("text/html", ("text/html", None, None)), ('Text/HTML; charset="UTF-8"', ("text/html", "utf-8", None)), ("image/png", ("image/png", None, "unsupported_content_type"))])
+@pytest.mark.parametrize(("value", "want"), [("text/html", ("text/html", None, None)), ('Text/HTML; charset="UTF-8"', ("text/html", "UTF-8", None)), ("image/png", ("image/png", None, "unsupported_content_type"))])
 def test_content_type(spark, value, want):
     assert tuple(spark.range(1).select(content_type(headers(("content-type", value))).alias("x")).first().x) == want
 
@@ -65,3 +65,9 @@ def test_replay_refuses_private_targets(spark):
     dns = spark.createDataFrame([("a.example", ["8.8.8.8"]), ("b.example", ["8.8.8.8"]), ("inner.example", ["8.8.8.8", "10.1.1.1"])], "hostname string, addresses array<string>")
     got = {r.request_id: (r.error_code, r.retryable, r.redirect_count) for r in replay(requests, table, dns).collect()}
     assert got == {1: ("blocked_destination", False, 1), 2: ("blocked_destination", False, 0), 3: ("dns_resolution_failed", True, 0), 4: (None, False, 0)}
+
+
+def test_a_provider_embeds_a_column(spark):
+    rows = spark.createDataFrame([("abc",), ("",)], "content string")
+    out = retrieval.embed(rows, lambda c: F.array(F.length(c).cast("float")))
+    assert sorted(r.embedding for r in out.collect()) == [[0.0], [3.0]]

@@ -10,8 +10,6 @@ import pyarrow as pa
 from pyspark.sql import Column, functions as F, types as T
 from pyspark.sql.functions import arrow_udf
 
-from .pytext import PYWS
-
 NORMALIZED = T.StructType([T.StructField(n, T.StringType()) for n in ("request_url", "diagnostic_url", "scheme", "hostname")] + [T.StructField("port", T.IntegerType()), T.StructField("is_ip_literal", T.BooleanType()), T.StructField("error_code", T.StringType())])
 _ARROW = pa.struct([("request_url", pa.string()), ("diagnostic_url", pa.string()), ("scheme", pa.string()), ("hostname", pa.string()), ("port", pa.int32()), ("is_ip_literal", pa.bool_()), ("error_code", pa.string())])
 
@@ -23,14 +21,32 @@ METADATA_SERVICE = ipaddress.ip_address("169.254.169.254")
 _BAD = re.compile(r"[\s\x00-\x1f\x7f]")
 
 
+INVALID = "<invalid-url>"
+
+
+def _host(host: str) -> str:
+    """The host in lower case, without a last dot, in its ASCII form; '' if it has none."""
+    host = host.lower().removesuffix(".")
+    try:
+        return str(ipaddress.ip_address(host)) if is_literal(host) else host.encode("idna").decode("ascii").lower()
+    except UnicodeError:
+        return ""
+
+
 def diagnostic(url: str) -> str:
-    """The URL without query, fragment and user."""
+    """The URL with its host normalized and its port, without query, fragment and user."""
     try:
         parts = urlsplit(url)
         host = parts.hostname or ""
-        return urlunsplit((parts.scheme, f"[{host}]" if ":" in host else host, parts.path, "", ""))
     except ValueError:
-        return ""
+        return INVALID
+    host = _host(host) or host.lower().rstrip(".")
+    try:
+        port = parts.port
+    except ValueError:
+        port = None
+    netloc = (f"[{host}]" if ":" in host else host) + ("" if port is None else f":{port}")
+    return urlunsplit((parts.scheme.lower(), netloc, parts.path, "", ""))
 
 
 def normalize_one(url: str | None, base: str | None = None) -> dict:
@@ -38,12 +54,12 @@ def normalize_one(url: str | None, base: str | None = None) -> dict:
     if url is None or not url.strip():
         return {"error_code": "invalid_url"}
     if _BAD.search(url):
-        return {"error_code": "invalid_url", "diagnostic_url": ""}
+        return {"error_code": "invalid_url", "diagnostic_url": INVALID}
     try:
         parts = urlsplit(urljoin(base, url) if base else url)
         host = parts.hostname
     except ValueError:
-        return {"error_code": "invalid_url", "diagnostic_url": ""}
+        return {"error_code": "invalid_url", "diagnostic_url": INVALID}
     shown = {"diagnostic_url": diagnostic(urlunsplit(parts))}
     scheme = parts.scheme.lower()
     if not scheme:
@@ -54,12 +70,8 @@ def normalize_one(url: str | None, base: str | None = None) -> dict:
         return shown | {"error_code": "invalid_url"}
     if parts.username is not None or parts.password is not None:
         return shown | {"error_code": "userinfo_not_allowed"}
-    host = host.lower().removesuffix(".")
+    host = _host(host)
     literal = is_literal(host)
-    try:
-        host = str(ipaddress.ip_address(host)) if literal else host.encode("idna").decode("ascii").lower()
-    except UnicodeError:
-        host = ""
     if not host:
         return shown | {"error_code": "invalid_url"}
     if host == "localhost" or host.endswith(".localhost"):
@@ -91,8 +103,8 @@ def is_public(address: str | None) -> bool:
         return False
     if isinstance(ip, ipaddress.IPv6Address) and ip.ipv4_mapped is not None:
         ip = ip.ipv4_mapped
-    refused = ip.is_loopback or ip.is_private or ip.is_link_local or ip.is_multicast or ip.is_reserved or ip.is_unspecified
-    return not (refused or ip == METADATA_SERVICE or (ip.version == 4 and ip in SHARED) or not ip.is_global)
+    # Some multicast and reserved addresses count as global; the other classes never do.
+    return ip.is_global and not (ip.is_multicast or ip.is_reserved or ip == METADATA_SERVICE or (ip.version == 4 and ip in SHARED))
 
 
 @arrow_udf(NORMALIZED)
@@ -127,11 +139,3 @@ def file_name(url: Column) -> Column:
     """Last part of a URL's path, decoded; null if the path ends in a slash."""
     name = F.element_at(F.split(F.try_parse_url(url, F.lit("PATH")), "/"), -1)
     return F.when(F.length(name) > 0, F.try_url_decode(name))
-
-
-def distinct_addresses(addresses: Column) -> Column:
-    return F.array_sort(F.array_distinct(addresses))
-
-
-def has_white_space(c: Column) -> Column:
-    return c.rlike(rf"[{PYWS}\x00-\x1F\x7F]")

@@ -11,7 +11,6 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import pytext as P
-from ..schemas import HTML_LIMITS
 
 
 @dataclass
@@ -39,25 +38,39 @@ def heading_path(level: Column, text: Column, order: Column, levels: int, window
     return F.array_compact(F.array(*open_))
 
 
-def judged(blocks: DataFrame, limits: dict[str, int], levels: int) -> DataFrame:
-    """Blocks with what their document's windows say: indexes, paths, totals and failure code."""
+class OpenHeadings:
+    """The same for a parser that sees a document's blocks one after the other, at any level."""
+
+    def __init__(self) -> None:
+        self.open: dict[int, str] = {}
+
+    def path(self, level: int | None, text: str | None) -> list[str]:
+        """Texts of the headings open at a block; level and text of a heading that isn't blank."""
+        if level is not None and text is not None and text.strip():
+            self.open = {k: t for k, t in self.open.items() if k < level} | {level: text}
+        return list(self.open.values())
+
+
+def judged(blocks: DataFrame, limits: dict[str, int]) -> DataFrame:
+    """Blocks with what their document's windows say: indexes, totals and failure code.
+
+    A limit that isn't given is none.
+    """
     whole = Window.partitionBy("document_id")
     ordered = whole.orderBy(F.col("block_index").asc_nulls_first())
     running = ordered.rowsBetween(Window.unboundedPreceding, 0)
     real = F.col("block_type").isNotNull()
     stays = real & ~F.coalesce(F.col("blank"), F.lit(True))
-    level = F.when(stays, F.col("heading_level"))
     df = blocks.withColumn("stays", stays).withColumns(
         {
             "unit_index": F.when(stays, F.count_if(stays).over(running) - 1).cast("int"),
-            "__path": heading_path(level, F.col("content"), F.col("block_index"), levels, ordered),
             "observed_blocks": F.count_if(real).over(whole),
             "total_units": F.count_if(stays).over(whole),
             "characters": F.coalesce(F.sum(F.when(stays, F.length("content"))).over(whole), F.lit(0)),
             "told": F.max("failure").over(whole),
         }
     )
-    over = lambda n, limit: F.col(n) > limits[limit]
+    over = lambda n, limit: F.col(n) > limits[limit] if limit in limits else F.lit(False)
     code = (
         F.when(F.col("told").isNotNull(), F.col("told"))
         .when(over("observed_blocks", "max_candidate_blocks"), "extraction_parsing_failed:max_candidate_blocks")
@@ -81,30 +94,31 @@ def raw_units(every: DataFrame) -> DataFrame:
         "content",
         "page_start",
         "page_end",
-        F.try_element_at("__path", F.lit(-1)).alias("section"),
+        F.try_element_at("path", F.lit(-1)).alias("section"),
         # Items of a path are stripped, the section is not.
-        F.transform("__path", lambda x: P.strip(x, P.IDWS)).alias("heading_path"),
+        F.transform(F.coalesce("path", F.array().cast("array<string>")), lambda x: P.strip(x, P.IDWS)).alias("heading_path"),
         "content_type",
         "extra_metadata",
         P.character_count(text).alias("character_count"),
         P.word_count(text).alias("word_count"),
         P.content_hash(text).alias("content_hash"),
+        F.current_timestamp().alias("extracted_at"),
     )
 
 
-def assembled(blocks: DataFrame, limits: dict[str, int] | None = None, levels: int = 6) -> Extracted:
+def assembled(blocks: DataFrame, limits: dict[str, int] | None = None) -> Extracted:
     """Units, warnings, statistics and errors of parsed blocks, over one dealing by document.
 
     A document that failed to parse, is over a limit or has no content gives one row of errors
     and nothing else.
     """
-    every = judged(blocks, HTML_LIMITS | (limits or {}), levels)
+    every = judged(blocks, limits or {})
     parts = F.split("code", ":")
     failed = every.where("code is not null").groupBy("document_id").agg(F.first("source_id").alias("source_id"), F.first("code").alias("code"))
-    errors = failed.select("document_id", "source_id", F.get(parts, F.lit(0)).alias("error_code"), F.get(parts, F.lit(1)).alias("details"), failed_stage(F.get(parts, F.lit(0))).alias("failed_stage"), F.lit(False).alias("retryable"))
+    errors = failed.select("document_id", "source_id", F.get(parts, F.lit(0)).alias("error_code"), message(F.get(parts, F.lit(0))).alias("message"), F.get(parts, F.lit(1)).alias("details"), failed_stage(F.get(parts, F.lit(0))).alias("failed_stage"), F.lit(False).alias("retryable"))
     good = every.where("code is null")
     stage = F.when(F.col("warning_code") == "invalid_declared_charset", "parsing").otherwise("extracting")
-    warnings = good.where("warning_code is not null").select("document_id", stage.alias("stage"), "warning_code", "item_index", F.col("warning_detail").alias("details"))
+    warnings = good.where("warning_code is not null").select("document_id", stage.alias("stage"), "warning_code", message(F.col("warning_code")).alias("message"), "item_index", F.col("warning_detail").alias("details"))
     real = F.col("block_type").isNotNull()
     stats = good.groupBy("document_id").agg(
         F.max("total_units").alias("total_units"),
@@ -126,6 +140,23 @@ BLOCK_TYPES = ["document_title", "heading", "paragraph", "code_block", "list_ite
 OBSERVED = ["heading", "paragraph", "table", "unsupported"]
 
 
+#: What codes of errors and warnings say.
+MESSAGES = {
+    "extraction_source_type_mismatch": "The source is of another type than its extractor reads.",
+    "extraction_parsing_failed": "The source could not be parsed within its limits.",
+    "extraction_no_content": "The source has no text to extract.",
+    "extraction_service_input_error": "The source is not a valid input.",
+    "extractor_not_registered": "No extractor is registered for the source's type.",
+    "invalid_declared_charset": "The declared character set is not known.",
+    "unsupported_docx_element": "An element of the document's body was skipped.",
+    "malformed_pdf_block": "A malformed block of a page was skipped.",
+}
+
+
+def message(code: Column) -> Column:
+    return F.create_map(*[F.lit(x) for pair in MESSAGES.items() for x in pair])[code]
+
+
 def failed_stage(code: Column) -> Column:
     """Where a failure code belongs."""
     return F.when(code == "extraction_parsing_failed", "parsing").when(code.startswith("cleaning"), "cleaning").when(code.startswith("extract"), "extracting").otherwise("downloading")

@@ -38,18 +38,21 @@ def chunks(units: DataFrame, size: int = 200) -> DataFrame:
     leave out white space alone.
     """
     text = F.col("content")
-    # As many characters as fit and end before a space or the end; else a hard cut.
-    parts = F.regexp_extract_all(text, F.lit(rf"(?s)[^{P.PYWS}](?:.{{0,{size - 1}}}(?=[{P.PYWS}]|\z)|.{{{size - 1}}})"), F.lit(0))
-    own = units.select("clean_unit_id", "document_id", "source_id", "source_type", "content", F.posexplode(parts).alias("chunk_index", "part"))
-    before = Window.partitionBy("clean_unit_id").orderBy("chunk_index")
-    # The place of a chunk is found behind the end of the one before it.
-    spans = own.withColumn("taken", F.sum(F.length("part")).over(before.rowsBetween(Window.unboundedPreceding, -1)))
-    placed = spans.withColumn("start_char", F.expr("locate(part, content, int(coalesce(taken, 0)) + 1)") - 1)
+    # White space, and as many characters as fit and end before a space or the end; else a hard cut.
+    pattern = F.lit(rf"(?s)[{P.PYWS}]*([^{P.PYWS}](?:.{{0,{size - 1}}}(?=[{P.PYWS}]|\z)|.{{{size - 1}}}))")
+    own = units.select("clean_unit_id", "document_id", "source_id", "source_type", F.regexp_extract_all(text, pattern, F.lit(0)).alias("__all"), F.regexp_extract_all(text, pattern, F.lit(1)).alias("__parts"))
+    # Matches lie end to end, so places are sums of lengths within the row; nothing is dealt out.
+    ends = F.aggregate("__all", F.array().cast("array<int>"), lambda acc, x: F.array_append(acc, F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0)) + F.length(x)))
+    own = own.withColumn("__ends", ends)
+    both = F.arrays_zip("__ends", "__parts")
+    placed = own.select("clean_unit_id", "document_id", "source_id", "source_type", F.posexplode(both).alias("chunk_index", "c"))
+    placed = placed.select("*", F.col("c.__parts").alias("part"), (F.col("c.__ends") - F.length("c.__parts")).alias("start_char")).drop("c")
     trimmed = P.strip(F.col("part"))
     return placed.select(
         F.format_string("chunk:%s:%06d", F.col("clean_unit_id"), F.col("chunk_index")).alias("chunk_id"),
         "clean_unit_id", "document_id", "source_id", "source_type", "chunk_index", trimmed.alias("content"), P.content_hash(trimmed).alias("content_hash"),
         "start_char", (F.col("start_char") + F.length(trimmed)).alias("end_char"), P.word_count(trimmed).alias("token_count"), F.lit(CHUNKER).alias("chunker_name"), F.lit(VERSION).alias("chunker_version"),
+        F.current_timestamp().alias("created_at"),
     )
 
 

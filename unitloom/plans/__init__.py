@@ -1,3 +1,3 @@
 """Registered queries; importing this package fills the registry."""
 
-from . import cleaning, extraction, retrieval  # noqa: F401
+from . import built, cleaning, extraction, retrieval  # noqa: F401

@@ -112,6 +112,17 @@ def cleaning_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("document_id", *_long("input_units", "output_units", "dropped_units", "modified_units", "unchanged_units", "characters_before", "characters_after", "warning_count"))
 
 
+@register(
+    "cleaning_reason_stats",
+    f"""WITH {sql.DIRTY} SELECT document_id, count(*) FILTER (WHERE reason = 'empty_after_normalization')::BIGINT AS dropped_empty_after_normalization, 0::BIGINT AS dropped_pdf_page_number, sum(replaced::INT + (removed > 0)::INT)::BIGINT AS normalization_warning_count,
+    0::BIGINT AS source_filter_warning_count, (coalesce(sum(length(normalized)) FILTER (WHERE reason IS NULL), 0) - sum(length(content)))::BIGINT AS character_delta FROM good GROUP BY document_id""",
+)
+def cleaning_reason_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Drops by reason and warnings by origin."""
+    out = cleaner.clean(dirty_units(spark, sf_dir)).stats
+    return out.select("document_id", *_long("dropped_empty_after_normalization", "dropped_pdf_page_number", "normalization_warning_count", "source_filter_warning_count"), (-F.col("character_delta")).cast("long").alias("character_delta"))
+
+
 @register(
     "cleaning_errors",
     f"""WITH {sql.DIRTY}, t AS (SELECT document_id, count(*) AS n, sum(length(content)) AS c, count(*) FILTER (WHERE reason IS NULL) AS o, coalesce(sum(length(normalized)) FILTER (WHERE reason IS NULL), 0) AS d FROM judged GROUP BY document_id),

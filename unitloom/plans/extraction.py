@@ -197,7 +197,7 @@ SELECT format('raw:doc-{{}}:{{:06d}}', doc_id, u) AS raw_unit_id, i::BIGINT AS b
 @register("docx_units", _DOCX_SQL)
 def docx_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Units of documents that were made into Word files first."""
-    out = docx.extract_docx(docx_sources(spark, sf_dir), {"max_candidate_blocks": 1 << 30, "max_units": 1 << 30, "max_total_extracted_characters": 1 << 60}).units
+    out = docx.extract_docx(docx_sources(spark, sf_dir)).units
     return out.select("raw_unit_id", F.col("extra_metadata.block_index").cast("long").alias("block_index"), F.col("extra_metadata.block_type").alias("block_type"), "content_hash", "section")
 
 
@@ -256,6 +256,16 @@ def pdf_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pdf.extract_pdf(*pdf_tables(spark, sf_dir)).errors.select("document_id", "error_code", "failed_stage")
 
 
+@register("pdf_status_errors", f"WITH {_BLOCKS} SELECT DISTINCT d::VARCHAR AS document_id, 'extraction_parsing_failed' AS error_code, CASE WHEN d % 5 = 0 THEN 'locked' ELSE 'open_failed' END AS details, 'parsing' AS failed_stage, true AS told FROM q WHERE d % 5 IN (0, 1)")
+def pdf_status_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files that need a password or didn't open give one error each, whatever blocks came in."""
+    blocks, pages = pdf_tables(spark, sf_dir)
+    k = F.col("document_id").cast("long") % 5
+    pages = pages.withColumn("status", F.when(F.col("page_index") == 0, F.when(k == 0, "locked").when(k == 1, "open_failed")))
+    out = pdf.extract_pdf(blocks, pages).errors.where("error_code = 'extraction_parsing_failed'")
+    return out.select("document_id", "error_code", "details", "failed_stage", F.col("message").isNotNull().alias("told"))
+
+
 # --- checks -------------------------------------------------------------------------------------
 
 
@@ -278,11 +288,40 @@ def broken_raw_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     return validate.raw_units(dirty_units(spark, sf_dir))
 
 
-@register("broken_cleaning", "SELECT NULL::VARCHAR AS rule, NULL::VARCHAR AS key WHERE false")
+_KEY = "format('{}:{{}}:{{:06d}}', document_id, unit_index)"
+_OF = "split_part(document_id, '-', 2)::BIGINT"
+
+
+@register(
+    "broken_cleaning",
+    f"""WITH {sql.DIRTY}, d AS (SELECT DISTINCT document_id FROM good)
+    SELECT 'V6 clean_unit_index is continuous' AS rule, {_KEY.format("clean")} AS key FROM good WHERE reason IS NULL AND {_OF} % 7 = 1
+    UNION ALL SELECT 'V11 counts', document_id FROM d WHERE {_OF} % 5 = 0 UNION ALL SELECT 'V12 sums', document_id FROM d WHERE {_OF} % 5 = 0
+    UNION ALL SELECT 'V13 stage', {_KEY.format("raw")} FROM good WHERE replaced AND {_OF} % 3 = 0
+    UNION ALL SELECT 'V13 stage', {_KEY.format("raw")} FROM good WHERE removed > 0 AND {_OF} % 3 = 0
+    UNION ALL SELECT 'V8 no unit is both', {_KEY.format("raw")} FROM good WHERE reason IS NULL AND {_OF} % 11 = 2
+    UNION ALL SELECT 'V11 counts', document_id FROM d WHERE {_OF} % 5 <> 0 AND {_OF} % 11 = 2 AND document_id IN (SELECT document_id FROM good WHERE reason IS NULL)
+    UNION ALL SELECT 'V10 one timestamp', document_id FROM good WHERE reason IS NULL AND {_OF} % 13 = 3 GROUP BY document_id HAVING count(DISTINCT unit_index % 2) = 2""",
+)
 def broken_cleaning(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rules that a cleaning run breaks: none."""
+    """Rules that a cleaning run breaks after its tables were spoiled by document."""
+    done = cleaner.clean(dirty_units(spark, sf_dir), cleaned_at=lit("2024-01-01").cast("timestamp"))
+    k = F.substring_index("document_id", "-", -1).cast("long")
+    late = F.when((k % 13 == 3) & (F.col("unit_index") % 2 == 1), lit("2025-01-01").cast("timestamp")).otherwise(F.col("cleaned_at"))
+    units = done.units.withColumns({"clean_unit_index": F.col("clean_unit_index") + F.when(k % 7 == 1, 1).otherwise(0), "cleaned_at": late})
+    both = done.units.where(k % 11 == 2).select(*[F.col(c) if c in done.units.columns and c != "extra_metadata" else lit(None).cast(t).alias(c) for c, t in done.dropped.dtypes])
+    warnings = done.warnings.withColumn("stage", F.when(k % 3 == 0, "parsing").otherwise(F.col("stage")))
+    stats = done.stats.withColumn("output_units", F.col("output_units") + F.when(k % 5 == 0, 1).otherwise(0))
+    return validate.cleaned(units, done.dropped.unionAll(both), warnings, stats)
+
+
+@register("sound_cleaning", f"WITH {sql.DIRTY} SELECT count(DISTINCT document_id)::BIGINT AS documents, 0::BIGINT AS broken FROM good")
+def sound_cleaning(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many documents a cleaning run has, and how many rules it breaks as it comes."""
     done = cleaner.clean(dirty_units(spark, sf_dir), cleaned_at=lit("2024-01-01").cast("timestamp"))
-    return validate.cleaned(done.units, done.dropped, done.warnings, done.stats)
+    wrong = validate.cleaned(done.units, done.dropped, done.warnings, done.stats).select(lit(0).alias("d"), lit(1).alias("b"))
+    every = done.stats.select(lit(1).alias("d"), lit(0).alias("b")).unionAll(wrong)
+    return every.agg(F.sum("d").cast("long").alias("documents"), F.sum("b").cast("long").alias("broken"))
 
 
 @register("unit_lineage", f"WITH {sql.DIRTY} SELECT 'doc-' || d.doc_id AS document_id, d.lang, d.source, g.units FROM documents d JOIN (SELECT document_id, count(*)::BIGINT AS units FROM good WHERE reason IS NULL GROUP BY document_id) g ON g.document_id = 'doc-' || d.doc_id")
@@ -306,21 +345,38 @@ def source_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("source_id", "status", "current_stage", "error.error_code", "metadata.domain", F.col("metadata.checksum_sha256").alias("checksum"))
 
 
-@register("broken_catalogue", "SELECT NULL::VARCHAR AS rule, NULL::VARCHAR AS key WHERE false")
+@register("broken_catalogue", "SELECT 'catalogue' AS rule, CASE WHEN page_id % 5 = 3 THEN ' ' ELSE 'src-' || page_id END AS key FROM pages WHERE page_id % 5 < 4")
 def broken_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows that break the catalogue's rules: none."""
-    src = page_sources(spark, sf_dir)
-    return catalogue.broken(catalogue.catalogue(src, html.extract_html(src)))
+    """Rows that break the catalogue's rules: four of five are made to."""
+    k = F.substring_index("document_id", "-", -1).cast("long") % 5
+    src = page_sources(spark, sf_dir).withColumn("media_type", lit("image/png"))
+    rows = catalogue.catalogue(src, html.extract_html(src))
+    spoiled = {"status": F.when(k == 0, "done").when(k == 1, "completed").otherwise(F.col("status")), "current_stage": F.when(k == 2, "resting").otherwise(F.col("current_stage")), "source_id": F.when(k == 3, " ").otherwise(F.col("source_id"))}
+    return catalogue.broken(rows.withColumns(spoiled))
 
 
-@register("broken_extraction", "SELECT NULL::VARCHAR AS rule, NULL::VARCHAR AS key WHERE false")
+@register(
+    "broken_extraction",
+    f"""WITH {_BLOCKS}, s AS (SELECT d, count(*) FILTER (WHERE decision = 'emit') AS n FROM q GROUP BY d HAVING n > 0),
+    e AS (SELECT d, row_number() OVER (PARTITION BY d ORDER BY dbi) - 1 AS u FROM q WHERE decision = 'emit')
+    SELECT 'V20 pages' AS rule, d::VARCHAR AS key FROM s WHERE d % 3 = 0
+    UNION ALL SELECT 'V5 total_units', d::VARCHAR FROM s WHERE d % 4 = 1 UNION ALL SELECT 'V19 observed = emitted + skipped', d::VARCHAR FROM s WHERE d % 4 = 1
+    UNION ALL SELECT 'V4 lineage', format('raw:{{}}:{{:06d}}', d, u) FROM e WHERE d % 6 = 5
+    UNION ALL SELECT 'V2 pages', format('raw:{{}}:{{:06d}}', d, u) FROM e WHERE d % 7 = 2
+    UNION ALL SELECT 'V3 unit_index is the position', format('raw:{{}}:{{:06d}}', d, u) FROM e WHERE d % 9 = 4""",
+)
 def broken_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rules that an extraction's units and statistics break: none."""
-    src = page_sources(spark, sf_dir)
-    out = html.extract_html(src)
-    pdfs = pdf.extract_pdf(*pdf_tables(spark, sf_dir))
-    parts = [validate.raw_units(out.units), validate.lineage(out.units, src), validate.extraction_stats(out.stats, out.units), validate.extraction_stats(pdfs.stats, pdfs.units), validate.pdf_pages(pdfs.stats)]
-    return parts[0].unionAll(parts[1]).unionAll(parts[2]).unionAll(parts[3]).unionAll(parts[4])
+    """Rules that an extraction breaks after its units and statistics were spoiled by document."""
+    blocks, pages = pdf_tables(spark, sf_dir)
+    out = pdf.extract_pdf(blocks, pages)
+    d = F.col("document_id").cast("long")
+    headers = pages.select("document_id", "source_id", lit("pdf").alias("source_type")).distinct()
+    units = out.units.withColumns({"source_type": F.when(d % 6 == 5, "url").otherwise(F.col("source_type"))})
+    raw = out.units.withColumns({"page_end": F.when(d % 7 != 2, F.col("page_end")), "unit_index": F.col("unit_index") + F.when(d % 9 == 4, 1).otherwise(0)})
+    more = F.when(d % 3 == 0, F.map_from_entries(F.transform(F.map_entries("facts"), lambda e: F.struct(e["key"], F.when(e["key"] == "page_count", "99").otherwise(e["value"]))))).otherwise(F.col("facts"))
+    stats = out.stats.withColumns({"total_units": F.col("total_units") + F.when(d % 4 == 1, 1).otherwise(0), "facts": more})
+    parts = [validate.raw_units(raw), validate.lineage(units, headers), validate.extraction_stats(stats, out.units), validate.pdf_pages(stats)]
+    return parts[0].unionAll(parts[1]).unionAll(parts[2]).unionAll(parts[3])
 
 
 @register("service_units")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions import pytext as P, urls
 from ..operators import assemble, citations, cleaner, retrieval, validate
@@ -29,7 +29,7 @@ URL_CASES = [
     ("http://example.com:99999/", "disallowed_port", None),
     ("http:///path", "invalid_url", None),
     ("/relative", "invalid_url", None),
-    ("http://exa mple.com/", "invalid_url", None),
+    ("http://two words.example/", "invalid_url", None),
     ("   ", "invalid_url", None),
     ("http://[bad", "invalid_url", None),
     ("http://[2001:4860:4860::8888]/", None, "http://[2001:4860:4860::8888]/"),
@@ -87,7 +87,7 @@ def exchanges(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, D
     header = lambda n, v: F.struct(lit(n).alias("name"), v.alias("value"))
     target = F.when(kind == 1, "").when(kind == 2, F.concat(lit("http://h.example/"), k, lit("/"), (F.col("h") + 1).cast("string"))).when(kind == 3, at(lit(0))).otherwise(at(F.col("h") + 1))
     media = F.when(kind == 4, "image/png").when(kind == 5, 'text/html; charset="utf-8"').otherwise("text/html")
-    length = F.when(kind == 6, "12, 13").when(kind == 7, "9999999").otherwise(F.octet_length("html").cast("string"))
+    length = F.when(kind == 10, " ").when(kind == 6, "12, 13").when(kind == 7, "9999999").otherwise(F.octet_length("html").cast("string"))
     status = F.when(~last, 302).when(kind == 8, 204).when(kind == 9, 404).otherwise(200)
     headers = F.when(last, F.array(header("Content-Type", media), header("content-length", length))).otherwise(F.array(header("Location", target)))
     answers = steps.select(at(F.col("h")).alias("url"), status.alias("status"), headers.alias("headers"), F.encode("html", "utf-8").alias("body"))
@@ -109,6 +109,60 @@ def fetch_replay_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("request_id", "error_code", "final_url", "downloaded_bytes", F.when(F.col("error_code").isNull(), F.col("redirect_count")).cast("long").alias("redirects"), "charset")
 
 
+@register(
+    "fetch_limits",
+    """SELECT page_id::BIGINT AS request_id, CASE WHEN page_id % 7 > 1 AND page_id % 11 NOT IN (1, 2, 3) THEN 'redirect_limit_exceeded' WHEN octet_length(encode(html)) > 1500 THEN 'response_too_large' END AS error_code
+    FROM pages WHERE page_id % 11 IN (0, 10) OR page_id % 77 = 7""",
+)
+def fetch_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tight bounds on redirects and on bodies, with a declared length and without one."""
+    requests, answers, dns = exchanges(spark, sf_dir)
+    k = F.col("request_id")
+    some = requests.where((k % 11).isin(0, 10) | (k % 77 == 7))
+    real = F.transform("headers", lambda h: F.struct(h["name"].alias("name"), F.when(h["value"] == "9999999", " ").otherwise(h["value"]).alias("value")))
+    out = fetch_replay.replay(some, answers.withColumn("headers", real), dns, {"max_redirects": 1, "max_body_bytes": 1500})
+    return out.select("request_id", "error_code")
+
+
+@register(
+    "fetched_sources",
+    """SELECT page_id::VARCHAR AS document_id, 'https://h.example/' || page_id || '/0' AS original_url, 'https://h.example/' || page_id || '/' || page_id % 7 AS source_uri, (page_id % 7)::VARCHAR AS original_filename, 200::BIGINT AS status_code,
+    (page_id % 7)::BIGINT AS redirect_count, octet_length(encode(html))::BIGINT AS bytes FROM pages WHERE page_id % 7 < 6 AND page_id % 11 IN (0, 5, 10)""",
+)
+def fetched_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fetched pages as sources, with what is known of their fetch."""
+    out = fetch_replay.fetched_as_sources(fetch_replay.replay(*exchanges(spark, sf_dir)))
+    some = out.where((F.col("document_id").cast("long") % 11).isin(0, 5, 10))
+    return some.select("document_id", "fetch.original_url", "source_uri", "original_filename", F.col("fetch.status_code").cast("long").alias("status_code"), F.col("fetch.redirect_count").cast("long").alias("redirect_count"), F.length("content_bytes").cast("long").alias("bytes"))
+
+
+@register(
+    "fetch_headers",
+    """SELECT page_id::BIGINT AS page_id, CASE page_id % 6 WHEN 0 THEN page_id WHEN 2 THEN 5 WHEN 4 THEN 1000 END::BIGINT AS content_length, page_id % 6 IN (3, 5) AS bad_length,
+    CASE page_id % 5 WHEN 3 THEN 'application/xhtml+xml' ELSE 'text/html' END AS media_type, CASE page_id % 5 WHEN 0 THEN 'UTF-8' WHEN 3 THEN 'Latin-' || page_id END AS charset, CASE WHEN page_id % 5 = 1 THEN 'malformed_content_type' END AS type_error FROM pages""",
+)
+def fetch_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lengths and types from headers that are split, blank, repeated, in conflict or quoted."""
+    pages = table(spark, sf_dir, "pages")
+    k, id_ = F.col("page_id"), F.col("page_id").cast("string")
+    of = lambda name, *values: F.array(*[F.struct(lit(name).alias("name"), (v if not isinstance(v, str) else lit(v)).alias("value")) for v in values])
+    length = F.when(k % 6 == 0, of("Content-Length", F.concat(id_, lit(",")))).when(k % 6 == 1, of("content-length", "  ")).when(k % 6 == 2, of("content-length", "5", " 5")).when(k % 6 == 3, of("content-length", "5", "6")).when(k % 6 == 4, of("content-length", "1_000")).otherwise(of("content-length", "-3"))
+    kind = F.when(k % 5 == 0, of("Content-Type", 'Text/HTML; Charset="UTF-8"')).when(k % 5 == 1, of("content-type", "text/html", "TEXT/HTML")).when(k % 5 == 2, of("content-type", "text/html; charset= ")).when(k % 5 == 3, of("content-type", F.concat(lit("application/xhtml+xml;charset=Latin-"), id_))).otherwise(of("content-type", "text/html, "))
+    found = pages.select("page_id", fetch_replay.content_length(length).alias("l"), fetch_replay.content_type(kind).alias("t"))
+    return found.select("page_id", F.col("l.value").alias("content_length"), F.col("l.bad").alias("bad_length"), "t.media_type", "t.charset", F.col("t.error").alias("type_error"))
+
+
+@register(
+    "url_diagnostics",
+    "SELECT page_id::BIGINT AS page_id, CASE page_id % 3 WHEN 0 THEN 'http://h' || page_id || '.example:8080/p/' || page_id WHEN 1 THEN 'https://h.example/a' ELSE '<invalid-url>' END AS shown FROM pages",
+)
+def url_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """URLs as they are shown in messages: no user, query or fragment, host normalized, port kept."""
+    k, id_ = F.col("page_id") % 3, F.col("page_id").cast("string")
+    url = F.when(k == 0, F.concat(lit("HTTP://User:pw@H"), id_, lit(".Example.:8080/p/"), id_, lit("?q=1#f"))).when(k == 1, lit("https://h.example:notaport/a?x")).otherwise(lit("http://[bad"))
+    return table(spark, sf_dir, "pages").select("page_id", urls.diagnostic_url(url).alias("shown"))
+
+
 @register(
     "error_stages",
     "SELECT * FROM (VALUES ('extraction_parsing_failed', 'parsing'), ('extraction_no_content', 'extracting'), ('extractor_not_registered', 'extracting'), ('cleaning_no_content', 'cleaning'), ('redirect_loop', 'downloading')) t(error_code, failed_stage)",
@@ -161,10 +215,37 @@ def unit_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.chunks(units, 200).select("chunk_id", *_long("chunk_index", "start_char", "end_char", "token_count"), "content_hash")
 
 
-@register("broken_chunks", "SELECT NULL::VARCHAR AS rule, NULL::VARCHAR AS key WHERE false")
+@register(
+    "chunk_cover",
+    f"WITH {sql.DIRTY} SELECT format('clean:{{}}:{{:06d}}', document_id, unit_index) AS clean_unit_id, length(regexp_replace(normalized, '[{sql.PYWS}]', '', 'g'))::BIGINT AS visible, true AS in_bounds, true AS disjoint FROM good WHERE reason IS NULL",
+)
+def chunk_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each clean unit: the visible characters of its chunks, and whether chunks keep their bounds."""
+    found = retrieval.chunks(cleaner.clean(dirty_units(spark, sf_dir)).units, 200)
+    visible = F.length(F.regexp_replace("content", f"[{P.PYWS}]", ""))
+    before = F.lag("end_char").over(Window.partitionBy("clean_unit_id").orderBy("chunk_index"))
+    found = found.withColumn("apart", F.col("start_char") >= F.coalesce(before, lit(0)))
+    size = F.col("end_char") - F.col("start_char")
+    return found.groupBy("clean_unit_id").agg(F.sum(visible).cast("long").alias("visible"), F.min((size == F.length("content")) & (size <= 200)).alias("in_bounds"), F.min("apart").alias("disjoint"))
+
+
+@register("broken_chunks", "SELECT 'V14 place' AS rule, 'chunk-' || doc_id AS key FROM documents WHERE doc_id % 7 < 5")
 def broken_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Chunks that break the rules of a chunk's place and size: none."""
-    return validate.chunks(retrieval.chunks(cleaner.clean(dirty_units(spark, sf_dir)).units, 200))
+    """Chunks that break the rules of a chunk's place and size: five of seven are made to."""
+    k, id_ = F.col("doc_id") % 7, F.col("doc_id")
+    start = F.when(k == 0, lit(None)).when(k == 1, -1).otherwise(id_)
+    end = F.when(k == 2, id_).when(k == 3, id_ - 1).otherwise(id_ + 5)
+    docs = table(spark, sf_dir, "documents").select(F.concat(lit("chunk-"), id_.cast("string")).alias("chunk_id"), start.alias("start_char"), end.alias("end_char"), F.when(k == 4, 0).otherwise(1).alias("token_count"))
+    return validate.chunks(docs)
+
+
+@register("broken_contexts", "SELECT 'V17 methods and ranks' AS rule, vec_id::VARCHAR AS key FROM embeddings WHERE vec_id % 5 < 4")
+def broken_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Retrieved chunks with an unknown method, none, or a rank below 1: four of five are made so."""
+    k = F.col("vec_id") % 5
+    methods = F.when(k == 0, F.array(lit("vector"), lit("guess"))).when(k == 1, F.array().cast("array<string>")).otherwise(F.array(lit("vector"), lit("rerank")))
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("string").alias("chunk_id"), methods.alias("retrieval_methods"), F.when(k == 2, 0).otherwise(1).alias("retrieval_rank"), F.when(k == 3, 0).otherwise(1).alias("final_rank"))
+    return validate.contexts(rows)
 
 
 @register(
@@ -194,13 +275,13 @@ def vector_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     "text_strips",
-    rf"""WITH t AS (SELECT doc_id, chr(9) || chr(28) || chr(133) || substr(text, 1, 5) || chr(8203) || ' ' || chr(12288) AS s FROM documents WHERE text IS NOT NULL)
+    rf"""WITH t AS (SELECT doc_id, chr(9) || chr(28) || chr(133) || text || chr(8203) || ' ' || chr(12288) AS s FROM documents WHERE text IS NOT NULL)
     SELECT doc_id, length({sql.strip("s")})::BIGINT AS stripped, {sql.word_count("s")} AS words FROM t""",
 )
 def text_strips(spark: SparkSession, sf_dir: str) -> DataFrame:
     """White space that only Python strips, and a zero-width space that it doesn't."""
     docs = table(spark, sf_dir, "documents").where("text is not null")
-    s = F.concat(lit("\t\x1c\x85"), F.substring("text", 1, 5), lit("​ 　"))
+    s = F.concat(lit("\t\x1c\x85"), F.col("text"), lit("​ 　"))
     return docs.select("doc_id", F.length(P.strip(s)).cast("long").alias("stripped"), P.word_count(s).cast("long").alias("words"))
 
 

@@ -53,6 +53,7 @@ RAW_UNITS = (
     .add("character_count", T.IntegerType())
     .add("word_count", T.IntegerType())
     .add("content_hash", T.StringType())
+    .add("extracted_at", T.TimestampType())
 )
 
 WARNINGS = struct("document_id string, stage string, warning_code string, item_index int, message string, details string")
@@ -61,6 +62,6 @@ ERRORS = struct("document_id string, source_id string, error_code string, messag
 #: What a parser yields for each block it sees, before indexes and paths are worked out.  A row
 #: without a block_type speaks of its document (failure, facts) or is a warning.
 BLOCKS = struct(
-    "document_id string, source_id string, source_type string, source_uri string, block_index int, block_type string, content_type string, content string, blank boolean,"
+    "document_id string, source_id string, source_type string, source_uri string, block_index int, block_type string, content_type string, content string, blank boolean, path array<string>,"
     "heading_level int, page_start int, page_end int, item_index int, warning_code string, warning_detail string, cells array<array<string>>, failure string, facts map<string string>"
 ).add("extra_metadata", METADATA)

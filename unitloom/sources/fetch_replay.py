@@ -9,19 +9,21 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.urls import all_public, normalize_url
+from ..functions.pytext import strip
+from ..functions.urls import all_public, file_name, normalize_url
 from ..schemas import FETCH_LIMITS
 from .html import MEDIA_TYPES
 
 # Statuses that redirect, and error codes that are worth another try.
 REDIRECTS = [301, 302, 303, 307, 308]
-RETRYABLE = ["dns_resolution_failed", "network_error", "timeout", "deadline_exceeded"]
+RETRYABLE = ["dns_resolution_failed", "network_error", "request_timeout", "request_deadline_exceeded"]
 
 
 def header_values(headers: Column, name: str) -> Column:
-    """All values of a header, in order; one value with commas is several."""
-    own = F.filter(headers, lambda h: F.lower(h["name"]) == name)
-    return F.flatten(F.transform(own, lambda h: F.transform(F.split(h["value"], ","), lambda x: F.trim(x))))
+    """All values of a header that are not blank, in order; a single one with commas is several."""
+    own = F.transform(F.filter(headers, lambda h: F.lower(h["name"]) == name), lambda h: h["value"])
+    every = F.when(F.size(own) == 1, F.split(F.get(own, F.lit(0)), ",")).otherwise(own)
+    return F.filter(F.transform(every, lambda x: strip(x)), lambda x: F.length(x) > 0)
 
 
 def status_error(status: Column) -> Column:
@@ -32,28 +34,36 @@ def content_length(headers: Column) -> Column:
     """struct(value, bad): the declared length, and whether it is no length."""
     values = F.array_distinct(header_values(headers, "content-length"))
     one = F.get(values, F.lit(0))
-    number = F.when(one.rlike(r"\A[+-]?[0-9]+\z"), one.try_cast("decimal(38,0)"))
+    digits = F.replace(one, F.lit("_"), F.lit(""))
+    number = F.when(one.rlike(r"\A[+-]?[0-9]+(_[0-9]+)*\z"), digits.try_cast("decimal(38,0)"))
     bad = (F.size(values) > 1) | ((F.size(values) == 1) & (number.isNull() | (number < 0)))
     return F.struct(F.when(~bad, number).try_cast("long").alias("value"), bad.alias("bad"))
 
 
 def content_type(headers: Column) -> Column:
     """struct(media_type, charset, error)."""
-    values = F.array_distinct(F.transform(header_values(headers, "content-type"), lambda x: F.lower(x)))
+    values = F.array_distinct(header_values(headers, "content-type"))
     one = F.get(values, F.lit(0))
-    media = F.trim(F.split_part(one, F.lit(";"), F.lit(1)))
-    charset = F.trim(F.regexp_extract(one, r""";\s*charset\s*=\s*["']?([^"';]+)""", 1))
+    media = F.lower(strip(F.split_part(one, F.lit(";"), F.lit(1))))
+    # A parameter keeps its case and loses double quotes or angle brackets around it.
+    given = strip(F.regexp_extract(one, r"""(?i);\s*charset\s*=\s*("[^"]*"|[^;]*)""", 1))
+    charset = strip(F.when(given.rlike(r"""\A(".*"|<.*>)\z"""), F.substr(given, F.lit(2), F.length(given) - 2)).otherwise(given))
     error = F.when(F.size(values) > 1, "malformed_content_type").when((F.size(values) == 0) | ~media.isin(MEDIA_TYPES), "unsupported_content_type")
     return F.struct(media.alias("media_type"), F.when(F.length(charset) > 0, charset).alias("charset"), error.alias("error"))
 
 
+def _key(c: Column) -> Column:
+    """A join key; rows without one get one each that nothing has, so they don't land in one task."""
+    return F.coalesce(c, F.concat(F.lit("\0"), F.col("request_id").cast("string")))
+
+
 def _followed(state: DataFrame, exchanges: DataFrame, dns: DataFrame, last: bool) -> DataFrame:
     """All open requests one exchange further; ended ones pass through as they are.
 
     The state is one table, so the plan has one join with each side for a hop and nothing twice.
     """
     df = state.withColumn("n", normalize_url(F.col("next_url"), F.col("base_url")))
-    df = df.join(dns.select(F.col("hostname").alias("h"), "addresses"), F.when(F.col("open"), F.col("n.hostname")) == F.col("h"), "left").drop("h")
+    df = df.join(dns.select(F.col("hostname").alias("h"), "addresses"), _key(F.when(F.col("open"), F.col("n.hostname"))) == F.col("h"), "left").drop("h")
     found = F.when(F.col("n.is_ip_literal"), F.array("n.hostname")).otherwise(F.coalesce("addresses", F.array().cast("array<string>")))
     df = df.withColumn("public", all_public(found))
     code = (
@@ -65,8 +75,8 @@ def _followed(state: DataFrame, exchanges: DataFrame, dns: DataFrame, last: bool
         .when(F.array_contains("visited", F.col("n.request_url")), "redirect_loop")
     )
     df = df.withColumn("error_code", code).withColumn("probe", F.when(F.col("open") & F.col("error_code").isNull(), F.col("n.request_url"))).drop("n", "addresses", "public")
-    seen = exchanges.select(F.col("url").alias("x"), F.col("status").alias("s"), F.col("headers").alias("hs"), F.col("body").alias("b"))
-    df = df.join(seen, F.col("probe") == F.col("x"), "left")
+    seen = exchanges.select(F.col("url").alias("x"), F.col("status").alias("s"), F.col("headers").alias("hs"))
+    df = df.join(seen, _key(F.col("probe")) == F.col("x"), "left")
     asked = F.col("probe").isNotNull()
     moved = asked & F.coalesce(F.col("s").isin(REDIRECTS), F.lit(False))
     target = F.trim(F.get(F.transform(F.filter("hs", lambda h: F.lower(h["name"]) == "location"), lambda h: h["value"]), F.lit(0)))
@@ -85,7 +95,7 @@ def _followed(state: DataFrame, exchanges: DataFrame, dns: DataFrame, last: bool
         goes_on.alias("open"),
         F.when(asked, F.col("s")).otherwise(F.col("status")).alias("status"),
         F.when(asked, F.col("hs")).otherwise(F.col("headers")).alias("headers"),
-        F.when(asked & ~F.col("moved"), F.col("b")).otherwise(F.col("body")).alias("body"),
+        F.when(asked & ~F.col("moved"), F.col("probe")).otherwise(F.col("answer")).alias("answer"),
     )
 
 
@@ -96,11 +106,13 @@ def replay(requests: DataFrame, exchanges: DataFrame, dns: DataFrame, limits: di
     none = lambda name: F.lit(None).cast(kinds[name]).alias(name)
     state = requests.select(
         "request_id", F.col("url").alias("original_url"), F.lit(None).cast("string").alias("url"), F.col("url").alias("next_url"), F.lit(None).cast("string").alias("base_url"),
-        F.array().cast("array<string>").alias("visited"), F.lit(0).alias("redirect_count"), F.lit(None).cast("string").alias("error_code"), F.lit(True).alias("open"), none("status"), none("headers"), none("body"),
+        F.array().cast("array<string>").alias("visited"), F.lit(0).alias("redirect_count"), F.lit(None).cast("string").alias("error_code"), F.lit(True).alias("open"), none("status"), none("headers"), F.lit(None).cast("string").alias("answer"),
     )
     for hop in range(limits["max_redirects"] + 1):
         state = _followed(state, exchanges, dns, hop == limits["max_redirects"])
-    return _result(state, limits)
+    # Bodies are read once, by the exchange that ended each request, and not carried along.
+    bodies = exchanges.select(F.col("url").alias("x"), "body")
+    return _result(state.join(bodies, _key(F.col("answer")) == F.col("x"), "left"), limits)
 
 
 def _result(rows: DataFrame, limits: dict[str, int]) -> DataFrame:
@@ -137,6 +149,9 @@ def _result(rows: DataFrame, limits: dict[str, int]) -> DataFrame:
 
 
 def fetched_as_sources(fetched: DataFrame) -> DataFrame:
-    """Successful fetches in the form of sources; request_id names source and document."""
-    name = F.element_at(F.split(F.try_parse_url("final_url", F.lit("PATH")), "/"), -1)
-    return fetched.where("error_code is null").select(F.col("request_id").cast("string").alias("source_id"), F.col("request_id").cast("string").alias("document_id"), F.lit("url").alias("source_type"), F.col("final_url").alias("source_uri"), name.alias("original_filename"), "media_type", "charset", "content_bytes")
+    """Successful fetches in the form of sources, with what is known of the fetch as ``fetch``."""
+    own = ["original_url", "final_url", "status_code", "media_type", "charset", "content_length_header", "downloaded_bytes", "redirect_count"]
+    return fetched.where("error_code is null").select(
+        F.col("request_id").cast("string").alias("source_id"), F.col("request_id").cast("string").alias("document_id"), F.lit("url").alias("source_type"),
+        F.col("final_url").alias("source_uri"), file_name(F.col("final_url")).alias("original_filename"), "media_type", "charset", "content_bytes", F.struct(*own).alias("fetch"),
+    )

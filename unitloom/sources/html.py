@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions import tsv
-from ..operators.assemble import Extracted, assembled
+from ..operators.assemble import Extracted, OpenHeadings, assembled
 from ..schemas import BLOCKS, HTML_LIMITS, METADATA
 from . import html_tree
 
@@ -61,11 +61,11 @@ def page_rows(row: dict, most: int) -> list[dict]:
     try:
         html, known, encoding = html_tree.decode(row["content_bytes"], row["charset"])
         page = html_tree.Page(html)
-        found = []
+        found, headings = [], OpenHeadings()
         for index, block in enumerate(page.blocks()):
             if index > most:  # one more than allowed tells that there are too many
                 break
-            found.append(_row(base, index, block))
+            found.append(_row(base, index, block) | {"path": headings.path(block.get("heading_level"), block.get("content"))})
     except (RecursionError, ValueError, AssertionError) as error:
         return [base | {"failure": f"extraction_parsing_failed:{type(error).__name__}"}]
     facts = {"selected_root_tag": page.root.name, "selected_root_strategy": page.strategy, "removed_non_content_tag_count": page.removed, "ignored_semantic_container_count": page.ignored, "nested_table_ignored_count": page.nested_tables, "declared_charset": row["charset"], "declared_charset_valid": known, "charset_fallback_used": known is False, "detected_encoding": encoding}
@@ -95,7 +95,7 @@ def _tables(blocks: DataFrame) -> DataFrame:
 
 def extract_html(sources: DataFrame, limits: dict[str, int] | None = None) -> Extracted:
     """Units of HTML sources (schemas.SOURCES)."""
-    return assembled(parsed(sources, limits), limits)
+    return assembled(parsed(sources, limits), HTML_LIMITS | (limits or {}))
 
 
 def pages_as_sources(pages: DataFrame) -> DataFrame:

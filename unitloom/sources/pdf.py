@@ -62,6 +62,5 @@ def parsed(blocks: DataFrame, pages: DataFrame) -> DataFrame:
 
 
 def extract_pdf(blocks: DataFrame, pages: DataFrame, limits: dict[str, int] | None = None) -> Extracted:
-    """Units of PDF files from their text blocks; heading paths are always empty."""
-    unlimited = {"max_candidate_blocks": 1 << 31, "max_units": 1 << 31, "max_total_extracted_characters": 1 << 62}
-    return assembled(parsed(blocks, pages), unlimited | (limits or {}), 0)
+    """Units of PDF files from their text blocks; heading paths are always empty, and only given limits hold."""
+    return assembled(parsed(blocks, pages), limits)

@@ -7,7 +7,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..operators.assemble import Extracted
+from ..operators.assemble import Extracted, message
 from ..schemas import SOURCES
 from .docx import extract_docx
 from .html import extract_html
@@ -46,7 +46,7 @@ def extract(sources: DataFrame, registry: Registry | None = None, metadata_keys:
     known = F.col("source_type").isin(list(registry.by_type))
     refused = df.where(F.col("__used").isNotNull() | ~F.coalesce(known, F.lit(False)))
     code = F.when(F.col("__used").isNotNull(), "extraction_service_input_error").otherwise("extractor_not_registered")
-    errors = refused.select("document_id", "source_id", code.alias("error_code"), F.coalesce("__used", "source_type").alias("details"), F.lit("extracting").alias("failed_stage"), F.lit(False).alias("retryable"))
+    errors = refused.select("document_id", "source_id", code.alias("error_code"), message(code).alias("message"), F.coalesce("__used", "source_type").alias("details"), F.lit("extracting").alias("failed_stage"), F.lit(False).alias("retryable"))
     good = df.where(F.col("__used").isNull()).select(*SOURCES.fieldNames())
     parts = [f(good.where(F.col("source_type") == t)) for t, f in registry.by_type.items()]
     union = lambda name: reduce(DataFrame.unionByName, [getattr(p, name) for p in parts])

@@ -16,9 +16,12 @@ from ..sources.service import extract
 def process(sources: DataFrame, sink: Callable[[str, DataFrame, int], None], config: dict[str, object] | None = None) -> None:
     """Extracts and cleans one batch of sources and hands each table to the sink."""
     found = extract(sources)
-    done = clean(found.units, config)
+    # All tables but two derive from the units, so each document is parsed for them once.
+    units = found.units.persist()
+    done = clean(units, config)
     for name, table in (("clean_units", done.units), ("dropped_units", done.dropped), ("cleaning_warnings", done.warnings), ("cleaning_stats", done.stats), ("extraction_errors", found.errors), ("cleaning_errors", done.errors)):
         sink(name, table, -1)
+    units.unpersist()
 
 
 def parquet_sink(folder: str) -> Callable[[str, DataFrame, int], None]:
