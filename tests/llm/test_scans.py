@@ -305,6 +305,48 @@ def test_mixed_texts_have_spans(spark, sf):
     assert [got[i].lang_pred for i in (1, 2, 3)] == ["und"] * 3 and got[4].lang_pred in model.langs
 
 
+def test_scripts_by_code_point():
+    own = random.Random(3)
+    points = [own.choice([own.randrange(0x20, 0x800), own.randrange(0x800, 0xD800), own.randrange(0xE000, 0x10000), own.randrange(0x10000, 0x33000)]) for _ in range(4000)]
+    raw = np.frombuffer("".join(map(chr, points)).encode(), np.uint8)
+    script, start = langid.letters(raw)
+    want = [next((k for k, name in enumerate(langid.NAMES) if any(a <= p <= b for a, b in langid.SCRIPTS[name]) and p not in (0xD7, 0xF7)), langid.OTHER) for p in points]
+    assert script[start].tolist() == want
+
+
+def test_word_scores_and_narrowing_equal_brute_force():
+    langs, own = ["aa", "bb", "cc"], np.random.default_rng(4)
+    table = own.normal(-9, 2, (3, langid.BUCKETS)).astype(np.float32)
+    scripts = np.zeros((3, langid.OTHER + 1), bool)
+    scripts[:, langid.OTHER] = True
+    scripts[0, 0] = scripts[1, 0] = scripts[2, langid.NAMES.index("cyrillic")] = True
+    found = words.scan(pa.array(["alpha мир x1 தமிழ் ß", "", "мир"]), words.SPACE_WORDS, True)
+    scores, count = langid.Model(langs, table, scripts).word_scores(found)
+
+    def bucket(gram):
+        h = 0
+        for b in gram:
+            h = (h * 0x01000193 & 0xFFFFFFFF) ^ b
+        return (((h ^ h >> 15) * 0x85EBCA6B) & 0xFFFFFFFF) >> 17
+
+    for i in range(len(found.hash)):
+        word = found.word(i)
+        line = b" " + word + b" "
+        grams = [line[k : k + n] for n in langid.GRAMS for k in range(len(line) - n + 1) if n > 1 or line[k] != 0x20]
+        plain = [sum(float(table[k][bucket(g)]) for g in grams if b" " not in g[1:-1]) for k in range(3)]
+        kinds = {0 if c.isascii() or c == "ß" else langid.NAMES.index("cyrillic" if c in "мир" else "tamil") for c in word.decode() if c.isalpha() or c in "ிழ்"}
+        out = [any(not scripts[k, s] for s in kinds) for k in range(3)]
+        want = [p - 1000 * (o and not all(out)) for p, o in zip(plain, out, strict=True)]
+        assert scores[i] == pytest.approx(want, abs=0.02)
+    assert count.tolist() == [5, 3, 1, 5, 1, 3]
+
+
+def test_only_the_most_frequent_labels_are_learned(spark):
+    rows = [(i, f"word{i % 3} text", ["aa", "bb", "rare"][0 if i < 12 else 1 if i < 20 else 2], "s", 1) for i in range(21)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert langid.train(docs, languages=2).langs == ["aa", "bb"]
+
+
 def test_odd_languages(odd, none):
     rows = langid.identify(odd).collect()
     assert len(rows) == 9 and not any(r.held_out for r in rows if r.doc_id is None)

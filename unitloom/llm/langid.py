@@ -23,13 +23,16 @@ U64 = np.uint64
 
 #: Bound of the training sample: so many documents of each language, chosen by a hash of the id.
 SAMPLE = 2000
+#: Bound of what is learned: so many languages, those of the most training rows.  A table of more
+#: labels than that has mostly labels that are no languages.
+LANGUAGES = 200
 #: Byte n-grams of words, and the hash buckets that they share.
 GRAMS = (1, 2, 3, 4)
 BUCKETS = 1 << 15
 PENALTY = 12.0
 SMOOTHING = 0.5
-#: Words that go through Viterbi together.
-BATCH_WORDS = 1 << 20
+#: Scores (of a word for a language) that go through Viterbi together.
+BATCH_SCORES = 1 << 22
 
 # Unicode blocks by script, as first and last code point of ranges.
 SCRIPTS = {
@@ -38,12 +41,32 @@ SCRIPTS = {
     "cyrillic": [(0x400, 0x52F)],
     "armenian": [(0x530, 0x58F)],
     "hebrew": [(0x590, 0x5FF)],
-    "arabic": [(0x600, 0x6FF), (0x750, 0x77F)],
+    "arabic": [(0x600, 0x6FF), (0x750, 0x77F), (0x8A0, 0x8FF)],
+    "syriac": [(0x700, 0x74F)],
+    "thaana": [(0x780, 0x7BF)],
+    "nko": [(0x7C0, 0x7FF)],
     "devanagari": [(0x900, 0x97F)],
+    "bengali": [(0x980, 0x9FF)],
+    "gurmukhi": [(0xA00, 0xA7F)],
+    "gujarati": [(0xA80, 0xAFF)],
+    "oriya": [(0xB00, 0xB7F)],
+    "tamil": [(0xB80, 0xBFF)],
+    "telugu": [(0xC00, 0xC7F)],
+    "kannada": [(0xC80, 0xCFF)],
+    "malayalam": [(0xD00, 0xD7F)],
+    "sinhala": [(0xD80, 0xDFF)],
     "thai": [(0xE00, 0xE7F)],
+    "lao": [(0xE80, 0xEFF)],
+    "tibetan": [(0xF00, 0xFFF)],
+    "myanmar": [(0x1000, 0x109F)],
+    "georgian": [(0x10A0, 0x10FF), (0x1C90, 0x1CBF)],
     "hangul": [(0x1100, 0x11FF), (0xAC00, 0xD7AF)],
+    "ethiopic": [(0x1200, 0x139F)],
+    "cherokee": [(0x13A0, 0x13FF)],
+    "khmer": [(0x1780, 0x17FF)],
+    "mongolian": [(0x1800, 0x18AF)],
     "kana": [(0x3040, 0x30FF)],
-    "han": [(0x3400, 0x4DBF), (0x4E00, 0x9FFF)],
+    "han": [(0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x323AF)],
 }
 NAMES = list(SCRIPTS)
 OTHER = len(NAMES)
@@ -73,15 +96,29 @@ def letters(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     script[two] = _TWO_BYTE[(raw[two].astype(np.int64) & 0x1F) << 6 | raw[two + 1] & 0x3F]
     three = np.flatnonzero((raw >= 0xE0) & (raw < 0xF0))
     three = three[three + 2 < n]
-    if len(three):
-        point = (raw[three].astype(np.int64) & 0x0F) << 12 | (raw[three + 1].astype(np.int64) & 0x3F) << 6 | raw[three + 2] & 0x3F
-        for k, name in enumerate(NAMES):
-            for a, b in SCRIPTS[name]:
-                if b >= 0x800:
-                    script[three[(point >= a) & (point <= b)]] = k
+    script[three] = _script(_point(raw, three, 3, 0x0F))
+    four = np.flatnonzero(raw >= 0xF0)
+    four = four[four + 3 < n]
+    script[four] = _script(_point(raw, four, 4, 0x07))
     return script, start
 
 
+def _point(raw: np.ndarray, at: np.ndarray, size: int, lead: int) -> np.ndarray:
+    point = raw[at].astype(np.int64) & lead
+    for k in range(1, size):
+        point = point << 6 | raw[at + k] & 0x3F
+    return point
+
+
+_RANGES = sorted((a, b, k) for k, name in enumerate(NAMES) for a, b in SCRIPTS[name])
+_FIRST, _LAST, _OF = (np.array(x) for x in zip(*_RANGES, strict=True))
+
+
+def _script(point: np.ndarray) -> np.ndarray:
+    at = np.maximum(np.searchsorted(_FIRST, point, side="right") - 1, 0)
+    return np.where((point >= _FIRST[at]) & (point <= _LAST[at]), _OF[at], OTHER).astype(np.uint8)
+
+
 def has_letter(texts: pa.Array) -> np.ndarray:
     """Whether each text has a letter of any script, by Unicode's own classes."""
     import pyarrow.compute as pc
@@ -146,7 +183,7 @@ class Model:
         # Script ranges: a language that never uses a word's scripts is no candidate for it.
         used = np.zeros((n, OTHER + 1), bool)
         used[word[is_letter], script[at[is_letter]]] = True
-        foreign = (used[:, None, :] & ~self.scripts[None, :, :]).any(2)
+        foreign = used.astype(np.float32) @ (~self.scripts).T.astype(np.float32) > 0
         only = ~foreign.all(1)
         scores[foreign & only[:, None]] -= 1000.0
         return scores, count
@@ -187,25 +224,21 @@ class Model:
         return labels
 
 
-def _sample(docs: DataFrame, sample: int) -> DataFrame:
-    """About so many training rows of each language, by a hash of doc_id."""
+def _sample(docs: DataFrame, sample: int, languages: int) -> DataFrame:
+    """About so many training rows of each of the most frequent languages, by a hash of doc_id."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     rows = rows.where("doc_id is not null and text is not null and lang is not null").where(~crc_is_held_out(F.col("doc_id")))
-    share = rows.groupBy("lang").agg(F.least(F.lit(1.0), sample / F.count("*")).alias("share"))
-    shares = {row.lang: row.share for row in share.collect()}
-    if not shares:
-        return rows.where("false")
-    limit = F.lit(0.0)
-    for lang, part in sorted(shares.items()):
-        limit = F.when(F.col("lang") == lang, F.lit(part)).otherwise(limit)
-    return rows.where(F.pmod(F.xxhash64(F.col("doc_id"), F.lit("train")), F.lit(1 << 20)) < limit * (1 << 20))
+    most = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(languages)
+    share = most.select("lang", F.least(F.lit(1.0), sample / F.col("n")).alias("share"))
+    return rows.join(F.broadcast(share), "lang").where(F.pmod(F.xxhash64(F.col("doc_id"), F.lit("train")), F.lit(1 << 20)) < F.col("share") * (1 << 20))
 
 
-def train(docs: DataFrame, sample: int = SAMPLE, penalty: float = PENALTY) -> Model:
+def train(docs: DataFrame, sample: int = SAMPLE, penalty: float = PENALTY, languages: int = LANGUAGES) -> Model:
     """Learns from text and lang of documents outside of the held-out fold.
 
-    A bounded sample of rows: ``sample`` for each language, chosen by a hash of doc_id, whole
-    texts.  What comes to the driver is at most BUCKETS counts for each language.
+    A bounded sample of rows: ``sample`` for each of at most ``languages`` languages, chosen by a
+    hash of doc_id, whole texts.  What comes to the driver, and is broadcast, is at most BUCKETS
+    numbers for each of these languages.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -227,7 +260,7 @@ def train(docs: DataFrame, sample: int = SAMPLE, penalty: float = PENALTY) -> Mo
             use = np.flatnonzero(scripts[lang])
             yield pa.record_batch([pa.array([lang] * (len(some) + len(use))), pa.array(np.concatenate([some, BUCKETS + use]), pa.int64()), pa.array(np.concatenate([table[some], scripts[lang][use]]), pa.int64())], ["lang", "bucket", "n"])
 
-    counted = _sample(docs, sample).select("text", "lang").mapInArrow(narrow(run), "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    counted = _sample(docs, sample, languages).select("text", "lang").mapInArrow(narrow(run), "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     got = counted.toArrow().to_pandas()
     langs = sorted(got["lang"].unique().tolist())
     table = np.zeros((len(langs), BUCKETS))
@@ -285,13 +318,13 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
         kept: list = []
         size = 0
         for batch in batches:
-            for i, j in words.slices(batch.column(1), words.SCAN_BYTES // 2):
+            for i, j in words.slices(batch.column(1), 2 * words.SCAN_BYTES // max(4, len(own.langs))):
                 texts = batch.column(1).slice(i, j - i)
                 found = words.scan(texts, words.SPACE_WORDS, True)
                 scores, letter = own.word_scores(found) if own.langs else (np.zeros((len(found.hash), 0), np.float32), np.zeros(len(found.hash), np.int64))
                 kept.append((batch.column(0).slice(i, j - i), scores, letter, found.counts(), has_letter(texts)))
-                size += len(found.hash)
-                if size >= BATCH_WORDS:
+                size += len(found.hash) * max(1, len(own.langs))
+                if size >= BATCH_SCORES:
                     yield from flush(kept, own)
                     kept, size = [], 0
         yield from flush(kept, own)
