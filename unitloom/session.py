@@ -29,8 +29,19 @@ def local_session(cores: int | str = "*", partitions: int = 8, memory: str = "8g
     )
 
 
+#: Bounds of the batches that go to Python workers.  Spark's own, 10,000 rows and 64 MB, are held
+#: two or three times by each task, outside of the JVM's heap.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "2000"), "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "16777216b")}
+
+
 def ship(spark: SparkSession) -> SparkSession:
-    """Makes this package importable in Python workers, once for each application."""
+    """Makes this package importable in Python workers, once for each application.
+
+    Also bounds the batches that go there, where the session has Spark's own settings.
+    """
+    for name, (usual, own) in BATCHES.items():
+        if spark.conf.get(name) == usual:
+            spark.conf.set(name, own)
     context = spark.sparkContext
     if context.applicationId in _shipped:
         return spark
