@@ -53,7 +53,7 @@ BEST = (32,)
 HUBS = 16
 SALTS = 32
 #: Of the sketch's estimate.  By the binomial law a pair right at the threshold is left out once in
-#: 1.3 million at 85 percent and once in 6.1 million at 80.
+#: 2.3 million at 85 percent and once in 5.2 million at 80.
 DEVIATIONS = 5.5
 #: Rows that one task may be given to look for neighbours across the bounds of partitions.
 SEAM_ROWS = 1 << 16
