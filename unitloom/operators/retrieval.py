@@ -39,14 +39,12 @@ def chunks(units: DataFrame, size: int = 200) -> DataFrame:
     """
     text = F.col("content")
     # White space, and as many characters as fit and end before a space or the end; else a hard cut.
-    pattern = F.lit(rf"(?s)[{P.PYWS}]*([^{P.PYWS}](?:.{{0,{size - 1}}}(?=[{P.PYWS}]|\z)|.{{{size - 1}}}))")
-    own = units.select("clean_unit_id", "document_id", "source_id", "source_type", F.regexp_extract_all(text, pattern, F.lit(0)).alias("__all"), F.regexp_extract_all(text, pattern, F.lit(1)).alias("__parts"))
+    pattern = F.lit(rf"(?s)[{P.PYWS}]*[^{P.PYWS}](?:.{{0,{size - 1}}}(?=[{P.PYWS}]|\z)|.{{{size - 1}}})")
+    own = units.select("clean_unit_id", "document_id", "source_id", "source_type", F.regexp_extract_all(text, pattern, F.lit(0)).alias("__all"))
     # Matches lie end to end, so places are sums of lengths within the row; nothing is dealt out.
     ends = F.aggregate("__all", F.array().cast("array<int>"), lambda acc, x: F.array_append(acc, F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0)) + F.length(x)))
-    own = own.withColumn("__ends", ends)
-    both = F.arrays_zip("__ends", "__parts")
-    placed = own.select("clean_unit_id", "document_id", "source_id", "source_type", F.posexplode(both).alias("chunk_index", "c"))
-    placed = placed.select("*", F.col("c.__parts").alias("part"), (F.col("c.__ends") - F.length("c.__parts")).alias("start_char")).drop("c")
+    placed = own.select("*", F.posexplode(F.arrays_zip(F.col("__all"), ends.alias("__ends"))).alias("chunk_index", "c"))
+    placed = placed.withColumn("part", F.regexp_replace("c.__all", rf"\A[{P.PYWS}]+", "")).withColumn("start_char", F.col("c.__ends") - F.length("part"))
     trimmed = P.strip(F.col("part"))
     return placed.select(
         F.format_string("chunk:%s:%06d", F.col("clean_unit_id"), F.col("chunk_index")).alias("chunk_id"),
