@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from .runtime import cut, dealt_anew
+from .runtime import cut, dealt_anew, fewer, worth
 
 MAX_ROUNDS = 60
 #: Edges from which on a vertex with a third of them is worth the exchanges that split it.
@@ -28,22 +28,25 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     gives an empty result.
     """
     now = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u > v").distinct()
-    now = cut(now)
+    rows = edges.count()
+    now = cut(now, worth(rows))
     state = None
-    split = dealt_anew if now.count() > SPLIT_EDGES else lambda side: side
+    split = dealt_anew if rows > SPLIT_EDGES else lambda side: side
     for _ in range(MAX_ROUNDS):
+        tasks = worth(2 * rows)
         both = now.unionAll(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         # Large star: every larger neighbour of u is tied to u's smallest neighbour.
         large = both.join(split(_smallest(both)), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v")
+        large = fewer(large, tasks)
         # Small star: u and all its smaller neighbours are tied to the smallest of them.
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(split(low), "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e"))
-        now = cut(small.select("e.u", "e.v").where("u > v").distinct())
+        now = cut(fewer(small.select("e.u", "e.v").where("u > v"), tasks).distinct(), tasks)
         seen = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if seen == state:
             break
-        state = seen
+        state, rows = seen, seen[0]
     else:
         raise RuntimeError("the components did not settle")
     stars = now.select(F.col("u").alias("id"), F.col("v").alias("component"))
-    return cut(stars.unionAll(now.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()))
+    return cut(stars.unionAll(now.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()), worth(2 * rows))

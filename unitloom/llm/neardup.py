@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from . import words
 from .components import components
-from .runtime import cut, dealt_anew, narrow, sent, shuffle_partitions, text_only
+from .runtime import cut, dealt_anew, fewer, narrow, sent, shuffle_partitions, text_only, worth
 
 U64 = np.uint64
 TREES = 16
@@ -280,10 +280,10 @@ def _ends(pairs: DataFrame, name: str) -> DataFrame:
     return pairs.select(F.col("a").alias(name)).unionAll(pairs.select(F.col("b").alias(name))).distinct()
 
 
-def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def confirm(pairs: DataFrame, sets: DataFrame, percent: int, tasks: int) -> DataFrame:
     """Pairs whose full sets overlap enough: 100 * intersection >= percent * union."""
     # Of few pairs only their own sets are dealt out.
-    ends = cut(_ends(pairs, "id"))
+    ends = cut(_ends(pairs, "id"), tasks)
     sets = sets.join(sent(ends), "id", "left_semi")
     a = sets.select(F.col("id").alias("a"), F.col("s").alias("sa"))
     b = sets.select(F.col("id").alias("b"), F.col("s").alias("sb"))
@@ -301,28 +301,31 @@ def groups(docs: DataFrame, shingle: int = 5, percent: int = 80, reach: int = NE
     reps = signed.where("signature is not null and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("signature").alias("signature"), F.first("sketch").alias("sketch"))
     reps = cut(reps.drop("set_key"))
     pairs = cut(candidates(reps, percent, reach))
-    ends = cut(_ends(pairs, "doc_id"))
+    # What follows has no more rows than there are pairs, or ends of pairs that are apart and hubs.
+    tasks = worth(2 * pairs.count())
+    pairs = fewer(pairs, tasks)
+    ends = cut(_ends(pairs, "doc_id"), tasks)
     sets = cut(_sets(text_only(docs).join(sent(ends), "doc_id", "left_semi"), shingle))
     apart, links, of, done = pairs, None, None, None
     for best in BEST:
         # The best few candidates of each document whose ends are still apart.
         sided = apart.select("a", "b", "score").unionAll(apart.select(F.col("b").alias("a"), F.col("a").alias("b"), "score"))
         ranked = sided.withColumn("k", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("score"), "b")))
-        chosen = cut(ranked.where(f"k <= {best}").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-        links, of = _linked(chosen, sets, percent, links, of)
+        chosen = cut(ranked.where(f"k <= {best}").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), tasks)
+        links, of = _linked(chosen, sets, percent, links, of, tasks)
         done = chosen if done is None else done.unionAll(chosen)
-        apart = cut(_apart(apart.join(chosen, ["a", "b"], "left_anti"), of))
+        apart = cut(_apart(apart.join(chosen, ["a", "b"], "left_anti"), of, tasks), tasks)
     # Hubs of the groups that pairs which are still apart lead to, until that gives no link; then
     # those pairs themselves, and again, until neither gives one.
     while True:
         before = links
         for to_hubs in (True, False):
-            asked = _to_hubs(apart, links, of) if to_hubs else apart.select("a", "b")
-            todo = cut(asked.join(done, ["a", "b"], "left_anti"))
-            links, of = _linked(todo, sets, percent, links, of)
+            asked = _to_hubs(apart, links, of, tasks) if to_hubs else apart.select("a", "b")
+            todo = cut(asked.join(done, ["a", "b"], "left_anti"), tasks)
+            links, of = _linked(todo, sets, percent, links, of, tasks)
             done = done.unionAll(todo)
             if links is not before:
-                apart = cut(_apart(apart, of))
+                apart = cut(_apart(apart, of, tasks), tasks)
                 break
         if links is before:
             break
@@ -332,16 +335,17 @@ def groups(docs: DataFrame, shingle: int = 5, percent: int = 80, reach: int = NE
         others = cut(dense.select(F.col("rep").alias("doc_id")).join(ends, "doc_id", "left_anti"))
         sets = sets.unionAll(cut(_sets(text_only(docs).join(sent(others), "doc_id", "left_semi"), shingle)))
         missed = cut(exact_pairs(sets.join(sent(dense), F.col("id") == F.col("rep")), percent).join(done, ["a", "b"], "left_anti"))
-        _, of = _linked(missed, sets, percent, links, of)
+        _, of = _linked(missed, sets, percent, links, of, worth(2 * missed.count()))
     return signed, of
 
 
-def _to_hubs(apart: DataFrame, links: DataFrame, of: DataFrame) -> DataFrame:
+def _to_hubs(apart: DataFrame, links: DataFrame, of: DataFrame, tasks: int) -> DataFrame:
     """Pairs (a, b) of the ends of pairs that are apart and the hubs of the other end's group."""
     degree = links.select(F.col("a").alias("id")).unionAll(links.select(F.col("b").alias("id"))).groupBy("id").count()
-    hubs = of.join(degree, "id").groupBy("component", F.pmod(F.xxhash64("id"), F.lit(HUBS)).alias("k")).agg(F.max(F.struct("count", (-F.col("id")).alias("id"))).alias("h")).select("component", (-F.col("h.id")).alias("hub"))
+    hubs = fewer(of.join(degree, "id"), tasks).groupBy("component", F.pmod(F.xxhash64("id"), F.lit(HUBS)).alias("k")).agg(F.max(F.struct("count", (-F.col("id")).alias("id"))).alias("h")).select("component", (-F.col("h.id")).alias("hub"))
     leads = apart.select("a", F.col("cb").alias("component")).unionAll(apart.select(F.col("b").alias("a"), F.col("ca").alias("component"))).distinct()
-    return leads.join(hubs, "component").where("a <> hub").select(F.least("a", "hub").alias("a"), F.greatest("a", "hub").alias("b")).distinct()
+    met = fewer(fewer(leads, tasks).join(fewer(hubs, tasks), "component"), tasks)
+    return fewer(met.where("a <> hub").select(F.least("a", "hub").alias("a"), F.greatest("a", "hub").alias("b")).distinct(), tasks)
 
 
 def crowded(reps: DataFrame, of: DataFrame, full: int) -> DataFrame:
@@ -421,23 +425,23 @@ def exact_pairs(sets: DataFrame, percent: int) -> DataFrame:
     return both.select(F.least("rep_x", "rep_y").alias("a"), F.greatest("rep_x", "rep_y").alias("b")).distinct()
 
 
-def _linked(pairs: DataFrame, sets: DataFrame, percent: int, links: DataFrame | None, of: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+def _linked(pairs: DataFrame, sets: DataFrame, percent: int, links: DataFrame | None, of: DataFrame | None, tasks: int) -> tuple[DataFrame, DataFrame]:
     """All links so far and their components; of: the components before these pairs.
 
     Without a new link both come back as they are.
     """
-    fresh = cut(confirm(pairs, sets, percent))
+    fresh = cut(confirm(pairs, sets, percent, tasks), tasks)
     if of is not None and fresh.isEmpty():
         return links, of
     edges = fresh if of is None else fresh.unionAll(of.where("id <> component").select(F.col("id").alias("a"), F.col("component").alias("b")))
     return fresh if links is None else links.unionAll(fresh), components(edges)
 
 
-def _apart(pairs: DataFrame, of: DataFrame) -> DataFrame:
+def _apart(pairs: DataFrame, of: DataFrame, tasks: int) -> DataFrame:
     """Pairs (a, b, score) whose ends are in different components, with both components."""
     mine = of.select(F.col("id").alias("a"), F.col("component").alias("ca"))
     other = of.select(F.col("id").alias("b"), F.col("component").alias("cb"))
-    known = pairs.select("a", "b", "score").join(mine, "a", "left").join(other, "b", "left").select("a", "b", "score", F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("cb"))
+    known = fewer(pairs.select("a", "b", "score").join(mine, "a", "left"), tasks).join(other, "b", "left").select("a", "b", "score", F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("cb"))
     return known.where("ca <> cb")
 
 

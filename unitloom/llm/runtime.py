@@ -17,8 +17,26 @@ from ..session import scratch, spread
 BROADCAST_ROWS = 50_000
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Checkpoints a DataFrame in the folder that the cluster shares.
+#: Rows of a few dozen bytes that are worth a task of their own.
+TASK_ROWS = 10_000
+
+
+def worth(rows: int) -> int:
+    """Tasks that so many small rows are worth; pass a bound that was counted."""
+    return max(1, -(-rows // TASK_ROWS))
+
+
+def fewer(df: DataFrame, tasks: int) -> DataFrame:
+    """df in no more partitions than its rows are worth.
+
+    A round over a few thousand rows would otherwise start as many tasks, and write as many files,
+    as one over a whole corpus.  From as many tasks on as shuffles have partitions df stays as it is.
+    """
+    return df.coalesce(tasks) if tasks < shuffle_partitions(df.sparkSession) else df
+
+
+def cut(df: DataFrame, tasks: int | None = None) -> DataFrame:
+    """Checkpoints a DataFrame, in at most so many tasks, in the folder that the cluster shares.
 
     The folder is the session's ``spark.checkpoint.dir``.  Unlike a local checkpoint this survives
     lost executors.
@@ -26,7 +44,7 @@ def cut(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(scratch(spark))
-    out = df.checkpoint(eager=True)
+    out = (df if tasks is None else fewer(df, tasks)).checkpoint(eager=True)
     _release(spark)
     return out
 
