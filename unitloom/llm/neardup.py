@@ -61,6 +61,8 @@ SEAM_ROWS = 1 << 16
 COUNTERS = 1 << 16
 #: Rows of a shingle for which one more salt is used.
 SALT_ROWS = 2000
+#: Small rows that a pair with its two sets is reckoned for when tasks are counted.
+SET_ROWS = 20
 SEED = 2014
 
 
@@ -430,7 +432,8 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int, links: DataFrame |
 
     Without a new link both come back as they are.
     """
-    fresh = cut(confirm(pairs, sets, percent, tasks), tasks)
+    # These rows carry two sets each, so they are worth more tasks.
+    fresh = cut(confirm(pairs, sets, percent, tasks), worth(pairs.count() * SET_ROWS))
     if of is not None and fresh.isEmpty():
         return links, of
     edges = fresh if of is None else fresh.unionAll(of.where("id <> component").select(F.col("id").alias("a"), F.col("component").alias("b")))
