@@ -1,6 +1,8 @@
+import duckdb
+from oracle import rows
 from pyspark.sql import functions as F
 
-from unitloom import streaming
+from unitloom import plans, registry, streaming  # noqa: F401
 from unitloom.functions import urls
 from unitloom.plans.extraction import docx_bytes
 from unitloom.schemas import SOURCES
@@ -43,3 +45,20 @@ def test_stream_equals_batch(spark, tmp_path):
 def test_file_names(spark):
     df = spark.createDataFrame([("http://x.example/a/b%20c.html?q",), ("http://x.example/",), ("nonsense",)], "u string")
     assert [r[0] for r in df.select(urls.file_name(F.col("u"))).collect()] == ["b c.html", None, "nonsense"]
+
+
+def test_streamed_statistics_of_a_folder_of_files(spark, tmp_path):
+    """A table may be a folder of part files; tables of similar names are none of its files."""
+    docs = spark.createDataFrame([(k, None if k == 5 else f"a{k} b\nc\x01\n\n d") for k in range(20)], "doc_id long, text string")
+    docs.repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    docs.selectExpr("doc_id + 100 AS doc_id", "text").toPandas().to_parquet(f"{tmp_path}/documents_old.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    got, want = registry.QUERIES["streamed_cleaning_stats"](spark, str(tmp_path)).toPandas(), con.execute(registry.ORACLES["streamed_cleaning_stats"]).df()
+    assert sorted(got.columns) == sorted(want.columns)
+    assert len(want) == 19 and rows(got) == rows(want)
+
+
+def test_streamed_statistics_without_rows(spark, tmp_path):
+    spark.createDataFrame([], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert registry.QUERIES["streamed_cleaning_stats"](spark, str(tmp_path)).count() == 0

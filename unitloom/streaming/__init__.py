@@ -54,7 +54,8 @@ def stream_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     folder = shared_folder(spark)
     schema = spark.read.parquet(f"{sf_dir}/documents.parquet").schema
-    rows = spark.readStream.schema(schema).option("pathGlobFilter", "documents*.parquet").parquet(sf_dir)
+    # A table is one file or a folder of files.  Streams take a single file by a pattern alone.
+    rows = spark.readStream.schema(schema).parquet(f"{sf_dir}/documents.{{parquet}}")
 
     def batch(docs: DataFrame, number: int) -> None:
         clean(dirty_rows(docs)).stats.write.mode("overwrite").parquet(f"{folder}/stats/batch={number}")
