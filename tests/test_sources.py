@@ -34,6 +34,13 @@ def test_html_blocks(name):
     assert kinds(text) == want
 
 
+def test_title_references():
+    text = "<title>a&amp;lt; &amp &eacute; <i>b</i></title><p>&amp</p>"
+    assert kinds(text) == [("document_title", "a&lt; & é b"), ("paragraph", "&")]
+    found = Page(text, {"&lt;": "<", "&amp;": "&"}).blocks()
+    assert [b["content"] for b in found] == ["a&lt; &amp &eacute; <i>b</i>", "&"]
+
+
 def test_list_metadata():
     found = list(Page("<ol><li>a<ul><li>b</li></ul></li></ol>").blocks())
     assert [(b["list_type"], b["list_depth"], b["list_container_global_index"], b["list_item_global_index"], b["parent_emitted_list_item_global_index"]) for b in found] == [("ordered", 0, 0, 0, None), ("unordered", 1, 1, 1, 0)]

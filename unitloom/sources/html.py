@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
@@ -33,7 +33,7 @@ def guard(sources: DataFrame, limits: dict[str, int]) -> Column:
     )
 
 
-def parsed(sources: DataFrame, limits: dict[str, int] | None = None) -> DataFrame:
+def parsed(sources: DataFrame, limits: dict[str, int] | None = None, title_references: Mapping[str, str] | None = None) -> DataFrame:
     """Blocks of every page, and a row for each document itself; narrow, no shuffle."""
     limits = HTML_LIMITS | (limits or {})
     most = limits["max_candidate_blocks"]
@@ -44,7 +44,7 @@ def parsed(sources: DataFrame, limits: dict[str, int] | None = None) -> DataFram
         for batch in batches:
             out: list[dict] = []
             for row in batch.to_pylist():
-                out += page_rows(row, most)
+                out += page_rows(row, most, title_references)
                 if len(out) > 2000:
                     yield pa.RecordBatch.from_pylist(out, SCHEMA)
                     out = []
@@ -53,14 +53,14 @@ def parsed(sources: DataFrame, limits: dict[str, int] | None = None) -> DataFram
     return _tables(rows.mapInArrow(run, BLOCKS))
 
 
-def page_rows(row: dict, most: int) -> list[dict]:
+def page_rows(row: dict, most: int, title_references: Mapping[str, str] | None = None) -> list[dict]:
     """BLOCKS rows of one page; a page that can't be parsed has its failure and no blocks."""
     base = {k: row[k] for k in ("document_id", "source_id", "source_type", "source_uri")}
     if row["failure"]:
         return [base | {"failure": row["failure"]}]
     try:
         html, known, encoding = html_tree.decode(row["content_bytes"], row["charset"])
-        page = html_tree.Page(html)
+        page = html_tree.Page(html, title_references)
         found, headings = [], OpenHeadings()
         for index, block in enumerate(page.blocks()):
             if index > most:  # one more than allowed tells that there are too many
@@ -93,9 +93,9 @@ def _tables(blocks: DataFrame) -> DataFrame:
     return blocks.withColumns({"content": F.when(table, tsv.serialize(F.col("cells"))).otherwise(F.col("content")), "blank": F.when(table, tsv.all_blank(F.col("cells"))).otherwise(F.col("blank")), "extra_metadata": F.when(table, shaped).otherwise(meta)})
 
 
-def extract_html(sources: DataFrame, limits: dict[str, int] | None = None) -> Extracted:
-    """Units of HTML sources (schemas.SOURCES)."""
-    return assembled(parsed(sources, limits), HTML_LIMITS | (limits or {}))
+def extract_html(sources: DataFrame, limits: dict[str, int] | None = None, title_references: Mapping[str, str] | None = None) -> Extracted:
+    """Units of HTML sources (schemas.SOURCES); title_references as in html_tree.Page."""
+    return assembled(parsed(sources, limits, title_references), HTML_LIMITS | (limits or {}))
 
 
 def pages_as_sources(pages: DataFrame) -> DataFrame:
