@@ -144,3 +144,53 @@ def test_components(spark, monkeypatch, split):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (103, 102), (102, 101), (7, 7), (200, 200)] + [(300, 300 + k) for k in range(1, 50)]
     got = {r.id: r.component for r in components.components(spark.createDataFrame([*edges, (None, 3)], "a long, b long")).collect()}
     assert got == {i: 0 for i in range(41)} | {i: 100 for i in range(100, 104)} | {i: 300 for i in range(300, 350)}
+
+
+def tasks_of(spark, run):
+    """What run() returns, and how many tasks Spark started for it."""
+    context = spark.sparkContext
+    tracker, group = context.statusTracker(), f"tasks-{random.random()}"
+    context.setJobGroup(group, "")
+    try:
+        out = run()
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+    stages = {s for j in tracker.getJobIdsForGroup(group) for s in tracker.getJobInfo(j).stageIds}
+    return out, sum(i.numTasks for s in stages if (i := tracker.getStageInfo(s)))
+
+
+def test_small_graph_takes_few_tasks(spark):
+    path = spark.createDataFrame([(i, i + 1) for i in range(200)], "a long, b long")
+    got, tasks = tasks_of(spark, lambda: components.components(path).collect())
+    assert {r.id: r.component for r in got} == dict.fromkeys(range(201), 0) and tasks <= 40
+
+
+@pytest.mark.parametrize("n", [1, 60, 400])
+def test_small_graphs_equal_rounds(spark, monkeypatch, n):
+    own = random.Random(n)
+    edges = spark.createDataFrame([(own.randrange(-n, n), own.randrange(-n, n)) for _ in range(n)], "a long, b long")
+    ours = sorted(map(tuple, components.components(edges).collect()))
+    monkeypatch.setattr(components, "LOCAL_EDGES", -1)
+    assert ours == sorted(map(tuple, components.components(edges).collect()))
+
+
+@pytest.mark.parametrize("split", [0, 2_000_000])
+def test_rounds_of_a_large_graph(spark, monkeypatch, split):
+    monkeypatch.setattr(components, "LOCAL_EDGES", -1)
+    test_components(spark, monkeypatch, split)
+
+
+def test_pairs_within_a_joined_group_are_not_dealt_out(spark, monkeypatch):
+    base = [f"w{i}" for i in range(160)]
+    texts = [" ".join(base)] + [" ".join(base[:k] + [f"x{k}"] + base[k + 1 :]) for k in range(1, 150)]
+    asked, confirm = [], neardup.confirm
+
+    def counted(pairs, *rest):
+        asked.append(pairs.count())
+        return confirm(pairs, *rest)
+
+    monkeypatch.setattr(neardup, "confirm", counted)
+    signed, of = neardup.groups(table(spark, texts), 3, 85)
+    assert {r.id: r.component for r in of.collect()} == dict.fromkeys(range(150), 0)
+    # Four for each text and not 32; and no signature is held on to.
+    assert sum(asked) < 150 * 8 and signed.columns == ["doc_id", "n_shingles", "set_key"]

@@ -3,17 +3,25 @@
 The published two-step contraction (Kiveris et al., 2014), phrased as minima and equi-joins: no
 adjacency list is ever gathered, so a vertex with a third of all edges costs a partial aggregate
 and a join whose hot side Spark can split.
+
+A graph that was counted to be small is joined by one task instead of rounds of many small ones.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .runtime import cut, dealt_anew, fewer, worth
+from .runtime import cut, dealt_anew, fewer, narrow, worth
 
 MAX_ROUNDS = 60
 #: Edges from which on a vertex with a third of them is worth the exchanges that split it.
 SPLIT_EDGES = 2_000_000
+#: Edges up to which one task joins the whole graph; it holds about a hundred bytes for each.
+LOCAL_EDGES = 500_000
 
 
 def _smallest(pairs: DataFrame) -> DataFrame:
@@ -21,15 +29,38 @@ def _smallest(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
 
 
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, component) of all edges (u, v) that one task is given.
+
+    Each root that has a smaller neighbour is tied to one, and all paths are shortened, until no
+    edge leads to another root; two rounds leave at most half of the roots that have neighbours.
+    """
+    ends = [np.stack([batch.column(0).to_numpy(), batch.column(1).to_numpy()]) for batch in batches if batch.num_rows]
+    if not ends:
+        return
+    ids, at = np.unique(np.concatenate(ends, 1), return_inverse=True)
+    u, v = at.reshape(2, -1)
+    root = np.arange(len(ids))
+    while len(u):
+        np.minimum.at(root, np.maximum(u, v), np.minimum(u, v))
+        while (root != (up := root[root])).any():
+            root = up
+        u, v = root[u], root[v]
+        u, v = u[far := u != v], v[far]
+    yield pa.record_batch([pa.array(ids), pa.array(ids[root])], ["id", "component"])
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(id, component) for every id that has an edge; component is the smallest id reachable.
 
     Edges may be repeated, reversed or loops; rows with a null end are ignored.  An empty table
     gives an empty result.
     """
-    now = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u > v").distinct()
+    now = edges.select(F.greatest(a, b).cast("long").alias("u"), F.least(a, b).cast("long").alias("v")).where("u > v")
     rows = edges.count()
-    now = cut(now, worth(rows))
+    if rows <= LOCAL_EDGES:
+        return cut(cut(now, worth(rows)).coalesce(1).mapInArrow(narrow(_joined), "id long, component long"))
+    now = cut(now.distinct(), worth(rows))
     state = None
     split = dealt_anew if rows > SPLIT_EDGES else lambda side: side
     for _ in range(MAX_ROUNDS):

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from . import words
 from .components import components
-from .runtime import cut, dealt_anew, fewer, narrow, sent, shuffle_partitions, text_only, worth
+from .runtime import cut, dealt_anew, fewer, narrow, release, sent, shuffle_partitions, small, text_only, worth
 
 U64 = np.uint64
 TREES = 16
@@ -48,8 +48,9 @@ NEIGHBOURS = 32
 #: Of a document's neighbours in one order so many are confirmed first, the most alike by sketch; the
 #: others follow, as far as they are still apart by then.
 BEST_OF_TREE = 6
-#: Candidates of a document that are confirmed in the first rounds; the last round takes all.
-BEST = (32,)
+#: Candidates of a document that are confirmed in the first rounds; the last round takes all.  The
+#: first few join most groups, and pairs within those need not be dealt out with their sets.
+BEST = (4, 32)
 HUBS = 16
 SALTS = 32
 #: Of the sketch's estimate.  By the binomial law a pair right at the threshold is left out once in
@@ -295,14 +296,18 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int, tasks: int) -> Data
 
 
 def groups(docs: DataFrame, shingle: int = 5, percent: int = 80, reach: int = NEIGHBOURS) -> tuple[DataFrame, DataFrame]:
-    """Signatures of all documents, and (id, component) of the representatives that have a link.
+    """Sizes and keys of all documents' sets, and (id, component) of the representatives that have a link.
 
     A representative stands for all documents with the very same shingle set.
     """
     signed = cut(signatures(docs, shingle))
     reps = signed.where("signature is not null and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("signature").alias("signature"), F.first("sketch").alias("sketch"))
     reps = cut(reps.drop("set_key"))
+    # Signatures of all copies and the sorted orders are not held on to while sets are dealt out.
+    signed = cut(signed.select("doc_id", "n_shingles", "set_key"))
+    release(docs.sparkSession)
     pairs = cut(candidates(reps, percent, reach))
+    release(docs.sparkSession)
     # What follows has no more rows than there are pairs, or ends of pairs that are apart and hubs.
     tasks = worth(2 * pairs.count())
     pairs = fewer(pairs, tasks)
@@ -315,7 +320,7 @@ def groups(docs: DataFrame, shingle: int = 5, percent: int = 80, reach: int = NE
         ranked = sided.withColumn("k", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("score"), "b")))
         chosen = cut(ranked.where(f"k <= {best}").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), tasks)
         links, of = _linked(chosen, sets, percent, links, of, tasks)
-        done = chosen if done is None else done.unionAll(chosen)
+        done = chosen if done is None else fewer(done.unionAll(chosen), tasks)
         apart = cut(_apart(apart.join(chosen, ["a", "b"], "left_anti"), of, tasks), tasks)
     # Hubs of the groups that pairs which are still apart lead to, until that gives no link; then
     # those pairs themselves, and again, until neither gives one.
@@ -325,7 +330,7 @@ def groups(docs: DataFrame, shingle: int = 5, percent: int = 80, reach: int = NE
             asked = _to_hubs(apart, links, of, tasks) if to_hubs else apart.select("a", "b")
             todo = cut(asked.join(done, ["a", "b"], "left_anti"), tasks)
             links, of = _linked(todo, sets, percent, links, of, tasks)
-            done = done.unionAll(todo)
+            done = fewer(done.unionAll(todo), tasks)
             if links is not before:
                 apart = cut(_apart(apart, of, tasks), tasks)
                 break
@@ -344,9 +349,10 @@ def groups(docs: DataFrame, shingle: int = 5, percent: int = 80, reach: int = NE
 def _to_hubs(apart: DataFrame, links: DataFrame, of: DataFrame, tasks: int) -> DataFrame:
     """Pairs (a, b) of the ends of pairs that are apart and the hubs of the other end's group."""
     degree = links.select(F.col("a").alias("id")).unionAll(links.select(F.col("b").alias("id"))).groupBy("id").count()
-    hubs = fewer(of.join(degree, "id"), tasks).groupBy("component", F.pmod(F.xxhash64("id"), F.lit(HUBS)).alias("k")).agg(F.max(F.struct("count", (-F.col("id")).alias("id"))).alias("h")).select("component", (-F.col("h.id")).alias("hub"))
+    few = F.broadcast if small(of) else lambda side: side  # hubs are some of these rows
+    hubs = fewer(few(of).join(degree, "id"), tasks).groupBy("component", F.pmod(F.xxhash64("id"), F.lit(HUBS)).alias("k")).agg(F.max(F.struct("count", (-F.col("id")).alias("id"))).alias("h")).select("component", (-F.col("h.id")).alias("hub"))
     leads = apart.select("a", F.col("cb").alias("component")).unionAll(apart.select(F.col("b").alias("a"), F.col("ca").alias("component"))).distinct()
-    met = fewer(fewer(leads, tasks).join(fewer(hubs, tasks), "component"), tasks)
+    met = fewer(fewer(leads, tasks).join(few(fewer(hubs, tasks)), "component"), tasks)
     return fewer(met.where("a <> hub").select(F.least("a", "hub").alias("a"), F.greatest("a", "hub").alias("b")).distinct(), tasks)
 
 
@@ -432,16 +438,21 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int, links: DataFrame |
 
     Without a new link both come back as they are.
     """
+    rows = pairs.count()
+    if of is not None and not rows:
+        return links, of
     # These rows carry two sets each, so they are worth more tasks.
-    fresh = cut(confirm(pairs, sets, percent, tasks), worth(pairs.count() * SET_ROWS))
+    fresh = cut(confirm(pairs, sets, percent, tasks), worth(rows * SET_ROWS))
+    release(pairs.sparkSession)
     if of is not None and fresh.isEmpty():
         return links, of
     edges = fresh if of is None else fresh.unionAll(of.where("id <> component").select(F.col("id").alias("a"), F.col("component").alias("b")))
-    return fresh if links is None else links.unionAll(fresh), components(edges)
+    return fresh if links is None else fewer(links.unionAll(fresh), tasks), components(edges)
 
 
 def _apart(pairs: DataFrame, of: DataFrame, tasks: int) -> DataFrame:
     """Pairs (a, b, score) whose ends are in different components, with both components."""
+    of = sent(of)
     mine = of.select(F.col("id").alias("a"), F.col("component").alias("ca"))
     other = of.select(F.col("id").alias("b"), F.col("component").alias("cb"))
     known = fewer(pairs.select("a", "b", "score").join(mine, "a", "left"), tasks).join(other, "b", "left").select("a", "b", "score", F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("cb"))
@@ -463,7 +474,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     """
     signed, of = groups(docs, shingle, percent)
     least = signed.where("set_key is not null and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("rep"))
-    found = signed.select("doc_id", "n_shingles", "set_key").join(dealt_anew(least), "set_key", "left").join(of.withColumnRenamed("id", "rep"), "rep", "left")
+    found = signed.select("doc_id", "n_shingles", "set_key").join(dealt_anew(least), "set_key", "left").join(sent(of).withColumnRenamed("id", "rep"), "rep", "left")
     out = found.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id")).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 

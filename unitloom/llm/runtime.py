@@ -45,26 +45,28 @@ def cut(df: DataFrame, tasks: int | None = None) -> DataFrame:
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(scratch(spark))
     out = (df if tasks is None else fewer(df, tasks)).checkpoint(eager=True)
-    _release(spark)
+    if time.monotonic() - _released >= RELEASE_S:
+        del df  # else what it was made from outlives this call
+        release(spark)
     return out
 
 
-#: Seconds between two requests to the driver's JVM to collect its garbage.
+#: Seconds after which a cut asks the driver's JVM again to collect its garbage.
 RELEASE_S = 8.0
 _released = 0.0
 
 
-def _release(spark: SparkSession) -> None:
+def release(spark: SparkSession) -> None:
     """Lets Spark delete the shuffle files and checkpoints that nothing refers to any more.
 
     It does so when the driver's JVM collects garbage, which a long chain of small jobs rarely
     makes it do; the files of rounds that are over would stay on the executors' disks till then.
+    Call it once no name holds a frame with a large exchange any more.
     """
     global _released
-    if time.monotonic() - _released >= RELEASE_S:
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        _released = time.monotonic()
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    _released = time.monotonic()
 
 
 def dealt_anew(df: DataFrame) -> DataFrame:
