@@ -105,6 +105,38 @@ def test_curve_round_trip(spark, library):
     check_pieces(packing.pack_along_curve(table(spark, texts), length=256).collect(), {i: library(t) + [1] for i, t in enumerate(texts)}, 256)
 
 
+def test_curve_bounds_its_batches(spark, library, tmp_path):
+    from unitloom.session import BATCHES, ship
+
+    def rows(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            yield pa.record_batch([pa.array([batch.num_rows], pa.int64())], ["n"])
+
+    held = {name: spark.conf.get(name) for name in BATCHES}
+    texts = corpus()
+    table(spark, [texts[i % len(texts)] for i in range(3000)]).coalesce(1).write.parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
+    try:
+        for name, values in BATCHES.items():
+            spark.conf.set(name, values[0])
+        ship(spark)
+        out = packing.pack_along_curve(docs, length=256)
+        assert [spark.conf.get(name) for name in BATCHES] == ["1000", "4194304b", "256"]
+        assert max(r.n for r in docs.mapInArrow(rows, "n long").collect()) <= 1000
+        check_pieces(out.collect(), {i: library(texts[i % len(texts)]) + [1] for i in range(3000)}, 256)
+        # A user's own values stay, and give the same pieces.
+        want = sorted(map(tuple, out.drop("ids").collect()))
+        for name in BATCHES:
+            spark.conf.set(name, "7" if name.endswith("BatchSize") else "70")
+        assert sorted(map(tuple, packing.pack_along_curve(docs, length=256).drop("ids").collect())) == want
+        assert [spark.conf.get(name) for name in BATCHES] == ["70", "70", "7"]
+    finally:
+        for name, value in held.items():
+            spark.conf.set(name, value)
+
+
 def test_hot_cell_is_dealt_to_many(spark, library):
     texts = ["same text again"] * 400 + corpus()
     docs = table(spark, texts)

@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
+from ..session import small_batches
 from . import words
 from .bpe import default_path, encoded, encoder
 from .runtime import narrow, shuffle_partitions, text_only
@@ -311,6 +312,7 @@ def pack_along_curve(docs: DataFrame, tokenizer: str | None = None, length: int
     an empty table gives no rows.  Extra columns are not read.
     """
     path = tokenizer or default_path()
+    small_batches(docs.sparkSession)
     plain = text_only(docs)
     plan, table = deal(plain), projection()
 

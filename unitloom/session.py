@@ -29,9 +29,31 @@ def local_session(cores: int | str = "*", partitions: int = 8, memory: str = "8g
     )
 
 
-#: Bounds of the batches that go to Python workers.  Spark's own, 10,000 rows and 64 MB, are held
-#: two or three times by each task, outside of the JVM's heap.
-BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "2000"), "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "16777216b")}
+#: Bounds of batches: Spark's own, those of ``ship`` and those of ``small_batches``.  Batches to
+#: Python workers, by Spark 10,000 rows and 64 MB, are held two or three times by each task, outside
+#: of the JVM's heap.  The rows that Parquet is read by are arrays of several MB if texts are long.
+BATCHES = {
+    "spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "2000", "1000"),
+    "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "16777216b", "4194304b"),
+    "spark.sql.parquet.columnarReaderBatchSize": ("4096", "4096", "256"),
+}
+
+
+def _bound(spark: SparkSession, step: int) -> None:
+    """Takes the bounds of a step where the session has those of an earlier one, not a user's own."""
+    for name, values in BATCHES.items():
+        if spark.conf.get(name) in values[:step]:
+            spark.conf.set(name, values[step])
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds batches further, for an operator that reads whole texts and deals them out.
+
+    Arrays of over half a region of the JVM's heap are garbage that young collections seldom get
+    at, and its heap grows by several times what they hold.  The bounds stay for the session, as
+    plans are run later than they are made.
+    """
+    _bound(spark, 2)
 
 
 def ship(spark: SparkSession) -> SparkSession:
@@ -39,9 +61,7 @@ def ship(spark: SparkSession) -> SparkSession:
 
     Also bounds the batches that go there, where the session has Spark's own settings.
     """
-    for name, (usual, own) in BATCHES.items():
-        if spark.conf.get(name) == usual:
-            spark.conf.set(name, own)
+    _bound(spark, 1)
     context = spark.sparkContext
     if context.applicationId in _shipped:
         return spark
